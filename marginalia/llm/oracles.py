@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import RANK_BUCKETS
+from .quality_rules import LEAST_LEFT, LEAST_WORDS, LINE_SHARE, LINE_TEXTS, MOST_REMOVED
 from .sharding import MULTIPLIER, SHARDS
 
 
@@ -37,3 +38,57 @@ SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, p.shard, p.grown_shard,
         s.doc_id NULLS FIRST, s.text_crc32, s.size) - 1 AS slot
 FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
 """
+
+OP5 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+pairs AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs) WHERE rank <= 20
+"""
+
+OP3 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce('h' || source, '') AS host FROM documents),
+texts AS (SELECT DISTINCT text FROM t),
+w AS (SELECT text, unnest(list_zip(ws, range(len(ws)))) AS x FROM (SELECT text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM texts)),
+pos AS (SELECT text, x[1] AS word, x[2] AS i FROM w),
+win AS (
+    SELECT text, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY text ORDER BY i)
+),
+twice AS (SELECT text, i FROM (SELECT *, count(*) OVER (PARTITION BY text, a, b, c) AS n FROM win WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (SELECT text, count(DISTINCT i + d)::BIGINT AS n FROM twice, range(3) AS r(d) GROUP BY text),
+lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM texts),
+full_lines AS (SELECT text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT text, (count(*) - count(DISTINCT line))::BIGINT AS n FROM full_lines GROUP BY text),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM t GROUP BY host),
+host_texts AS (SELECT DISTINCT host, text FROM t),
+often AS (
+    SELECT h.host, f.norm FROM host_texts h JOIN full_lines f USING (text) JOIN hosts USING (host)
+    GROUP BY h.host, f.norm, hosts.texts HAVING count(DISTINCT f.text) > {LINE_TEXTS} AND count(DISTINCT f.text) > hosts.texts * {LINE_SHARE}::DOUBLE
+),
+gone AS (
+    SELECT h.host, h.text, count(*)::BIGINT AS lines, sum(len(string_split(f.norm, ' ')))::BIGINT AS words
+    FROM host_texts h JOIN full_lines f USING (text) JOIN often o ON o.host = h.host AND o.norm = f.norm GROUP BY h.host, h.text
+),
+base AS (
+    SELECT t.doc_id, t.host, t.text, (SELECT count(*) FROM pos WHERE pos.text = t.text)::BIGINT AS n_words,
+        length(regexp_replace(t.text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        (length(t.text) - length(translate(t.text, '#*$%&|<>', '')))::BIGINT AS n_symbols
+    FROM t
+),
+joined AS (
+    SELECT b.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(g.lines, 0)::BIGINT AS n_removed_lines, coalesce(g.words, 0)::BIGINT AS n_removed_words
+    FROM base b LEFT JOIN dup USING (text) LEFT JOIN rep USING (text) LEFT JOIN gone g ON g.text = b.text AND g.host = b.host
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines, n_removed_words,
+    (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words)
+        AND n_removed_words <= n_words * {MOST_REMOVED}::DOUBLE AND n_words - n_removed_words >= {LEAST_LEFT} AS kept
+FROM joined
+"""
