@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import RANK_BUCKETS
+from .mixing import BUDGET_SHARE, HASH_BITS, LEVELS, MAX_EPOCHS, SEED, WEIGHTS
 from .quality_rules import LEAST_LEFT, LEAST_WORDS, LINE_SHARE, LINE_TEXTS, MOST_REMOVED
 from .sharding import MULTIPLIER, SHARDS
 
@@ -92,3 +93,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_re
         AND n_removed_words <= n_words * {MOST_REMOVED}::DOUBLE AND n_words - n_removed_words >= {LEAST_LEFT} AS kept
 FROM joined
 """
+
+
+def _level(i: int) -> str:
+    """CTEs nodes_i and given_i: the nodes of a level of the tree, and what each is given of its parent's budget."""
+    here, parents, name = ", ".join(LEVELS[: i + 1]), ", ".join(LEVELS[:i]), LEVELS[i]
+    case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[name].items())
+    weight = f"CASE {name} {case} ELSE 1 END" if case else "1"
+    budget = "(SELECT budget FROM total)" if i == 0 else f"(SELECT g.given FROM given_{i - 1} g WHERE {' AND '.join(f'g.{x} = n.{x}' for x in LEVELS[:i])})"
+    by = f"PARTITION BY {parents}" if i else ""
+    return f"""
+nodes_{i} AS (SELECT n.*, {budget}::HUGEINT AS budget FROM (SELECT {here}, (sum(held) * {MAX_EPOCHS})::HUGEINT AS cap, {weight}::HUGEINT AS weight FROM leaves GROUP BY {here}) n),
+open_{i} AS (
+    SELECT *, cap * weight_on <= weight * (budget - cap_before) AS is_full FROM (
+        SELECT *, coalesce(sum(cap) OVER before_it, 0)::HUGEINT AS cap_before, (sum(weight) OVER ({by}) - coalesce(sum(weight) OVER before_it, 0))::HUGEINT AS weight_on
+        FROM nodes_{i} WINDOW before_it AS ({by} ORDER BY cap::DOUBLE / weight::DOUBLE, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+),
+given_{i} AS (
+    SELECT {here}, CASE WHEN is_full THEN cap ELSE
+        (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({by}))::HUGEINT * weight // (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}))::HUGEINT END AS given
+    FROM open_{i}
+)"""
+
+
+OP4 = f"""
+WITH k AS (
+    SELECT doc_id, lang, source AS src, coalesce(text, '') AS text, coalesce(lang, '') AS l, coalesce(source, '') AS s, ceil(length(coalesce(text, '')) / 4.0)::BIGINT AS tokens,
+        'd' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 4) AS domain FROM documents
+),
+leaves AS (SELECT domain, l AS lang, s AS source, sum(tokens)::BIGINT AS held FROM k GROUP BY ALL),
+total AS (SELECT least(floor(sum(held) * {BUDGET_SHARE}::DOUBLE), sum(held) * {MAX_EPOCHS})::BIGINT AS budget FROM leaves),
+{_level(0)},
+{_level(1)},
+{_level(2)},
+plan AS (
+    SELECT domain, lang, source, coalesce(given // nullif(held, 0), 0)::INTEGER AS epochs, (given - coalesce(given // nullif(held, 0), 0) * held)::BIGINT AS rest
+    FROM leaves JOIN given_2 USING (domain, lang, source)
+),
+placed AS (
+    SELECT k.*, p.epochs, p.rest, ('0x' || substr(md5(concat_ws('|', '{SEED}', p.epochs, k.doc_id, md5(k.text))), 1, {HASH_BITS // 4}))::BIGINT AS place
+    FROM k JOIN plan p ON p.domain = k.domain AND p.lang = k.l AND p.source = k.s
+),
+used AS (
+    SELECT *, epochs + CASE WHEN sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY place, doc_id, tokens ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS uses FROM placed
+)
+SELECT doc_id, domain, lang, src AS source, tokens, unnest(range(uses))::INTEGER AS epoch FROM used WHERE uses > 0
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracles
+from .mixing import op4_budget_mixing
 from .quality_rules import op3_line_frequency
 from .sharding import op1_jump_sharding
 from .topk import op5_exact_topk
@@ -10,11 +11,13 @@ from .topk import op5_exact_topk
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op3_line_frequency": op3_line_frequency,
+    "op4_budget_mixing": op4_budget_mixing,
     "op5_exact_topk": op5_exact_topk,
 }
 
 ORACLES = {
     "op1_jump_sharding": oracles.OP1,
     "op3_line_frequency": oracles.OP3,
+    "op4_budget_mixing": oracles.OP4,
     "op5_exact_topk": oracles.OP5,
 }
