@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .mixing import op4_budget_mixing
 from .quality_rules import op3_line_frequency
+from .secrets import op10_randomness_battery
 from .sharding import op1_jump_sharding
 from .topk import op5_exact_topk
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_line_frequency": op3_line_frequency,
     "op4_budget_mixing": op4_budget_mixing,
     "op5_exact_topk": op5_exact_topk,
+    "op10_randomness_battery": op10_randomness_battery,
 }
 
 ORACLES = {
