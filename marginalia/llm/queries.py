@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .mixing import op4_budget_mixing
+from .packing import op6_best_fit_packing
 from .quality_rules import op3_line_frequency
 from .secrets import op10_randomness_battery
 from .sharding import op1_jump_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_line_frequency": op3_line_frequency,
     "op4_budget_mixing": op4_budget_mixing,
     "op5_exact_topk": op5_exact_topk,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op10_randomness_battery": op10_randomness_battery,
 }
 
