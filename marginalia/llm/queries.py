@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .mixing import op4_budget_mixing
+from .near_dedup import op7_dart_minhash
 from .packing import op6_best_fit_packing
 from .quality_rules import op3_line_frequency
 from .secrets import op10_randomness_battery
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_budget_mixing": op4_budget_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_dart_minhash": op7_dart_minhash,
     "op10_randomness_battery": op10_randomness_battery,
 }
 
