@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import oracles
+from .language_id import op2_hyperdimensional
 from .mixing import op4_budget_mixing
 from .near_dedup import op7_dart_minhash
 from .packing import op6_best_fit_packing
+from .quality_classifier import op8_attention_mil
 from .quality_rules import op3_line_frequency
 from .secrets import op10_randomness_battery
 from .sharding import op1_jump_sharding
@@ -13,11 +15,13 @@ from .topk import op5_exact_topk
 
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
+    "op2_hyperdimensional": op2_hyperdimensional,
     "op3_line_frequency": op3_line_frequency,
     "op4_budget_mixing": op4_budget_mixing,
     "op5_exact_topk": op5_exact_topk,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_dart_minhash": op7_dart_minhash,
+    "op8_attention_mil": op8_attention_mil,
     "op10_randomness_battery": op10_randomness_battery,
 }
 
