@@ -1,14 +1,68 @@
-"""From raw documents to packed training sequences: quality, near-copies, secrets, source weights, packing."""
+"""From raw documents to packed training sequences, in five stages that each write what they keep.
+
+quality:  documents that the classifier scores below its threshold go.
+copies:   one document of each class of near-copies stays.
+secrets:  secrets in the texts that stay are masked; no document goes.
+mixing:   documents are used, once or more often or not at all, to meet the weights of domains, languages and sources.
+packing:  the uses are cut and packed into sequences.
+
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm.common import shared_dir
+from marginalia.llm.mixing import mix
+from marginalia.llm.near_dedup import deduplicated
+from marginalia.llm.packing import pack
+from marginalia.llm.quality_classifier import THRESHOLD, scorer, train
+from marginalia.llm.secrets import redacted, scan
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return docs.where(scorer(model)(F.col("text")) >= THRESHOLD)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = scan(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", copies),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", packing),
+]
 
+#: SQL can express neither the classifier nor the signatures.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; each stage's are written to the shared folder and read again."""
+    docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{base}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
