@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 #: Sub-groups that a key is dealt into before its rows are numbered.
 RANK_BUCKETS = 1024
 
+#: Rows of a table, of a few numbers and names each, that may be broadcast; they are counted first.
+BROADCAST_ROWS = 50_000
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` names it."""
@@ -46,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def looked_up(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a written table to join with: broadcast if it has been counted as small, else left to a shuffled join."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... within each ``keys`` group, without a task that holds a whole group.
 

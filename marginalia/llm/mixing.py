@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import looked_up, written
+
 LEVELS = ("domain", "lang", "source")
 
 #: Targets of the registered query; names that aren't listed weigh 1.
@@ -112,10 +114,13 @@ def mix(
     })
     leaf = ["domain", "__lang", "__source"]
     leaves = keyed.groupBy(*leaf).agg(F.sum("tokens").alias("held")).toDF(*LEVELS, "held")
-    budgets = leaf_budgets(leaves, weights, budget_share, max_epochs).select(
-        *[F.col(x).alias(y) for x, y in zip(LEVELS, leaf)],
-        F.expr("coalesce(given div nullif(held, 0), 0)").cast("int").alias("__epochs"),
-        F.expr("given - coalesce(given div nullif(held, 0), 0) * held").alias("__rest"),
+    budgets = looked_up(
+        leaf_budgets(written(leaves, "leaves"), weights, budget_share, max_epochs).select(
+            *[F.col(x).alias(y) for x, y in zip(LEVELS, leaf)],
+            F.expr("coalesce(given div nullif(held, 0), 0)").cast("int").alias("__epochs"),
+            F.expr("given - coalesce(given div nullif(held, 0), 0) * held").alias("__rest"),
+        ),
+        "budgets",
     )
     # the place of a row in the epoch that its leaf uses in part
     ordered = keyed.join(budgets, leaf)
@@ -132,7 +137,8 @@ def mix(
         ),
     )
     cuts = sums.groupBy(*leaf, "__rest").agg(F.sort_array(F.collect_list(F.struct("__range", "n"))).alias("all"))
-    cuts = cuts.select(*leaf, reached(F.col("all")).alias("r")).select(*leaf, F.col("r.before").alias("__before"), F.col("r.cut").alias("__cut"), F.col("r.over").alias("__over"))
+    cuts = cuts.select(*leaf, reached(F.col("all")).alias("r"))
+    cuts = looked_up(cuts.select(*leaf, F.col("r.before").alias("__before"), F.col("r.cut").alias("__cut"), F.col("r.over").alias("__over")), "cuts")
     placed = ordered.join(cuts, leaf)
     sooner = F.col("__range") < F.col("__cut")
     last = F.col("__over") & (F.col("__range") == F.col("__cut"))

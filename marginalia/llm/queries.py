@@ -11,6 +11,7 @@ from .quality_classifier import op8_attention_mil
 from .quality_rules import op3_line_frequency
 from .secrets import op10_randomness_battery
 from .sharding import op1_jump_sharding
+from .token_counts import op9_edit_aware_counts
 from .topk import op5_exact_topk
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_attention_mil": op8_attention_mil,
+    "op9_edit_aware_counts": op9_edit_aware_counts,
     "op10_randomness_battery": op10_randomness_battery,
 }
 
