@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import related, search, text
+from . import graph, related, search, text
 
-_PLANS = (text, search, related)
+_PLANS = (text, search, related, graph)
 
 
 def queries() -> dict:
