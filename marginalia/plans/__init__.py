@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, related, search, text
+from . import costs, graph, quality, related, search, text
 
-_PLANS = (text, search, related, graph)
+_PLANS = (text, search, related, graph, quality, costs)
 
 
 def queries() -> dict:
