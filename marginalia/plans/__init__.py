@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import costs, graph, quality, related, search, text
+from . import changes, costs, graph, quality, related, search, text
 
-_PLANS = (text, search, related, graph, quality, costs)
+_PLANS = (text, search, related, graph, quality, costs, changes)
 
 
 def queries() -> dict:
