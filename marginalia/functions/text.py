@@ -14,6 +14,10 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
+
+
 def unquoted(c: Column) -> Column:
     return F.regexp_replace(c, "^[\"'`]+|[\"'`]+$", "")
 
@@ -291,4 +295,4 @@ def tolerant_json(text: Column) -> Column:
     fenced = F.nullif(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     inner = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(valid(F.trim(fenced)), valid(F.trim(text)), valid(inner))
+    return F.coalesce(valid(stripped(fenced)), valid(stripped(text)), valid(inner))
