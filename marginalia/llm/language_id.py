@@ -65,7 +65,7 @@ class Encoder:
         n = len(x) - self.gram + 1
         codes = sum(x[i : i + n] * LETTERS ** (self.gram - 1 - i) for i in range(self.gram))
         codes, times = np.unique(codes, return_counts=True)
-        new = codes[self.row[codes] < 0][: KEPT - self.n]
+        new = codes[self.row[codes] < 0][: len(self.kept) - self.n]
         if len(new):
             self.kept[self.n : self.n + len(new)] = self._bound(new)
             self.row[new] = np.arange(self.n, self.n + len(new))

@@ -76,12 +76,14 @@ def share_out(children: DataFrame, parents: Sequence[str]) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], budget_share: float, max_epochs: int) -> DataFrame:
     """domain, lang, source, held (tokens) and given (tokens) of each leaf; ``leaves``: domain, lang, source, held."""
     parents: list[str] = []
-    held = leaves.groupBy().agg(F.coalesce(F.sum("held"), F.lit(0)).alias("n")).first()["n"]
-    budget = min(int(held * budget_share), held * max_epochs)
+    weights_of = [weight(F.col(x), weights.get(x, {})) for x in LEVELS]
+    capped = leaves.withColumn("cap", F.when(F.least(*weights_of) > 0, F.col("held") * max_epochs).otherwise(0).cast("long"))
+    sums = capped.groupBy().agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held"), F.coalesce(F.sum("cap"), F.lit(0)).alias("cap")).first()
+    budget = min(int(sums["held"] * budget_share), sums["cap"])
     above = None
     for level in LEVELS:
         here = [*parents, level]
-        nodes = leaves.groupBy(*here).agg((F.sum("held") * max_epochs).cast("long").alias("cap"))
+        nodes = capped.groupBy(*here).agg(F.sum("cap").alias("cap"))
         nodes = nodes.select(*here, *[F.lit("").alias(x) for x in LEVELS if x not in here], "cap", weight(F.col(level), weights.get(level, {})).alias("weight"))
         if above is None:
             nodes = nodes.withColumn("budget", F.lit(budget).cast("long"))

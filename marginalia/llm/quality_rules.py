@@ -91,9 +91,9 @@ def line_quality(
         "__key": F.unhex(F.md5(F.coalesce("text", F.lit("")))),
     })
     texts = written(
-        keyed.select("__host", "__key", counts(F.col("text")).alias("c"), line_hashes(F.col("text")).alias("lines"))
+        keyed.select("__host", "__key", counts(F.col("text")).alias("__c"), line_hashes(F.col("text")).alias("lines"))
         .groupBy("__host", "__key")
-        .agg(F.first("c").alias("c"), F.first("lines").alias("lines")),
+        .agg(F.first("__c").alias("__c"), F.first("lines").alias("lines")),
         "line-quality",
     )
     per_host = texts.groupBy("__host").agg(F.count(F.lit(1)).alias("__texts"))
@@ -121,7 +121,7 @@ def line_quality(
     )
     return (
         keyed.join(verdicts, ["__host", "__key"])
-        .withColumns({f: F.col("c")[f] for f in own[:5]})
+        .withColumns({f: F.col("__c")[f] for f in own[:5]})
         .withColumns({"n_removed_lines": zero("n_removed_lines"), "n_removed_words": zero("n_removed_words")})
         .withColumn("base_failed", (n < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > n * int(100 * MOST_REPEATED)))
         .withColumn("kept", ~F.col("base_failed") & (gone <= n * most_removed) & (n - gone >= least_left))
