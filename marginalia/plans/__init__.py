@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, costs, graph, quality, related, search, text
+from . import changes, costs, curation, graph, quality, related, search, text
 
-_PLANS = (text, search, related, graph, quality, costs, changes)
+_PLANS = (text, search, related, graph, quality, costs, changes, curation)
 
 
 def queries() -> dict:
