@@ -34,12 +34,8 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that the driver and all executors share; a local one only where none is set (one machine, tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

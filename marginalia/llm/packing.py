@@ -23,7 +23,7 @@ from .tokenise import default_path, word_tokeniser
 SIZE, END = 4096, 1
 
 #: Ranks that share a join key with the plan; texts that a worker tokenises at once.
-CHUNK, BATCH = 1024, 200
+CHUNK, BATCH = 1024, 400
 
 
 def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:

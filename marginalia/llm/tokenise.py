@@ -8,12 +8,16 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries that a worker keeps before it starts anew, and the longest chunk (in characters) that it keeps.
-CACHE, LONGEST = 400_000, 64
+#: Entries of each of a worker's two tables, misses (in tables) after which they start anew, and the longest chunk, in
+#: characters, that is kept.
+CACHE, RENEWAL, LONGEST = 500_000, 20, 64
+
+#: Words that are encoded as one text.
+LOT = 400
 
 # A chunk of these characters falls into words, single digits and runs of signs whatever its case; each stands for itself.
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]*")
-_PIECE = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,34 +42,64 @@ class WordTokeniser:
         self.find = regex.compile(_PIECE).findall
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.missed = 0
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """The ids of each piece. Plain lower-case words are encoded many to a text, which parts at their last tokens."""
+        out: dict[str, bytes] = {}
+        words = [p for p in pieces if p.isalpha() and _PLAIN.fullmatch(p)]
+        lots = [words[i : i + LOT] for i in range(0, len(words), LOT)]
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) == len(lot):
+                raw, at = ids.tobytes(), [0, *ends.tolist()]
+                out.update((p, raw[a:b]) for p, a, b in zip(lot, at, at[1:]))
+        rest = [p for p in pieces if p not in out]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[p] = np.array(e.ids, dtype="<u4").tobytes()
+        return [out[p] for p in pieces]
+
+    def _parts(self, w: str) -> list[str]:
+        """The pieces of a chunk; letters of Latin-1 in lower case, which the vocabulary takes for the same."""
+        if not _PLAIN.fullmatch(w):
+            return [w]
+        if w.isalpha():
+            return [w.lower()]
+        if w[:-1].isalpha() and w[-1] in ".,!;:?|":
+            return [w[:-1].lower(), w[-1]]
+        return self.find(w.lower()) if "<|" not in w else [w]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of unseen chunks; the short ones are kept."""
-        parts = [self.find(w) if _PLAIN.fullmatch(w) and "<|" not in w else [w] for w in new]
-        unseen = list({p for x in parts for p in x} - self.pieces.keys())
+        """The ids of unseen chunks; short ones are kept while there is room.
+
+        Frequent chunks come early, so a full table keeps serving most of a text; it starts anew once it has missed
+        many times its own size, as when the language of the texts changes.
+        """
+        self.missed += len(new)
+        if self.missed > RENEWAL * CACHE:
+            self.chunks, self.pieces, self.missed = {}, {}, len(new)
+        parts, own = list(map(self._parts, new)), self.pieces
+        unseen = list({p for x in parts for p in x if p not in own})
         found = dict(zip(unseen, self._encode(unseen)))
-        if len(self.pieces) + len(found) > CACHE:
-            known = {p: self.pieces[p] for x in parts for p in x if p in self.pieces}
-            self.pieces = {}
-            found |= known
-        self.pieces |= {p: b for p, b in found.items() if len(p) <= LONGEST}
-        get = lambda p: self.pieces[p] if p in self.pieces else found[p]
-        return {w: b"".join([get(p) for p in x]) for w, x in zip(new, parts)}
+        get = lambda p: own[p] if p in own else found[p]
+        out = {w: get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for w, x in zip(new, parts)}
+        for table, more in ((own, found), (self.chunks, out)):
+            if len(table) < CACHE:
+                table.update((w, b) for w, b in more.items() if len(w) <= LONGEST)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = list({w for x in split for w in x} - self.chunks.keys())
-        learnt = self._learn(new)
-        if len(self.chunks) + len(new) > CACHE:
-            learnt |= {w: self.chunks[w] for w in {w for x in split for w in x} if w in self.chunks}
-            self.chunks = {}
-        self.chunks |= {w: b for w, b in learnt.items() if len(w) <= LONGEST}
-        learnt = {w: b for w, b in learnt.items() if len(w) > LONGEST}
-        own = self.chunks
-        return [b"".join([own[w] if w in own else learnt[w] for w in x]) for x in split]
+        seen = set().union(*split)
+        chunks = self.chunks
+        known = {w: chunks[w] for w in seen if w in chunks}
+        known |= self._learn([w for w in seen if w not in known])
+        get = known.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
 
 @lru_cache(maxsize=2)
