@@ -23,13 +23,24 @@ from marginalia.llm.packing import pack
 from marginalia.llm.quality_classifier import THRESHOLD, scorer, train
 from marginalia.llm.secrets import redacted, scan
 
+#: Rows of whole texts that a Python worker takes at a time; workers go from stage to stage and keep their tables.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS rows; a smaller setting of the session stands."""
+    if not 0 < int(spark.conf.get(BATCH)) <= ROWS:
+        spark.conf.set(BATCH, ROWS)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     return docs.where(scorer(model)(F.col("text")) >= THRESHOLD)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return deduplicated(docs)
 
 
@@ -43,6 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return pack(docs)
 
 
