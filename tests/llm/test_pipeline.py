@@ -45,3 +45,14 @@ def test_stages_keep_clean_documents_and_columns(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0
+
+
+def test_batches_are_bounded_and_smaller_settings_stand(spark):
+    before = spark.conf.get(P.BATCH)
+    try:
+        for given, then in ((10_000, 1000), (0, 1000), (-1, 1000), (1000, 1000), (10, 10)):
+            spark.conf.set(P.BATCH, given)
+            P.bounded(spark)
+            assert int(spark.conf.get(P.BATCH)) == then
+    finally:
+        spark.conf.set(P.BATCH, before)
