@@ -1,9 +1,9 @@
 """Quality rules: in-document counts, and the frequency of lines across the documents of a host.
 
-A line that stands in many different texts of one host (menus, notices, licence lines) says nothing about any of them.
-Lines are normalised and hashed, the distinct texts that hold each line are counted per host, lines above both limits
-are removed, and documents that lose too much are rejected. Copies of one text count once, so that a text isn't taken
-for boilerplate because it was copied.
+A line that stands in many documents of one host (menus, notices, licence lines) says nothing about any of them. Lines
+are normalised and hashed, the documents that hold each line are counted per host, lines above the limit are removed,
+whatever the size of the host, and documents that lose too much are rejected. A document is an id with its text: rows
+that repeat both count once, documents that copy a text count each.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: A document of fewer words, or with a larger share of repeated ones, fails at once.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: A line is removed that stands in more texts of its host than this, and in a larger share of them.
+#: A line is removed that stands in more documents of its host than this. The share is a second limit of the SQL alone.
 LINE_TEXTS, LINE_SHARE = 20, 0.005
 #: A document is depleted with a larger share of its words removed, or with fewer words left.
 MOST_REMOVED, LEAST_LEFT = 0.5, 20
@@ -75,13 +75,13 @@ def line_hashes(text: Column) -> Column:
 
 
 def line_quality(
-    docs: DataFrame, host: str = "source", line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE,
+    docs: DataFrame, host: str = "source", line_texts: int = LINE_TEXTS, doc: str = "doc_id",
     most_removed: float = MOST_REMOVED, least_left: int = LEAST_LEFT,
 ) -> DataFrame:
     """``docs`` with the counts, base_failed, n_removed_lines, n_removed_words, clean_text and kept.
 
-    A null text counts as an empty one and gets an empty clean_text; null hosts are one host. Equal rows get equal
-    results. Columns of ``docs`` that bear one of these names are replaced; all others stay. Lines without a word are
+    A null text counts as an empty one and gets an empty clean_text; null hosts are one host, and null ids one id. Equal
+    rows get equal results. Columns of ``docs`` that bear one of these names are replaced; all others stay. Lines without a word are
     neither counted nor removed. An empty table gives an empty one.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_removed_words", "clean_text", "kept"]
@@ -90,20 +90,19 @@ def line_quality(
         "__host": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")),
         "__key": F.unhex(F.md5(F.coalesce("text", F.lit("")))),
     })
+    copies = keyed.select("__host", "__key", F.col(doc).alias("__doc")).distinct().groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__docs"))
     texts = written(
         keyed.select("__host", "__key", counts(F.col("text")).alias("__c"), line_hashes(F.col("text")).alias("lines"))
         .groupBy("__host", "__key")
-        .agg(F.first("__c").alias("__c"), F.first("lines").alias("lines")),
+        .agg(F.first("__c").alias("__c"), F.first("lines").alias("lines"))
+        .join(copies, ["__host", "__key"]),
         "line-quality",
     )
-    per_host = texts.groupBy("__host").agg(F.count(F.lit(1)).alias("__texts"))
     frequent = (
-        texts.select("__host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("__line"))
+        texts.select("__host", "__docs", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("__line"))
         .groupBy("__host", "__line")
-        .agg(F.count(F.lit(1)).alias("__in"))
+        .agg(F.sum("__docs").alias("__in"))
         .where(F.col("__in") > line_texts)
-        .join(per_host, "__host")
-        .where(F.col("__in") > F.col("__texts") * line_share)
         .select("__host", "__line")
     )
     removed = (
@@ -113,7 +112,7 @@ def line_quality(
         .groupBy("__host", "__key")
         .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("n").alias("n_removed_words"), F.collect_set("__line").alias("__lines"))
     )
-    verdicts = texts.drop("lines").join(removed, ["__host", "__key"], "left")
+    verdicts = texts.drop("lines", "__docs").join(removed, ["__host", "__key"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     n, gone = F.col("n_words"), F.col("n_removed_words")
     clean = F.array_join(

@@ -42,3 +42,16 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert out[100]["n_removed_lines"] == 0 and out[100]["kept"]
     assert out[200]["n_removed_lines"] == 0 and out[200]["kept"] and not out[101]["kept"] and out[3]["lines"] == 2
     assert R.line_quality(df.limit(0)).count() == 0
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    rows = [(i, f"Menu | Home\nonly w{i} here" if i < 25 else f"only w{i} here", "h") for i in range(6000)]
+    out = R.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(r["doc_id"] for r in out.where("n_removed_lines = 1").collect()) == list(range(25))
+
+
+def test_documents_that_copy_a_text_count_each(spark):
+    rows = [(i, "a copied line", "h") for i in range(21)] + [(100 + i, "another copied line", "h") for i in range(20)]
+    rows += [(200, "a line of one document", "h")] * 40
+    out = R.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in out.where("n_removed_lines = 1").collect()} == set(range(21))
