@@ -41,6 +41,17 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(T.predicate_token(F.substring("text", 1, 24)).alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("slug_whole_F4", f"SELECT doc_id, {SLUG.format('text')} AS slug, sha1({SLUG.format('text')}) AS slug_sha1 FROM documents")
+def whole_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = T.slug(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("slug"), F.sha1(s).alias("slug_sha1"))
+
+
+@query("predicate_token_whole_F5", f"SELECT {TOKEN.format('text')} AS token, count(*) AS n FROM documents GROUP BY 1")
+def whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(T.predicate_token(F.col("text")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "html_strip_F22",
     f"SELECT page_id, length({HTML.format('html')}) AS plain_chars, length({HTML.format('html')}) < 100 AS too_thin, ceil(length(html) / 4.0)::BIGINT AS tokens, md5({HTML.format('html')}) AS plain_md5 FROM pages",
@@ -112,6 +123,16 @@ def junk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", T.entity_name(F.col("word")).alias("n"), T.junk_name(F.col("word")).alias("junk"))
 
 
+@query(
+    "junk_names_whole_F9",
+    f"""SELECT word, n, length(n) < 2 OR lower(n) IN ({", ".join(f"'{x}'" for x in T.JUNK_NAMES)}) OR {_JUNK} AS junk
+    FROM (SELECT word, {_NAME.format("word")} AS n FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM conversations))""",
+)
+def whole_junk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ", -1)).alias("word")).distinct()
+    return words.select("word", T.entity_name(F.col("word")).alias("n"), T.junk_name(F.col("word")).alias("junk"))
+
+
 @query("title_from_summary_F20")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("id", T.summary_title(F.col("summary"), F.col("url")).alias("made_title"))

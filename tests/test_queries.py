@@ -47,3 +47,14 @@ def test_breaker_and_limiter(spark, sf_dir):
     assert {r["state"] for r in states.select("state").distinct().collect()} <= {"closed", "open", "half-open"}
     levels = plans.queries()["rate_level_T9"](spark, sf_dir)
     assert levels.count() == events and levels.where("level NOT BETWEEN 0 AND 5").count() == 0
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    from marginalia.plans import text as X
+
+    start = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(1, f"{start} one"), (2, f"{start} two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"{start} Last")], "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["slug"][-3:] for r in X.Q["slug_whole_F4"](spark, tmp_path).collect()} == {"one", "two"}
+    assert {r["token"][-3:]: r["n"] for r in X.Q["predicate_token_whole_F5"](spark, tmp_path).collect()} == {"ONE": 1, "TWO": 1}
+    assert "Last" in {r["word"] for r in X.Q["junk_names_whole_F9"](spark, tmp_path).collect()}
