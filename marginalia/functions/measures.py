@@ -98,3 +98,5 @@ def relative_day(day: Column, as_of: Column) -> Column:
 SUMMARY_LEAST, SUMMARY_AVOID = 500, ("unknown", "error", "failed")
 TAGS_LEAST, TAGS_AVOID = 3, ("pinboard", "bookmark", "link")
 PLACE_AVOID, PLACE_WORDS = ("unknown", "n/a", "none", ""), ("in ", "at ", "from ", "located", "city", "country", "street", "avenue")
+FINANCE_WORDS = ("$", "price", "cost", "revenue", "investment", "fund")
+RELATIONSHIP_PARTS = ("source.type", "source.name", "target.type", "target.name", "type")

@@ -157,6 +157,20 @@ def place_score(location: Column, latitude: Column, longitude: Column, content:
     return F.when(none, F.when(F.coalesce(_mentions(content, M.PLACE_WORDS), F.lit(False)), 0).otherwise(100)).otherwise(100 - halves - F.when(F.length(location) < 3, 30).otherwise(0))
 
 
+def relationships_score(relationships: Column) -> Column:
+    """Of a JSON array: 50 without an entry; else 100, less 30 for each malformed entry and 40 if none has two names of 3 letters."""
+    part = lambda r, path: F.coalesce(F.get_json_object(r, f"$.{path}"), F.lit(""))
+    entries = F.from_json(relationships, "array<string>")
+    malformed = F.size(F.filter(entries, lambda r: reduce(or_, [part(r, p) == "" for p in M.RELATIONSHIP_PARTS])))
+    named = F.exists(entries, lambda r: (F.length(part(r, "source.name")) > 2) & (F.length(part(r, "target.name")) > 2))
+    return F.when(F.coalesce(F.size(entries), F.lit(0)) <= 0, 50).otherwise(100 - 30 * malformed - F.when(named, 0).otherwise(40))
+
+
+def finance_score(content: Column) -> Column:
+    """Of an item without financial analysis: 30 with a trigger word in its content, else 100."""
+    return F.when(_mentions(content, M.FINANCE_WORDS), 30).otherwise(100)
+
+
 _AVOID = " - ".join(f"CASE WHEN contains(lower(summary), '{t}') THEN 30 ELSE 0 END" for t in M.SUMMARY_AVOID)
 _COMMON = r"len(list_filter(regexp_split_to_array(lower(summary), '\s+'), lambda w: length(w) > 3 AND list_contains(list_slice(regexp_split_to_array(lower(content), '\s+'), 1, 100), w)))"
 _SUMMARY = f"""CASE WHEN coalesce(length(summary), 0) < 150 THEN 0 ELSE 100 - {_AVOID} - CASE WHEN contains(summary, '•') OR contains(summary, '- ') OR contains(summary, chr(10) || chr(10)) THEN 0 ELSE 20 END
@@ -183,6 +197,30 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("category", F.when(mean >= 90, "excellent").when(mean >= 75, "good").when(mean >= 50, "needs improvement").otherwise("failed"))
 
 
+_PARTS = " OR ".join(f"coalesce(json_extract_string(r, '$.{p}'), '') = ''" for p in M.RELATIONSHIP_PARTS)
+_NAMED = " AND ".join(f"length(coalesce(json_extract_string(r, '$.{p}.name'), '')) > 2" for p in ("source", "target"))
+_RELATED = f"""CASE WHEN coalesce(len(relationships::JSON::JSON[]), 0) = 0 THEN 50 ELSE 100 - 30 * len(list_filter(relationships::JSON::JSON[], lambda r: {_PARTS}))
+    - CASE WHEN len(list_filter(relationships::JSON::JSON[], lambda r: {_NAMED})) = 0 THEN 40 ELSE 0 END END"""
+_FINANCE = f"""CASE WHEN {" OR ".join(f"contains(lower(content), '{w}')" for w in M.FINANCE_WORDS)} THEN 30 ELSE 100 END"""
+
+
+@query(
+    "audit_five_scores_M9",
+    f"""WITH {ITEMS_SQL}, s AS (SELECT id, ({_SUMMARY})::INTEGER AS summary_score, ({_TAGS})::INTEGER AS tags_score, ({_RELATED})::INTEGER AS relationships_score,
+        ({_PLACE})::INTEGER AS place_score, ({_FINANCE})::INTEGER AS finance_score FROM items),
+    m AS (SELECT *, (summary_score + tags_score + relationships_score + place_score + finance_score) / 5.0::DOUBLE AS mean FROM s)
+    SELECT *, CASE WHEN mean >= 90 THEN 'excellent' WHEN mean >= 75 THEN 'good' WHEN mean >= 50 THEN 'needs improvement' ELSE 'failed' END AS category FROM m""".replace("< 150 THEN", f"< {M.SUMMARY_LEAST} THEN"),
+)
+def audit_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    five = {
+        "summary_score": summary_score(F.col("summary"), F.col("content")), "tags_score": tags_score(F.col("tags")), "relationships_score": relationships_score(F.col("relationships")),
+        "place_score": place_score(F.col("location"), F.col("latitude"), F.col("longitude"), F.col("content")), "finance_score": finance_score(F.col("content")),
+    }
+    scored = items(spark, sf_dir).select("id", *[c.alias(k) for k, c in five.items()])
+    mean = reduce(add, [F.col(k) for k in five]) / F.lit(5.0)
+    return scored.withColumn("mean", mean).withColumn("category", F.when(F.col("mean") >= 90, "excellent").when(F.col("mean") >= 75, "good").when(F.col("mean") >= 50, "needs improvement").otherwise("failed"))
+
+
 _ISSUES = {
     "shot": "screenshot_url IS NULL AND url IS NOT NULL", "summary": "coalesce(trim(summary), '') = ''", "embedding": "embedding IS NULL", "tags": "tags IS NULL OR {size}(tags) = 0", "url": "url IS NULL",
     "old": f"created_at < {_NOW.replace('TIMESTAMP ', 'TIMESTAMP ')} - INTERVAL 14 DAY AND (summary IS NULL OR embedding IS NULL)",

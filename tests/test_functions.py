@@ -127,3 +127,14 @@ def test_mappers(spark):
     tries = spark.createDataFrame([("u", 1, "x" * 10), ("u", 2, "y" * 600), ("u", 3, "z" * 900), ("v", 1, "ab"), ("v", 2, "cd")], "url string, tier int, content string")
     assert {r["url"]: r["tier"] for r in I.best_extraction(tries).collect()} == {"u": 2, "v": 1}
     assert I.merged_fetch(b, b.withColumn("description", F.lit("old")).unionByName(b.withColumn("hash", F.lit("k")))).count() == 2
+
+
+def test_relationship_and_finance_scores(spark):
+    from marginalia.plans import quality as P
+
+    good = '{"source": {"name": "Org", "type": "o"}, "type": "OWNS", "target": {"name": "Tool", "type": "t"}}'
+    flat = '{"source": "Person", "target": "Org", "relationship": "worksFor"}'
+    short = good.replace("Org", "X")
+    values = [None, "[]", f"[{good}]", f"[{good}, {flat}]", f"[{flat}]", f"[{short}]", f"[{flat}, {flat}, {flat}, {flat}]"]
+    assert column(spark, values, P.relationships_score) == [50, 50, 100, 70, 30, 60, -60]
+    assert column(spark, [None, "", "A Price list", "$5", "words"], P.finance_score) == [100, 100, 30, 30, 100]
