@@ -133,8 +133,22 @@ def p_class(s: Column, code: Column) -> Column:
 
 
 def candidates(text: Column, spans: Column) -> Column:
-    """array<struct<start, end, code, length_class, p_class>> of the runs that touch no span of ``spans``."""
-    runs = F.filter(found(text, RUN, 3), lambda r: ~F.exists(spans, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
+    """array<struct<start, end, code, length_class, p_class>> of the long parts of runs that ``spans``, sorted, leave over."""
+    touching = lambda r: F.filter(spans, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
+    part = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("rank"), b.alias("end"))
+
+    def left(r: Column) -> Column:
+        start = F.struct(r["start"].alias("at"), F.array().cast(SPANS).alias("all"))
+        return F.aggregate(
+            touching(r),
+            start,
+            lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["all"], F.array(part(acc["at"], s["start"]))).alias("all")),
+            lambda acc: F.concat(acc["all"], F.array(part(acc["at"], r["end"]))),
+        )
+
+    long = lambda r: r["end"] - r["start"] >= LEAST_RANDOM
+    whole = lambda r: ~F.exists(spans, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))
+    runs = F.filter(F.flatten(F.transform(found(text, RUN, 3), lambda r: F.when(whole(r), F.array(r)).otherwise(left(r)))), long)
 
     def tested(r: Column) -> Column:
         s = F.substring(text, r["start"] + 1, r["end"] - r["start"])

@@ -69,3 +69,13 @@ def test_redaction(spark, spans):
             at = b
     df = spark.createDataFrame([(text, spans)], f"text string, spans {S.SPANS}")
     assert df.select(S.redacted(F.col("text"), F.col("spans"))).first()[0] == out + text[at:]
+
+
+def test_what_known_forms_leave_of_a_run_is_tested(spark):
+    random.seed(5)
+    key = lambda n: "".join(random.choice(S.ALPHABETS["base64"][:62]) for _ in range(n))
+    texts = [f"see AKIA{'ABCDEFGH' * 2}/{key(40)} there" for _ in range(40)] + [f"see {key(40)}-{'0f' * 12}-{key(40)} there" for _ in range(40)]
+    out = {r["doc_id"]: r for r in S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    random_spans = {i: [(x["start"], x["end"]) for x in r["spans"] if x["rank"] == 3] for i, r in out.items()}
+    assert sum(random_spans[i] == [(24, 65)] for i in range(40)) >= 38
+    assert sum(random_spans[i] == [(4, 45), (69, 110)] for i in range(40, 80)) >= 36
