@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -19,12 +20,34 @@ RANK_BUCKETS = 1024
 #: Rows of a table, of a few numbers and names each, that may be broadcast; they are counted first.
 BROADCAST_ROWS = 50_000
 
+#: A key with more than HOT_ROWS rows and more than 1/HEAVY of all rows is hot; so there are at most HEAVY of them.
+HEAVY, HOT_ROWS = 1000, 1000
+
+#: Bits of a sieve: 8 MB, whatever the table that it is made of.
+SIEVE_BITS = 1 << 26
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def carried(df: DataFrame, replaced: Sequence[str] = (), **work: Column) -> DataFrame:
+    """``row``, a struct of the columns of ``df`` but ``replaced`` ones, beside the ``work`` columns.
+
+    While a caller's columns travel inside ``row``, no name that an operator adds can clash with theirs. As for Spark
+    itself, names that differ in case alone are one name: columns whose names match ``replaced`` so are left out.
+    """
+    gone = {x.lower() for x in replaced}
+    kept = [named(c) for c in df.columns if c.lower() not in gone]
+    return df.select(F.struct(*kept).alias("row") if kept else F.lit(None).cast("struct<>").alias("row"), *[c.alias(x) for x, c in work.items()])
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken, name = {c.lower() for c in df.columns}, stem
@@ -34,8 +57,12 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (one machine, tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
+    """The folder that the driver and all executors share. A local one stands in on a local master alone."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,12 +72,74 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def emptied(*tables: DataFrame) -> None:
+    """Drops the rows of ``written`` tables that nothing reads any more: an empty table takes each one's place."""
+    for table in tables:
+        path = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
+        if path:
+            table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside; afterwards the session has its own again."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
 def looked_up(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` as a written table to join with: broadcast if it has been counted as small, else left to a shuffled join."""
     table = written(df, name)
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def hot_from(total: int) -> int:
+    """A key with more rows than this, of ``total`` ones, is hot."""
+    return max(total // HEAVY, HOT_ROWS)
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str) -> DataFrame:
+    """The inner join of ``left`` with ``right``, a written table of one row a key, without a task for a hot key.
+
+    ``rows``: a column of ``right`` with the number of rows that ``left`` has of the key; the result lacks it. Hot keys
+    are broadcast, and their rows stay where they are; all others are shuffled. ``on`` hold no nulls.
+    """
+    on = list(on)
+    total, most = right.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    if most <= hot_from(total):
+        return left.join(right.drop(rows), on)
+    heavy = F.col(rows) > hot_from(total)
+    hot, rest = right.where(heavy).drop(rows), right.where(~heavy).drop(rows)
+    return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """A table to broadcast of at most SIEVE_BITS bits, one set for the hash of each row of ``keys`` (one long column)."""
+    slot = F.pmod(F.xxhash64(keys.columns[0]), F.lit(SIEVE_BITS).cast("long"))
+    placed = keys.select(slot.alias("slot"))
+    return placed.groupBy(F.bitmap_bucket_number("slot").alias("sieve_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("sieve_bits"))
+
+
+def sifted(df: DataFrame, key: str, sieve_table: DataFrame) -> DataFrame:
+    """``df`` with ``held``: false for rows whose ``key`` is surely not among those of the sieve.
+
+    A row whose key is there is always held; others are held by chance only, the more often the fuller the sieve. So it
+    saves shuffles and decides nothing: an exact join has to follow for the rows that it holds.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS).cast("long"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("sieve_bits"), F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    joined = df.join(F.broadcast(sieve_table), F.bitmap_bucket_number(slot) == F.col("sieve_part"), "left")
+    return joined.withColumn("held", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("sieve_part", "sieve_bits")
+
+
 def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... within each ``keys`` group, without a task that holds a whole group.
 

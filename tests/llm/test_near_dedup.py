@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -12,12 +14,15 @@ from marginalia.llm.shingles import hashed_words, mixed, shingles
 
 
 def grams(text, width=5):
+    """Weights of the shingles of a text: 1 + ln n of one that it has n times."""
     w = (text or "").lower().split()
-    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    all_ = [tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+    return {g: 1 + math.log(n) for g, n in Counter(all_).items()}
 
 
 def brute(rows):
     sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+    sums = [sum(s.values()) for s in sets]
 
     def find(x):
         while root[x] != x:
@@ -25,8 +30,9 @@ def brute(rows):
         return x
 
     for a, b in combinations(range(len(rows)), 2):
-        both = len(sets[a] & sets[b])
-        if (both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9) if sets[a] or sets[b] else True:
+        few, many = sorted((sets[a], sets[b]), key=len)
+        both = sum(min(w, many[g]) for g, w in few.items() if g in many)
+        if (both >= 0.8 * (sums[a] + sums[b] - both) - 1e-9) if sets[a] or sets[b] else True:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     least = {}
@@ -63,6 +69,8 @@ def test_planted_groups_and_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in N.classed(df).collect()} == want
     monkeypatch.setattr(N, "BLOCK", 3)  # every bucket over several tiles
     assert {r["doc_id"]: r["class_id"] for r in N.classed(df).collect()} == want
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 200)
+    assert {r["doc_id"]: r["class_id"] for r in N.classed(df).collect()} == want
     kept = N.deduplicated(df).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
@@ -85,6 +93,34 @@ def test_long_chains_are_one_component(spark):
     assert got == {**{f"{i:03d}".encode(): b"000" for i in range(n + 1)}, b"x": b"x", b"y": b"x"}
 
 
+def test_lists_that_repeat_lines_are_weighed(spark):
+    line = lambda n: f"one two three four five six seven {n}\n"
+    rows = [(1, line(1) * 40 + line(2)), (2, line(1) * 44 + line(2)), (3, line(1) * 2 + line(3)), (4, "".join(line(i) for i in range(9)))]
+    got = {r["doc_id"]: r["class_id"] for r in N.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[2] == 1 and got[3] == 3
+
+
+def test_what_a_leader_is_not_near_to_is_still_compared(spark, monkeypatch):
+    """A chain in one bucket, of which only neighbours are near, over blocks of two texts."""
+    monkeypatch.setattr(N, "BLOCK", 2)
+    word = lambda i: f"w{i:03d}"
+    rows = [(k, " ".join(word(k * 4 + i) for i in range(60))) for k in range(12)]
+    texts = spark.createDataFrame([(k, t, f"{k:02d}".encode(), 56, [7]) for k, t in rows], "doc_id long, text string, key binary, n long, bands array<long>")
+    keyed = texts.select(N.text_key(F.col("text")).alias("key"), "doc_id", "n", "bands")
+    links = N.links_of(keyed, texts.select("doc_id", "text"), 5, 0.8)
+    found = {r["node"]: r["root"] for r in N.components(links).collect()}
+    want = brute(rows)
+    assert set(want.values()) == {0} and len(found) == len(rows) and len(set(map(bytes, found.values()))) == 1
+
+
+def test_copies_of_one_id_and_ids_of_many_texts(spark):
+    rows = [(1, "a b c d e f")] * 5 + [(1, "g h i j k l"), (2, "a b c d e f"), (3, "g h i j k l"), (None, "m n o p q"), (None, "m n o p q"), (None, "r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Row", F.lit("mine")).withColumn("KEY", F.lit(1)).withColumn("stays", F.lit(2))
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in N.deduplicated(df).collect())
+    assert kept == [(0, "m n o p q"), (0, "r s t u v"), (1, "a b c d e f"), (1, "g h i j k l")]
+    assert N.deduplicated(df).columns == df.columns
+
+
 @pytest.mark.parametrize("j", [0.3, 0.8])
 def test_agreement_estimates_jaccard(j):
     rng = np.random.default_rng(1)
