@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
 import re
+import string
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +83,108 @@ def test_what_known_forms_leave_of_a_run_is_tested(spark):
     random_spans = {i: [(x["start"], x["end"]) for x in r["spans"] if x["rank"] == 3] for i, r in out.items()}
     assert sum(random_spans[i] == [(24, 65)] for i in range(40)) >= 38
     assert sum(random_spans[i] == [(4, 45), (69, 110)] for i in range(40, 80)) >= 36
+
+
+def plain(s):
+    """Encoding, length class, verdict of the battery and class of the e-value, one string at a time."""
+    code = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "base32" if re.fullmatch("[A-Z2-7]+", s) else "base64"
+    alphabet, laws = S.ALPHABETS[code], S.log_laws(code)
+    v = [alphabet.index(c) for c in (s.lower() if code == "hex" else s.replace("-", "+").replace("_", "/"))]
+    n, k, mean = len(v), len(alphabet), sum(v) / len(v)
+    chi = (k / n * sum(c * c for c in Counter(v).values()) - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
+    high = [x >= k / 2 for x in v]
+    upper, changes = sum(high), sum(a != b for a, b in zip(high, high[1:]))
+    middle = 2 * upper * (n - upper) / n
+    spread = middle * (middle - 1) / (n - 1)
+    runs = abs(changes - middle) / math.sqrt(spread) if spread > 0 else math.sqrt(n)
+    variance = sum((x - mean) ** 2 for x in v)
+    serial = abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:]))) / variance * math.sqrt(n) if variance else math.sqrt(n)
+    passes = all(x <= c + 1e-9 for x, c in zip((chi, runs, serial), S.critical(code, min(n, S.LONGEST))))
+    log_e = -max(sum(law[x] for x in v) for law in laws)
+    return code, int(math.log2(n)), passes, max(0, min(S.LAST_CLASS, math.floor(round(log_e * S.CLASSES, 6)))) if passes else 0
+
+
+def plain_scan(texts, rate):
+    """Spans of the method in each text by the rule as it is stated, over all texts."""
+    found = []
+    for i, text in enumerate(texts):
+        for m in re.finditer(S.RUN, text or ""):
+            at = m.start()
+            for a, _, b in [x for x in base(text) if x[0] < m.end() and m.start() < x[2]] + [(m.end(), 0, m.end())]:
+                if a - at >= S.LEAST_RANDOM and not re.fullmatch("[0-9]+", text[at:a]):
+                    found.append((i, at, a, plain(text[at:a])))
+                at = max(at, b)
+    out = {i: [] for i in range(len(texts))}
+    for group in {x[3][:2] for x in found}:
+        own = sorted((x for x in found if x[3][:2] == group), key=lambda x: -x[3][3])
+        least = None
+        for k, x in enumerate(own):
+            beyond = sum(y[3][3] >= x[3][3] for y in own)
+            if x[3][3] > 0 and math.exp(x[3][3] / S.CLASSES) * rate * beyond >= len(own):
+                least = x[3][3]
+        for x in own:
+            if least is not None and x[3][3] >= least:
+                out[x[0]].append((x[1], x[2]))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def natural(rng):
+    words = ["the", "Haus", "maison", "network", "config", "index", "value", "sobre", "number", "lib", "python", "release", "note", "straße".replace("ß", "ss"), "v2", "2024", "main"]
+    joint = rng.choice(["", "-", "_", "/"])
+    s = joint.join(rng.choice(words) for _ in range(rng.randint(5, 14)))
+    return rng.choice([s, s.upper(), s.title()])
+
+
+def test_spans_equal_a_plain_scan(spark, sf_dir):
+    rng = random.Random(8)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    alphabets = [*S.ALPHABETS.values(), string.ascii_letters + string.digits, "0123456789ABCDEF"]
+    texts = [f"see {natural(rng)} and {key(rng.choice([20, 24, 32, 40, 64, 200]), rng.choice(alphabets))} there" for _ in range(300)]
+    texts += [f"{natural(rng)} {natural(rng)}, token={key(32, alphabets[2])}/{key(30, alphabets[2])}" for _ in range(60)] + [None, ""]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    want = plain_scan(texts, S.RATE)
+    got = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"] if x["rank"] == 3] for r in got} == want
+    assert sum(len(x) for x in want.values()) > 200
+
+
+@pytest.mark.parametrize("code", list(S.ALPHABETS))
+@pytest.mark.parametrize("n", [20, 33, 64, 128, 300])
+def test_the_battery_turns_away_few_random_strings(code, n):
+    k = len(S.ALPHABETS[code])
+    v = np.random.default_rng([3, k, n]).integers(0, k, (6000, n))
+    limits = S.critical(code, min(n, S.LONGEST))
+    away = np.mean(np.any([x > c for x, c in zip(S.statistics(v, k), limits)], axis=0))
+    assert away <= S.LEVEL + 0.006
+
+
+def test_e_values_of_natural_strings_have_a_mean_of_one_at_most():
+    rng = np.random.default_rng(4)
+    for code in S.ALPHABETS:
+        laws = np.array(S.log_laws(code))
+        for law in laws:
+            p = np.exp(law) / np.exp(law).sum()
+            v = rng.choice(len(p), p=p, size=(20_000, 24))
+            assert np.exp(np.minimum(-laws[:, v].sum(2).max(0), 50)).mean() <= 1.05
+
+
+def test_few_natural_strings_are_reported(spark):
+    rng = random.Random(6)
+    rows = [(i, natural(rng)) for i in range(3000)] + [(5000 + i, "".join(rng.choice(S.ALPHABETS["base64"]) for _ in range(40))) for i in range(300)]
+    out = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("exists(spans, s -> s.rank = 3)")
+    ids = [r["doc_id"] for r in out.collect()]
+    assert sum(i >= 5000 for i in ids) >= 290 and sum(i < 5000 for i in ids) <= 0.02 * len(ids)
+
+
+def test_values_of_known_spans_are_judged_too(spark):
+    rng = random.Random(9)
+    key = "".join(rng.choice(S.ALPHABETS["base64"]) for _ in range(60))
+    rows = [(1, f"token={key}"), (2, "token=zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz"), (3, "token=abcdefg"), (4, None)]
+    out = {r["doc_id"]: (r["n_tested"], r["n_passed"]) for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (1, 1), 2: (1, 0), 3: (0, 0), 4: (0, 0)}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "a", "b", 3)], "doc_id long, text string, __found string, ROW string, n_Base int")
+    out = S.scan(df).first()
+    assert out["__found"] == "a" and out["ROW"] == "b" and out["n_base"] == 1 and len(S.scan(df).columns) == 8
