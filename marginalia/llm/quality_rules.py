@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import carried, emptied, joined_evenly, let, written
 
 #: White space: space, and the characters 9 to 13.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -19,8 +19,8 @@ SYMBOLS = "#*$%&|<>"
 
 #: A document of fewer words, or with a larger share of repeated ones, fails at once.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: A line is removed that stands in more documents of its host than this. The share is a second limit of the SQL alone.
-LINE_TEXTS, LINE_SHARE = 20, 0.005
+#: A line is removed that stands in more documents of its host than this.
+LINE_TEXTS = 20
 #: A document is depleted with a larger share of its words removed, or with fewer words left.
 MOST_REMOVED, LEAST_LEFT = 0.5, 20
 
@@ -81,52 +81,45 @@ def line_quality(
     """``docs`` with the counts, base_failed, n_removed_lines, n_removed_words, clean_text and kept.
 
     A null text counts as an empty one and gets an empty clean_text; null hosts are one host, and null ids one id. Equal
-    rows get equal results. Columns of ``docs`` that bear one of these names are replaced; all others stay. Lines without a word are
-    neither counted nor removed. An empty table gives an empty one.
+    rows get equal results. Columns of ``docs`` that bear one of these names, in any case, are replaced; all others stay.
+    Lines without a word are neither counted nor removed. An empty table gives an empty one.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_lines", "n_removed_words", "clean_text", "kept"]
-    rows = docs.select(*[c for c in docs.columns if c not in own])
-    keyed = rows.withColumns({
-        "__host": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")),
-        "__key": F.unhex(F.md5(F.coalesce("text", F.lit("")))),
-    })
-    copies = keyed.select("__host", "__key", F.col(doc).alias("__doc")).distinct().groupBy("__host", "__key").agg(F.count(F.lit(1)).alias("__docs"))
+    of_text, line = ["host", "key"], ["host", "line"]
+    rows = carried(
+        docs, own, host=F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")), key=F.unhex(F.md5(F.coalesce("text", F.lit("")))), doc=F.col(doc),
+        text=F.coalesce("text", F.lit("")),
+    )
+    documents = rows.select(*of_text, "doc").distinct().groupBy(*of_text).agg(F.count(F.lit(1)).alias("docs"))
     texts = written(
-        keyed.select("__host", "__key", counts(F.col("text")).alias("__c"), line_hashes(F.col("text")).alias("lines"))
-        .groupBy("__host", "__key")
-        .agg(F.first("__c").alias("__c"), F.first("lines").alias("lines"))
-        .join(copies, ["__host", "__key"]),
+        rows.select(*of_text, counts(F.col("text")).alias("c"), line_hashes(F.col("text")).alias("lines"))
+        .groupBy(*of_text).agg(F.first("c").alias("c"), F.first("lines").alias("lines"), F.count(F.lit(1)).alias("rows"))
+        .join(documents, of_text),
         "line-quality",
-    )
-    frequent = (
-        texts.select("__host", "__docs", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("__line"))
-        .groupBy("__host", "__line")
-        .agg(F.sum("__docs").alias("__in"))
-        .where(F.col("__in") > line_texts)
-        .select("__host", "__line")
-    )
-    removed = (
-        texts.select("__host", "__key", F.inline("lines"))
-        .withColumnRenamed("h", "__line")
-        .join(frequent, ["__host", "__line"])
-        .groupBy("__host", "__key")
-        .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("n").alias("n_removed_words"), F.collect_set("__line").alias("__lines"))
-    )
-    verdicts = texts.drop("lines", "__docs").join(removed, ["__host", "__key"], "left")
+    )
+    frequent = written(
+        texts.select("host", "docs", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("line"))
+        .groupBy(*line).agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts"))
+        .where(F.col("docs") > line_texts).select(*line, "texts"),
+        "frequent-lines",
+    )
+    each = texts.select(*of_text, F.inline("lines")).withColumnRenamed("h", "line")
+    removed = joined_evenly(each, frequent, line, "texts").groupBy(*of_text).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n_words"), F.collect_set("line").alias("gone")
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    n, gone = F.col("n_words"), F.col("n_removed_words")
-    clean = F.array_join(
-        F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: ~F.coalesce(F.array_contains("__lines", F.xxhash64(normalised(x))), F.lit(False))), "\n"
-    )
-    return (
-        keyed.join(verdicts, ["__host", "__key"])
-        .withColumns({f: F.col("__c")[f] for f in own[:5]})
-        .withColumns({"n_removed_lines": zero("n_removed_lines"), "n_removed_words": zero("n_removed_words")})
-        .withColumn("base_failed", (n < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > n * int(100 * MOST_REPEATED)))
-        .withColumn("kept", ~F.col("base_failed") & (gone <= n * most_removed) & (n - gone >= least_left))
-        .withColumn("clean_text", clean)
-        .select(*rows.columns, *own)
-    )
+    judged = texts.select(*of_text, "c", "rows").join(removed, of_text, "left").select(
+        *of_text, "rows", F.struct("c.*", zero("n_lines").alias("n_removed_lines"), zero("n_words").alias("n_removed_words"), "gone").alias("v")
+    )
+    judged = written(judged, "line-verdicts")
+    emptied(texts, frequent)
+    n, gone = F.col("v.n_words"), F.col("v.n_removed_words")
+    failed = (n < LEAST_WORDS) | (F.col("v.n_repeat_words") * 100 > n * int(100 * MOST_REPEATED))
+    clean = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains("v.gone", F.xxhash64(normalised(x))), F.lit(False))), "\n")
+    return joined_evenly(rows, judged, of_text, "rows").select(
+        "row.*", *[F.col(f"v.{x}").alias(x) for x in own[:5]], failed.alias("base_failed"), F.col("v.n_removed_lines").alias("n_removed_lines"),
+        gone.alias("n_removed_words"), clean.alias("clean_text"), (~failed & (gone <= n * most_removed) & (n - gone >= least_left)).alias("kept"),
+    )
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
