@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import looked_up, written
+from .common import BROADCAST_ROWS, carried, joined_evenly, written
 
 LEVELS = ("domain", "lang", "source")
 
@@ -27,7 +27,8 @@ WEIGHTS: dict[str, dict[str, int]] = {
 }
 BUDGET_SHARE, MAX_EPOCHS, SEED = 0.8, 2, 17
 
-#: An epoch's order is cut into so many equal ranges of its hash; only the one in which a budget ends is sorted.
+#: An epoch's order is cut into so many equal ranges of its hash, and the one in which a budget ends into as many again;
+#: only the rows of the last one are sorted.
 RANGES, HASH_BITS = 1024, 60
 
 
@@ -94,61 +95,78 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], bu
     return leaves.join(above.withColumnRenamed("budget", "given"), list(LEVELS))
 
 
+def beside(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` joined with a written table of a row a leaf, whose rows number ``rows`` in ``df``: broadcast if small."""
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table.drop("rows")), list(on))
+    return joined_evenly(df, table, on, "rows")
+
+
+def cuts_of(ordered: DataFrame, leaf: Sequence[str]) -> DataFrame:
+    """For each leaf (of rows with ``rest``, ``at`` and ``tokens``): over (its rest ends within its epoch), and then the
+    range of ``at`` in which it ends (cut, of RANGES * RANGES) and the tokens before that range.
+
+    Two rounds of RANGES sums a leaf, so that the range holds a millionth of a leaf's rows, however many these are.
+    """
+    bits = (RANGES - 1).bit_length()
+
+    def reached(all_: Column, start: Column) -> Column:
+        state = lambda before, cut, over: F.struct(before.alias("before"), cut.alias("cut"), F.lit(over).alias("over"))
+        return F.aggregate(
+            all_,
+            state(start, F.lit(-1).cast("long"), False),
+            lambda acc, r: F.when(acc["over"], acc).otherwise(
+                F.when(acc["before"] + r["n"] > F.col("rest"), state(acc["before"], r["part"], True)).otherwise(state(acc["before"] + r["n"], r["part"], False))
+            ),
+        )
+
+    def cut(rows: DataFrame, level: int) -> DataFrame:
+        by = [*leaf, "rest", "start"]
+        sums = rows.groupBy(*by, F.shiftright("at", HASH_BITS - level * bits).alias("part")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows"))
+        whole = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("all"), F.sum("rows").alias("rows"))
+        return written(whole.select(*leaf, reached(F.col("all"), F.col("start")).alias("r"), "rows").select(*leaf, "r.*", "rows"), "cuts")
+
+    first = cut(ordered.withColumn("start", F.lit(0).cast("long")), 1)
+    within = beside(ordered, first.where("over").withColumnRenamed("before", "start"), leaf).where(F.shiftright("at", HASH_BITS - bits) == F.col("cut"))
+    finer = cut(within.drop("cut", "over"), 2).select(*leaf, F.col("before").alias("finer_before"), F.col("cut").alias("finer_cut"))
+    return written(first.join(finer, list(leaf), "left").select(*leaf, "over", F.coalesce("finer_before", "before").alias("before"), F.col("finer_cut").alias("cut"), "rows"), "cuts")
+
+
 def mix(
     docs: DataFrame, domain: Column | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, budget_share: float = BUDGET_SHARE,
-    max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+    max_epochs: int = MAX_EPOCHS, seed: int = SEED, size: Column | None = None,
 ) -> DataFrame:
     """One row for each use of a document: its columns, domain, tokens, and epoch (from 0).
 
-    ``budget_share``: the budget as a share of all tokens of ``docs`` (less, if the tree can't hold it). A null language
-    or source counts as an empty name and stays null in the result; a null text has no tokens. No leaf gets more than
-    its budget; a leaf of which no document fits gets none. A name that isn't in ``weights`` weighs 1, a weight of 0
-    gets nothing. Equal rows are used separately. Columns of ``docs`` named domain, tokens or epoch are replaced; an
-    empty table gives an empty one.
+    ``budget_share``: the budget as a share of all tokens of ``docs`` (less, if the tree can't hold it). ``size``: the
+    tokens of a row, if they have been counted (null: none); an estimate from the text stands in. A null language or
+    source counts as an empty name and stays null in the result; a null text has no tokens by the estimate. No leaf gets
+    more than its budget; a leaf of which no document fits gets none. A name that isn't in ``weights`` weighs 1, a weight
+    of 0 gets nothing. Equal rows are used separately. Columns of ``docs`` named domain, tokens or epoch, in any case, are
+    replaced, all others stay; an empty table gives an empty one.
     """
-    rows = docs.select(*[c for c in docs.columns if c not in ("domain", "tokens", "epoch")])
-    named = {x: F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("lang", "source")}
-    keyed = rows.withColumns({
-        "domain": default_domain(named["source"]) if domain is None else domain,
-        "tokens": tokens(F.col("text")),
-        "__lang": named["lang"],
-        "__source": named["source"],
-    })
-    leaf = ["domain", "__lang", "__source"]
-    leaves = keyed.groupBy(*leaf).agg(F.sum("tokens").alias("held")).toDF(*LEVELS, "held")
-    budgets = looked_up(
-        leaf_budgets(written(leaves, "leaves"), weights, budget_share, max_epochs).select(
-            *[F.col(x).alias(y) for x, y in zip(LEVELS, leaf)],
-            F.expr("coalesce(given div nullif(held, 0), 0)").cast("int").alias("__epochs"),
-            F.expr("given - coalesce(given div nullif(held, 0), 0) * held").alias("__rest"),
-        ),
-        "budgets",
-    )
-    # the place of a row in the epoch that its leaf uses in part
-    ordered = keyed.join(budgets, leaf)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "__epochs", "doc_id", F.md5(F.coalesce("text", F.lit("")))))
-    ordered = ordered.withColumn("__at", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
-    ordered = ordered.withColumn("__range", F.shiftright("__at", HASH_BITS - (RANGES - 1).bit_length()).cast("int"))
-    sums = ordered.groupBy(*leaf, "__rest", "__range").agg(F.sum("tokens").alias("n"))
-    reached = lambda x: F.aggregate(
-        x,
-        F.struct(F.lit(0).cast("long").alias("before"), F.lit(-1).alias("cut"), F.lit(False).alias("over")),
-        lambda acc, r: F.when(acc["over"], acc).otherwise(
-            F.when(acc["before"] + r["n"] > F.col("__rest"), F.struct(acc["before"].alias("before"), r["__range"].alias("cut"), F.lit(True).alias("over")))
-            .otherwise(F.struct((acc["before"] + r["n"]).alias("before"), r["__range"].alias("cut"), F.lit(False).alias("over")))
-        ),
+    text = {x: F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("lang", "source")}
+    counted = tokens(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))
+    keyed = carried(
+        docs, ["domain", "tokens", "epoch"], domain=default_domain(text["source"]) if domain is None else domain, lang=text["lang"], source=text["source"],
+        tokens=counted, doc=F.col("doc_id"), text=F.coalesce("text", F.lit("")),
     )
-    cuts = sums.groupBy(*leaf, "__rest").agg(F.sort_array(F.collect_list(F.struct("__range", "n"))).alias("all"))
-    cuts = cuts.select(*leaf, reached(F.col("all")).alias("r"))
-    cuts = looked_up(cuts.select(*leaf, F.col("r.before").alias("__before"), F.col("r.cut").alias("__cut"), F.col("r.over").alias("__over")), "cuts")
-    placed = ordered.join(cuts, leaf)
-    sooner = F.col("__range") < F.col("__cut")
-    last = F.col("__over") & (F.col("__range") == F.col("__cut"))
-    sure = placed.where(~last).withColumn("__in", F.when(sooner | ~F.col("__over"), 1).otherwise(0))
-    running = W.partitionBy(*leaf).orderBy("__at", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = placed.where(last).withColumn("__in", F.when(F.col("__before") + F.sum("tokens").over(running) <= F.col("__rest"), 1).otherwise(0))
-    used = sure.unionByName(edge).withColumn("__uses", F.col("__epochs") + F.col("__in")).where(F.col("__uses") > 0)
-    return used.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__uses") - 1))).select(*rows.columns, "domain", "tokens", "epoch")
+    leaf = list(LEVELS)
+    leaves = written(keyed.groupBy(*leaf).agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("rows")), "leaves")
+    given = leaf_budgets(leaves.drop("rows"), weights, budget_share, max_epochs)
+    whole = F.expr("coalesce(given div nullif(held, 0), 0)")
+    budgets = written(given.join(leaves.drop("held"), leaf).select(*leaf, whole.cast("int").alias("epochs"), (F.col("given") - whole * F.col("held")).alias("rest"), "rows"), "budgets")
+    # the place of a row in the epoch that its leaf uses in part
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "epochs", "doc", F.md5("text")))
+    ordered = beside(keyed, budgets, leaf).withColumn("at", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")).drop("text")
+    cuts = cuts_of(ordered.drop("row"), leaf)
+    part = F.shiftright("at", HASH_BITS - 2 * (RANGES - 1).bit_length())
+    placed = beside(ordered, cuts, leaf).withColumn("last", F.col("over") & (part == F.col("cut")))
+    sure = placed.where(~F.col("last")).withColumn("more", F.when(~F.col("over") | (part < F.col("cut")), 1).otherwise(0))
+    running = W.partitionBy(*leaf).orderBy("at", "doc", "tokens").rowsBetween(W.unboundedPreceding, 0)
+    edge = placed.where("last").withColumn("more", F.when(F.col("before") + F.sum("tokens").over(running) <= F.col("rest"), 1).otherwise(0))
+    used = sure.unionByName(edge).withColumn("uses", F.col("epochs") + F.col("more")).where(F.col("uses") > 0)
+    return used.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("uses") - 1))).select("row.*", "domain", "tokens", "epoch")
 
 
 def op4_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
