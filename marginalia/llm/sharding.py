@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, let
+from .common import carried, gapless_rank, let, named
 
 #: Fixed values of the published algorithm: the multiplier of its generator, and the powers of two that it divides by.
 MULTIPLIER = 2862933555777941757
@@ -58,14 +58,14 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, order: tuple
     """``df`` with shard, slot (gapless from 0 within the shard) and grown_shard (the shard if there were one more).
 
     Rows with equal keys share a shard, and all rows with a null key. ``order`` names columns that tell apart rows of
-    one key; rows alike in those too get neighbouring slots. Columns named shard, slot or grown_shard are replaced.
-    An empty table gives an empty one.
+    one key; rows alike in those too get neighbouring slots. Columns of these names, in any case, are replaced, all others
+    stay. An empty table gives an empty one.
     """
     dtype = dict(df.dtypes)[key]
-    placed = df.withColumn("shard", jump(jump_key(F.col(key), dtype), shards)).select(
-        *[c for c in df.columns if c not in ("shard", "slot", "grown_shard")], "shard.*"
-    )
-    return gapless_rank(placed, ["shard"], [key, *order], "slot")
+    names = [f"order_{i}" for i in range(1 + len(order))]
+    keyed = carried(df, ["shard", "slot", "grown_shard"], jumped=jump(jump_key(named(key), dtype), shards), **{x: named(c) for x, c in zip(names, [key, *order])})
+    placed = keyed.select("row", *names, "jumped.*")
+    return gapless_rank(placed, ["shard"], names, "slot").select("row.*", "shard", "grown_shard", "slot")
 
 
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
