@@ -14,16 +14,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from .common import carried, written
 from .shingles import word_bounds, word_hashes
 
 #: Words of a passage; buckets of hashed byte pairs.
 PASSAGE, PAIRS = 64, 48
-#: Labelled documents that training takes at most (by a hash of their id), and passages that stand for one of them
-#: there: neighbouring passages of a longer document are averaged, so that each of its words counts.
-SAMPLE, INSTANCES = 4000, 32
+#: Bounds of the training sample: labelled documents (the first by a hash of their id), and their passages in all. A
+#: document of the sample comes with all its passages; one that alone has more than an eighth of the bound is left out.
+SAMPLE, SAMPLE_PASSAGES = 4000, 200_000
 #: Units of the encoder and of the attention, and training.
-HIDDEN, ATTENTION, EPOCHS, RATE, DECAY, SEED = 24, 12, 250, 0.02, 1e-3, 5
+HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 12, 40, 256, 0.01, 1e-3, 5
 
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 5, 0
 
@@ -71,14 +73,6 @@ def passages(text: str | None) -> np.ndarray:
     return np.concatenate([shares, rest, np.sqrt(pairs)], axis=1).astype(np.float32)
 
 
-def folded(x: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` rows: the averages of equal stretches of neighbouring rows."""
-    if len(x) <= most:
-        return x
-    at = np.linspace(0, len(x), most + 1).astype(int)[:-1]
-    return np.add.reduceat(x, at, axis=0) / np.diff(np.append(at, len(x)))[:, None]
-
-
 @dataclass
 class Model:
     mean: np.ndarray
@@ -117,20 +111,25 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, y: np.nd
     }
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Model:
-    """Adam on the log loss of all bags at once; bags in a fixed order give the same model again."""
-    x = np.concatenate(bags).astype(float)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    x, at = np.clip((x - mean) / scale, -8, 8), np.cumsum([0] + [len(b) for b in bags])[:-1]
+def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS, batch: int = BATCH) -> Model:
+    """Adam on the log loss of ``batch`` bags at a time; bags in a fixed order give the same model again."""
+    x = np.concatenate(bags)
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape)
     w = {"W": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, ATTENTION), "U": draw(HIDDEN, ATTENTION), "a": draw(ATTENTION), "c": draw(HIDDEN), "d": np.zeros(())}
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    for t in range(1, epochs + 1):
-        for k, g in _gradients(w, x, at, labels).items():
-            g = g + DECAY * w[k] * (k not in "bd")
-            m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
-            w[k] = w[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+    t = 0
+    for _ in range(epochs):
+        order = rng.permutation(len(bags))
+        for own in (order[i : i + batch] for i in range(0, len(order), batch)):
+            some = [bags[i] for i in own]
+            part, at = np.clip((np.concatenate(some) - mean) / scale, -8, 8), np.cumsum([0] + [len(b) for b in some])[:-1]
+            t += 1
+            for k, g in _gradients(w, part, at, labels[own]).items():
+                g = g + DECAY * w[k] * (k not in "bd")
+                m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
+                w[k] = w[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
     return Model(mean, scale, w)
 
 
@@ -139,22 +138,29 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, passages_in_all: int = SAMPLE_PASSAGES) -> Model | None:
     """A model from ``labels`` (doc_id, quality 0 or 1) outside the held-out fold and the texts of their documents.
 
-    At most ``sample`` labels are used, by the least hash of their id; an id with several labels or texts counts once,
-    with the least of each. Null ids, null labels and labels other than 0 and 1 are left out. None without any label.
+    At most ``sample`` labels are used, by the least hash of their id, and of these documents as many as have
+    ``passages_in_all`` passages together. An id with several labels or texts counts once, with the least of each. Null
+    ids, null labels and labels other than 0 and 1 are left out. None without any label.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    taken = known.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string"))), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    place = F.md5(F.concat(F.lit(f"{seed}|"), F.col("doc_id").cast("string")))
+    taken = known.withColumn("place", place).orderBy("place", "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "place").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "quality": f["quality"], "x": [folded(passages(t), INSTANCES).astype("<f4").tobytes() for t in f["text"]]})
-
-    rows = sorted(texts.mapInPandas(encode, "doc_id long, quality int, x binary").collect(), key=lambda r: r["doc_id"])
+            bags = [passages(t) for t in f["text"]]
+            yield pd.DataFrame({"place": f["place"], "quality": f["quality"], "n": [len(x) for x in bags], "x": [x.astype("<f4").tobytes() for x in bags]})
+
+    encoded = written(texts.mapInPandas(encode, "place string, quality int, n long, x binary"), "bags")
+    encoded = encoded.where(F.col("n") * 8 <= passages_in_all)
+    so_far = F.sum("n").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))  # of the sample's rows at most
+    last = encoded.select("place", so_far.alias("so_far")).where(F.col("so_far") <= passages_in_all).agg(F.max("place")).first()[0]
+    rows = sorted(encoded.where(F.col("place") <= F.lit(last)).collect(), key=lambda r: r["place"])
     if not rows:
         return None
     bags = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, WIDTH) for r in rows]
@@ -177,11 +183,12 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     """``docs`` with score (0 to 1, higher: label 1 is likelier) and predicted (1 from ``threshold`` on).
 
     A null or empty text, and one without words, is a bag of one empty passage and gets that bag's score; equal texts
-    get equal scores. Columns of ``docs`` of these names are replaced; an empty table gives an empty one.
+    get equal scores. Columns of ``docs`` of these names, in any case, are replaced, all others stay; an empty table gives
+    an empty one.
     """
-    rows = docs.drop("score", "predicted")
-    model = train(rows, labels, sample)
-    return rows.withColumn("score", scorer(model)(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model = train(docs, labels, sample)
+    rows = carried(docs, ["score", "predicted"], score=scorer(model)(F.col("text")))
+    return rows.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
