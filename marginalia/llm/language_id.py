@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles (Joshi, Halseth and Kanerva, 2016).
 
-Each letter has a random vector of +1 and -1. The vector of an n-gram binds (multiplies) its letters' vectors, each
+Each letter has a random vector of +1 and -1, made of hashes of its code point. The vector of an n-gram binds (multiplies) its letters' vectors, each
 permuted once for every place before the last; a document's vector bundles (adds) those of its n-grams, and a
 language's prototype those of its documents at equal length. The language whose prototype has the greatest cosine with
 a document wins. Prototypes are added up in Spark, one row a language and component, whatever the size of the corpus.
@@ -16,13 +16,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried, written
 from .quality_classifier import fold
+from .shingles import mixed
 
-DIMENSION, GRAM, LETTERS, SEED = 1024, 3, 256, 11
+DIMENSION, GRAM, SEED = 1024, 3, 11
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
 
-#: Vectors of n-grams that a worker keeps; whole parts that a unit is counted in when documents are added up.
-KEPT, PARTS = 16_384, 1 << 20
+#: Letters and n-grams whose vectors a worker keeps; whole parts that a unit is counted in when documents are added up.
+LETTERS, KEPT, PARTS = 256, 16_384, 1 << 20
+
+#: Languages that may be told apart: their prototypes, a vector each, come to the driver.
+LANGUAGES = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -31,40 +36,74 @@ def _is_letter() -> np.ndarray:
 
 
 def letters(text: str | None) -> np.ndarray:
-    """0 for each stretch of other characters, 1 to LETTERS - 1 for letters whatever their case; begins and ends with 0."""
+    """The code points of letters, whatever their case, and 0 for each stretch of other characters; begins and ends with 0."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    is_letter = _is_letter()[codes]
     x = np.zeros(len(codes) + 2, np.int64)
-    x[1:-1] = np.where(is_letter, codes % (LETTERS - 1) + 1, 0)
+    x[1:-1] = np.where(_is_letter()[codes], codes, 0)
     return x[(x != 0) | (np.append(1, x[:-1]) != 0)]
 
 
+def letter_vectors(codes: np.ndarray, dimension: int, seed: int) -> np.ndarray:
+    """A row of +1 and -1 for each code point (or 0 for a gap): the bits of hashes of it."""
+    words = np.arange(-(-dimension // 64), dtype=np.uint64) + np.uint64(seed << 32)
+    bits = mixed(mixed(codes.astype(np.uint64) + np.uint64(1))[:, None] + words[None, :] * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.view(np.uint8), axis=1)[:, :dimension].astype(np.int8) * 2 - 1
+
+
 class Encoder:
-    """Unit vectors of texts; the vectors of frequent n-grams are kept between texts."""
+    """Unit vectors of texts; the vectors of frequent letters and n-grams are kept between texts."""
 
     def __init__(self, dimension: int = DIMENSION, gram: int = GRAM, seed: int = SEED) -> None:
-        rng = np.random.default_rng(seed)
-        self.dimension, self.gram = dimension, gram
-        base = rng.integers(0, 2, (LETTERS, dimension), np.int8) * 2 - 1
-        self.place = [np.roll(base, gram - 1 - i, axis=1) for i in range(gram)]
+        self.dimension, self.gram, self.seed = dimension, gram, seed
+        self.number, self.known = np.full(0x110000, -1, np.int32), 0  # of the letters that are kept
+        self.place = np.zeros((gram, LETTERS, dimension), np.int8)
         self.row = np.full(LETTERS**gram, -1, np.int32)
-        self.kept = np.zeros((KEPT, dimension), np.float32)
-        self.n = 0
+        self.kept, self.n = np.zeros((KEPT, dimension), np.float32), 0
+
+    def _placed(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The vectors of letters in each place of an n-gram."""
+        base = letter_vectors(codes, self.dimension, self.seed)
+        return [np.roll(base, self.gram - 1 - i, axis=1) for i in range(self.gram)]
+
+    def _numbers(self, x: np.ndarray) -> np.ndarray:
+        if self.known < LETTERS and (self.number[x] < 0).any():
+            new = np.unique(x[self.number[x] < 0])[: LETTERS - self.known]
+            self.number[new] = np.arange(self.known, self.known + len(new))
+            self.place[:, self.known : self.known + len(new)] = self._placed(new)
+            self.known += len(new)
+        return self.number[x]
 
     def _bound(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of n-grams of kept letters."""
         v = np.ones((len(codes), self.dimension), np.int8)
         for i in range(self.gram):
             v *= self.place[i][codes // LETTERS ** (self.gram - 1 - i) % LETTERS]
         return v.astype(np.float32)
 
+    def _rare(self, grams: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of n-grams with other letters."""
+        grams, times = np.unique(grams, axis=0, return_counts=True)
+        total = np.zeros(self.dimension, np.float32)
+        for at in range(0, len(grams), 1024):
+            own, index = np.unique(grams[at : at + 1024], return_inverse=True)
+            placed, index = self._placed(own), index.reshape(-1, self.gram)
+            v = np.ones((len(index), self.dimension), np.int8)
+            for i in range(self.gram):
+                v *= placed[i][index[:, i]]
+            total += times[at : at + 1024].astype(np.float32) @ v.astype(np.float32)
+        return total
+
     def vector(self, text: str | None) -> np.ndarray | None:
         """None for a text without letters."""
         x = letters(text)
         if not x.any():
             return None
         n = len(x) - self.gram + 1
-        codes = sum(x[i : i + n] * LETTERS ** (self.gram - 1 - i) for i in range(self.gram))
-        codes, times = np.unique(codes, return_counts=True)
+        numbers = self._numbers(x).astype(np.int64)
+        codes = sum(numbers[i : i + n] * LETTERS ** (self.gram - 1 - i) for i in range(self.gram))
+        frequent = np.logical_and.reduce([numbers[i : i + n] >= 0 for i in range(self.gram)])
+        rare = self._rare(np.lib.stride_tricks.sliding_window_view(x, self.gram)[~frequent]) if not frequent.all() else 0
+        codes, times = np.unique(codes[frequent], return_counts=True)
         new = codes[self.row[codes] < 0][: len(self.kept) - self.n]
         if len(new):
             self.kept[self.n : self.n + len(new)] = self._bound(new)
@@ -72,7 +111,7 @@ class Encoder:
             self.n += len(new)
         row = self.row[codes]
         known, times = row >= 0, times.astype(np.float32)
-        total = times[known] @ self.kept[row[known]]
+        total = times[known] @ self.kept[row[known]] + rare
         rest = codes[~known]
         for at in range(0, len(rest), 1024):
             total = total + times[~known][at : at + 1024] @ self._bound(rest[at : at + 1024])
@@ -88,7 +127,7 @@ def encoder(dimension: int, gram: int, seed: int) -> Encoder:
 def prototypes(docs: DataFrame, dimension: int = DIMENSION, gram: int = GRAM, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """The languages of ``docs`` (text, lang) and their unit prototypes; rows of null language don't count.
 
-    Sums are of whole numbers, so they don't depend on the order of rows.
+    Sums are of whole numbers, so they don't depend on the order of rows. More than LANGUAGES languages raise ValueError.
     """
 
     def bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +140,10 @@ def prototypes(docs: DataFrame, dimension: int = DIMENSION, gram: int = GRAM, se
             yield pd.DataFrame({"lang": list(sums), "v": list(sums.values())})
 
     sums = docs.where(F.col("lang").isNotNull()).select("text", "lang").mapInPandas(bundle, "lang string, v array<long>")
-    rows = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
+    added = written(sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")), "prototypes")
+    if (n := added.where("i = 0").count()) > LANGUAGES:
+        raise ValueError(f"lang holds {n} values; at most {LANGUAGES} languages can be told apart")
+    rows = added.collect()
     langs = sorted({r["lang"] for r in rows})
     at, out = {x: i for i, x in enumerate(langs)}, np.zeros((len(langs), dimension))
     for r in rows:
@@ -131,12 +173,12 @@ def identified(docs: DataFrame, learn_from: Column, dimension: int = DIMENSION,
     """``docs`` with lang_pred and score, learnt from the rows where ``learn_from`` holds and lang isn't null.
 
     ``und`` with score 0: a null text, one without letters, and all texts where there is nothing to learn from. Of
-    languages with equal cosines the first by name wins; equal texts get equal results. Columns of these names are
-    replaced; an empty table gives an empty one.
+    languages with equal cosines the first by name wins; equal texts get equal results. Columns of these names, in any
+    case, are replaced, all others stay; an empty table gives an empty one.
     """
-    rows = docs.drop("lang_pred", "score")
-    langs, profiles = prototypes(rows.where(learn_from), dimension, gram, seed)
-    return rows.withColumn("__p", predictor(langs, profiles, gram, seed)(F.col("text"))).select(*rows.columns, "__p.lang_pred", "__p.score")
+    langs, profiles = prototypes(docs.where(learn_from), dimension, gram, seed)
+    rows = carried(docs, ["lang_pred", "score"], found=predictor(langs, profiles, gram, seed)(F.col("text")))
+    return rows.select("row.*", "found.lang_pred", "found.score")
 
 
 def op2_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
