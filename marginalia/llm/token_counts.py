@@ -1,25 +1,29 @@
 """Edit-aware token counts: a segment tree over the pre-tokens of each document, and recounts of what edits touch.
 
-Leaves are stretches of whole pre-tokens: a text is cut before a single space that stands between two other characters,
-where the tokenizer's pre-tokens part whatever stands further left or right. So the counts of leaves add up to the
-count of the text, inner nodes hold the sums of their leaves, and an edit changes the count only of leaves that it
-touches and of neighbours that it joins to them (where the cut's own three characters are changed). Those are encoded
-again, and the sums above them updated; all others stay.
+Leaves are stretches of whole pre-tokens. A text is cut where the tokenizer's pre-tokens part whatever stands further
+left or right: before a single space between two other characters, and between letters, digits and other signs (not
+after an apostrophe, which a few letters may follow in one pre-token). So the counts of leaves add up to the count of the
+text, inner nodes hold the sums of their leaves, and an edit changes the count only of leaves that it touches and of
+neighbours that it joins to them, where the characters around a cut are changed. Those are encoded again, and the sums
+above them updated; all others stay.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried, written
 from .secrets import found
 from .tokenise import default_path
 
@@ -29,7 +33,9 @@ LEAF = 256
 #: What the registered query masks: long numbers and addresses of electronic mail.
 MASKED, MASK = r"[0-9]{5,}|[A-Za-z0-9._]+@[A-Za-z0-9.]+", "[masked]"
 
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_CUT = regex.compile(
+    r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})"
+)
 
 Count = Callable[[list[str]], list[int]]
 
@@ -85,6 +91,46 @@ def edited(text: str, edits: Sequence[tuple[int, int, str]], low: int = 0, high:
     return "".join(parts) + text[at:high]
 
 
+def touched(text: str, starts: list[int], edits: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, deque[str]]]:
+    """First leaf, last leaf and new text (in parts) of each stretch of leaves to be cut anew, none next to a false cut.
+
+    A stretch takes in a neighbour while the characters at its end no longer make a cut; every leaf is taken in once.
+    """
+    ends, last = [*starts[1:], len(text)], len(starts) - 1
+    base: list[list] = []
+    for e in edits:
+        i, j = bisect_right(starts, e[0]) - 1, bisect_right(starts, max(e[0], e[1] - 1)) - 1
+        if base and i <= base[-1][1]:
+            base[-1][1] = max(j, base[-1][1])
+            base[-1][2].append(e)
+        else:
+            base.append([i, j, [e]])
+    out: list[tuple[int, int, deque[str]]] = []
+    for n, (i, j, own) in enumerate(base):
+        parts = deque(filter(None, [edited(text, own, starts[i], ends[j])]))
+        after = base[n + 1][0] if n + 1 < len(base) else len(starts)
+        while True:
+            if i > 0:
+                met = bool(out) and out[-1][1] == i - 1
+                before = (out[-1][2][-1][-1:] if out[-1][2] else "") if met else text[starts[i] - 1]
+                if not before or not _CUT.match(before + "".join(islice(parts, 2))[:2], 1):
+                    if met:
+                        i, _, left = out.pop()
+                        left.extend(parts)
+                        parts = left
+                    else:
+                        i -= 1
+                        parts.appendleft(text[starts[i] : ends[i]])
+                    continue
+            if j < last and j + 1 < after and (not parts or not _CUT.match(parts[-1][-1] + text[starts[j + 1] : starts[j + 1] + 2], 1)):
+                j += 1
+                parts.append(text[starts[j] : ends[j]])
+                continue
+            break
+        out.append((i, j, parts))
+    return out
+
+
 def recount(
     text: str, starts: list[int], sums: list[int], edits: Sequence[tuple[int, int, str]], count: Count, leaf: int = LEAF
 ) -> tuple[str, list[int], list[int], int]:
@@ -96,32 +142,13 @@ def recount(
         new = edited(text, edits)
         at = cut(new, leaf)
         return new, at, tree(count([new[a:b] for a, b in zip(at, [*at[1:], len(new)])])), len(at)
-    ends, last = [*starts[1:], len(text)], len(starts) - 1
-    groups: list[list] = []  # first leaf, last leaf, edits
-    for e in edits:
-        i, j = bisect_right(starts, e[0]) - 1, bisect_right(starts, max(e[0], e[1] - 1)) - 1
-        groups.append([i, j, [e]])
-    done: list[tuple[int, int, str, list]] = []
-    while groups:
-        i, j, own = groups.pop(0)
-        if done and i <= done[-1][1]:  # it meets leaves that an earlier group has taken in
-            x, y, _, theirs = done.pop()
-            groups.insert(0, [x, max(j, y), theirs + own])
-            continue
-        part = edited(text, own, starts[i], ends[j])
-        if i > 0 and not (len(part) > 1 and part[0] == " " and not part[1].isspace()):
-            groups.insert(0, [i - 1, j, own])
-        elif j < last and (not part or part[-1].isspace()):
-            groups.insert(0, [i, j + 1, own])
-        elif groups and groups[0][0] <= j:
-            groups[0] = [i, max(j, groups[0][1]), own + groups[0][2]]
-        else:
-            done.append((i, j, part, own))
+    last = len(starts) - 1
+    done = [(i, j, "".join(parts)) for i, j, parts in touched(text, starts, edits)]
     m = len(sums) // 2
     old, parts, leaves, counts = sums[m : m + len(starts)], [], [], []
     at = length = encoded = 0
     in_place, changes = True, []
-    for i, j, part, _ in done:
+    for i, j, part in done:
         for k in range(at, i):
             leaves.append(length + starts[k] - starts[at])
         parts.append(text[starts[at] : starts[i]] if i > at else "")
@@ -153,7 +180,8 @@ def recount(
 def with_trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """``docs`` with token_leaves (array<int>: where leaves begin) and token_tree (array<long>) of each whole text.
 
-    A null text counts as an empty one: no leaves, a tree of the sum 0. Columns of these names are replaced.
+    A null text counts as an empty one: no leaves, a tree of the sum 0. Columns of these names, in any case, are
+    replaced, all others stay.
     """
     path = path or default_path("byte_bpe_50k.tiktoken")
 
@@ -167,8 +195,8 @@ def with_trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> Da
                 rows.append((at, tree(count([text[a:b] for a, b in zip(at, [*at[1:], len(text)])] if at else []))))
             yield pd.DataFrame(rows, columns=["leaves", "tree"])
 
-    rows = docs.drop("token_leaves", "token_tree")
-    return rows.withColumn("__t", build("text")).select(*rows.columns, F.col("__t.leaves").alias("token_leaves"), F.col("__t.tree").alias("token_tree"))
+    rows = carried(docs, ["token_leaves", "token_tree"], made=build("text"))
+    return rows.select("row.*", F.col("made.leaves").alias("token_leaves"), F.col("made.tree").alias("token_tree"))
 
 
 def with_edits(docs: DataFrame, edits: Column, path: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -176,7 +204,9 @@ def with_edits(docs: DataFrame, edits: Column, path: str | None = None, leaf: in
 
     ``edits``: array<struct<start, end, text>> in code points of the old text, each putting text in place of [start,
     end); they may come in any order. Ends outside the text are moved to it, an edit that begins before an earlier one
-    ends is left out, and a null array or replacement is an empty one. n_encoded: leaves that were encoded again.
+    ends is left out, and a null array or replacement is an empty one. n_encoded: leaves that were encoded again. Rows
+    without an edit stay as they are, and their texts stay in the JVM. A column named n_encoded is replaced, all others
+    stay.
     """
     path = path or default_path("byte_bpe_50k.tiktoken")
 
@@ -187,16 +217,16 @@ def with_edits(docs: DataFrame, edits: Column, path: str | None = None, leaf: in
             rows = []
             for text, leaves, sums, a, b, new in zip(*columns):
                 if a is None or not len(a):
-                    rows.append((text, leaves, sums, 0))
+                    rows.append((None, None, None, 0))
                 else:
                     rows.append(recount(text or "", [int(x) for x in leaves], [int(x) for x in sums], list(zip(map(int, a), map(int, b), new)), count, leaf))
             yield pd.DataFrame(rows, columns=["text", "leaves", "tree", "n_encoded"])
 
-    rows = docs.drop("n_encoded").withColumn("__e", edits)
-    changed = update("text", "token_leaves", "token_tree", *[F.col("__e")[x] for x in ("start", "end", "text")])
-    named = {"text": "text", "token_leaves": "leaves", "token_tree": "tree", "n_encoded": "n_encoded"}
-    out = rows.withColumn("__u", changed)
-    return out.select(*[F.col(f"__u.{named[c]}").alias(c) if c in named else F.col(c) for c in docs.columns if c != "n_encoded"], "__u.n_encoded")
+    own = {"text": "text", "token_leaves": "leaves", "token_tree": "tree"}
+    rows = carried(docs, [*own, "n_encoded"], edits=edits, **{c: F.col(c) for c in own})
+    any_ = F.coalesce(F.size("edits") > 0, F.lit(False))
+    changed = rows.withColumn("u", update(*[F.when(any_, F.col(c)) for c in own], *[F.col("edits")[x] for x in ("start", "end", "text")]))
+    return changed.select("row.*", *[F.when(any_, F.col(f"u.{x}")).otherwise(F.col(c)).alias(c) for c, x in own.items()], "u.n_encoded")
 
 
 def masking(text: Column) -> Column:
@@ -205,10 +235,12 @@ def masking(text: Column) -> Column:
 
 
 def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_trees(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # trees are kept in a table, as they would be from one edit of the corpus to the next
+    stored = written(with_trees(docs.withColumn("edits", masking(F.col("text")))), "token-trees")
     total = lambda: F.get("token_tree", 1)
-    before = docs.withColumns({"n_tokens": total(), "n_leaves": F.size("token_leaves"), "n_edits": F.size(masking(F.col("text")))})
-    return with_edits(before, masking(F.col("text"))).select(
+    before = stored.withColumns({"n_tokens": total(), "n_leaves": F.size("token_leaves"), "n_edits": F.size("edits")})
+    return with_edits(before, F.col("edits")).select(
         "doc_id", "n_tokens", "n_leaves", "n_edits", F.col("n_encoded").alias("n_leaves_encoded"), total().alias("n_tokens_edited"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("edited_crc32"),
     )
