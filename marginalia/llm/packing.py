@@ -99,12 +99,13 @@ def plan(counts: Mapping[int, int], size: int) -> list[tuple[int, int, int, int,
     return placed
 
 
-def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
+def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False, with_epoch: bool = False) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, and epoch).
 
     ``tokenizer``: the place of a vocabulary file. A null or empty text is the single token ``end``; repeated rows and
     null ids are packed like any others; a text of any length is cut into as many pieces as it takes, only the last
-    one shorter than ``size``. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    one shorter than ``size``. epoch: 0, 1, ... for the uses of a document, rows with one id and one text; which piece of
+    which use comes first is open. Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, size, tokenizer, end, with_ids), "pieces")
@@ -116,7 +117,11 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: i
     ranked = gapless_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
     at = F.col("rank") - F.col("first")
     on = (F.col("length") == F.col("planned")) & (F.expr(f"rank div {CHUNK}") == F.col("part")) & (at >= 0) & (at < F.col("n"))
-    return ranked.join(slots, on).select(*cut.columns, (F.col("sequence") + at).alias("sequence_id"), "offset")
+    placed = ranked.join(slots, on).select(*cut.columns, (F.col("sequence") + at).alias("sequence_id"), "offset")
+    if not with_epoch:
+        return placed
+    keyed = placed.withColumn("use", F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.col("doc_id").isNull()))
+    return gapless_rank(written(keyed, "placed"), ["use"], ["sequence_id", "offset"], "epoch", buckets=1).drop("use")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
