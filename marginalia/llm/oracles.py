@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .common import RANK_BUCKETS
 from .mixing import BUDGET_SHARE, HASH_BITS, LEVELS, MAX_EPOCHS, SEED, WEIGHTS
-from .quality_rules import LEAST_LEFT, LEAST_WORDS, LINE_SHARE, LINE_TEXTS, MOST_REMOVED
+from .quality_rules import LEAST_LEFT, LEAST_WORDS, LINE_TEXTS, MOST_REMOVED
 from .sharding import MULTIPLIER, SHARDS
 
 
@@ -47,7 +47,7 @@ WITH v AS (
 ),
 pairs AS (
     SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+    FROM (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id) a JOIN v b ON a.vec_id <> b.vec_id
 )
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs) WHERE rank <= 20
@@ -66,11 +66,10 @@ rep AS (SELECT text, count(DISTINCT i + d)::BIGINT AS n FROM twice, range(3) AS
 lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM texts),
 full_lines AS (SELECT text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT text, (count(*) - count(DISTINCT line))::BIGINT AS n FROM full_lines GROUP BY text),
-hosts AS (SELECT host, count(DISTINCT text) AS texts FROM t GROUP BY host),
 host_texts AS (SELECT DISTINCT host, text FROM t),
 often AS (
-    SELECT h.host, f.norm FROM host_texts h JOIN full_lines f USING (text) JOIN hosts USING (host)
-    GROUP BY h.host, f.norm, hosts.texts HAVING count(DISTINCT f.text) > {LINE_TEXTS} AND count(DISTINCT f.text) > hosts.texts * {LINE_SHARE}::DOUBLE
+    SELECT d.host, f.norm FROM (SELECT DISTINCT host, doc_id, text FROM t) d JOIN (SELECT DISTINCT text, norm FROM full_lines) f USING (text)
+    GROUP BY d.host, f.norm HAVING count(*) > {LINE_TEXTS}
 ),
 gone AS (
     SELECT h.host, h.text, count(*)::BIGINT AS lines, sum(len(string_split(f.norm, ' ')))::BIGINT AS words
