@@ -23,8 +23,8 @@ BROADCAST_ROWS = 50_000
 #: A key with more than HOT_ROWS rows and more than 1/HEAVY of all rows is hot; so there are at most HEAVY of them.
 HEAVY, HOT_ROWS = 1000, 1000
 
-#: Bits of a sieve: 8 MB, whatever the table that it is made of.
-SIEVE_BITS = 1 << 26
+#: Bits of a sieve: 4 MB, whatever the table that it is made of.
+SIEVE_BITS = 1 << 25
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

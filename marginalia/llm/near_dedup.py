@@ -28,6 +28,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, BANDS = 240, 40
 #: Members and shingles of a block, on average (one text may hold more), and columns of a shingle matrix at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 500_000, 4096
+#: Sets up to which the lesser weights are added up row by row instead of value by value.
+FEW = 16
 
 
 def text_key(text: Column) -> Column:
@@ -90,6 +92,11 @@ def common_weights(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndar
         out += m @ m.T
     above = more > 0
     row, column, more = row[above], column[above], more[above]
+    if len(sets) <= FEW:
+        column = np.unique(column, return_inverse=True)[1]
+        m = np.zeros((len(sets), int(column.max(initial=-1)) + 1))
+        m[row, column] = more
+        return out + np.stack([np.minimum(x, m).sum(axis=1) for x in m])
     ends = np.flatnonzero(np.diff(column, append=-1)) + 1
     for a, b in zip(np.append(0, ends[:-1]), ends):
         if b - a > 1:
@@ -179,6 +186,9 @@ def links_of(texts: DataFrame, docs: DataFrame, width: int, similarity: float) -
     ``texts``: key, doc_id, n, bands. ``docs``: doc_id, text; of each text the rows of its least doc_id are looked at.
     """
     banded = texts.select("key", "n", F.explode("bands").alias("band"))
+    # most bands have one text; only the others are looked at further
+    shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("band"), "shared-bands")
+    banded = sifted(banded, "band", sieve(shared)).where("held").drop("held")
     # two hashes and the number of members stand for the members themselves
     sized = banded.groupBy("band").agg(
         F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("who_else"),
@@ -204,7 +214,7 @@ def links_of(texts: DataFrame, docs: DataFrame, width: int, similarity: float) -
     # what the leader of a cut bucket isn't near to meets the other blocks too
     linked = first.where("b IS NOT NULL").select("a", "b")
     if first.where("b IS NULL").isEmpty():
-        emptied(once, buckets, wanted, sets)
+        emptied(shared, once, buckets, wanted, sets)
         return linked
     rest = first.where("b IS NULL").select("band", F.col("a").alias("key")).distinct()
     dealt = rest.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
@@ -217,7 +227,7 @@ def links_of(texts: DataFrame, docs: DataFrame, width: int, similarity: float) -
     )
     second = asked.unionByName(met).join(sets, "key").groupBy("band", "lot", "i").applyInPandas(tile_links(similarity), found)
     links = written(linked.unionByName(second.where("b IS NOT NULL").select("a", "b")), "near")
-    emptied(once, buckets, wanted, sets, first, sizes)
+    emptied(shared, once, buckets, wanted, sets, first, sizes)
     return links
 
 
