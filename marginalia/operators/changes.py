@@ -9,7 +9,7 @@ from ..sources.items import first_by
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The new snapshot: of each key the first row by ``order`` over both tables; a second run changes nothing."""
+    """The new snapshot: of each key the first row by ``order`` (ascending) over both tables; a second run changes nothing."""
     return first_by(old.unionByName(new, allowMissingColumns=True), [key], *order)
 
 
@@ -34,9 +34,9 @@ def delete_keys(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return old.join(keys.select(key), key, "left_anti")
 
 
-def latest_feed(changes: DataFrame, key: str, n: int, *newest: Column) -> DataFrame:
-    """The ``n`` keys that changed last, each with its latest row."""
-    return first_by(changes, [key], *newest).orderBy(*newest).limit(n)
+def latest_feed(changes: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` keys by ``order``, each with its first row."""
+    return first_by(changes, [key], *order).orderBy(*order).limit(n)
 
 
 def changed_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

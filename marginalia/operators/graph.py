@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.items import first_by
 
 #: The ontology. Types of entities, and names that stand for them.
 ENTITY_TYPES = ("Person", "Organization", "Project", "Movement", "Artwork", "Tool", "Model", "Dataset", "Location")
@@ -15,34 +14,33 @@ TYPE_ALIASES = {
     "tool": "Tool", "technology": "Tool", "product": "Tool", "software": "Tool", "model": "Model", "dataset": "Dataset", "data": "Dataset", "location": "Location",
     "place": "Location",
 }
-_P, _O, _J, _M, _A, _T, _L, _D, _X = ENTITY_TYPES
 #: predicate: types of the subject, types of the object, aliases, aliases of the reverse. Of an alias of two, the later one counts.
 PREDICATES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], tuple[str, ...]]] = {
-    "WORKS_FOR": ((_P,), (_O,), ("EMPLOYED_BY", "EMPLOYEE_OF", "STAFF_AT"), ()),
-    "LEADS": ((_P,), (_O, _J, _M), ("HEADS", "DIRECTS", "CHAIRS", "RUNS"), ()),
-    "FOUNDED": ((_P,), (_O, _J, _M, _T, _L, _A), ("FOUNDER_OF", "CO_FOUNDED", "COFOUNDED"), ()),
-    "MEMBER_OF": ((_P,), (_O, _J, _M), ("BELONGS_TO",), ()),
-    "ADVISES": ((_P,), (_O, _J, _M), ("ADVISOR_TO", "CONSULTS_FOR"), ()),
-    "FUNDS": ((_P, _O), (_O, _J, _M, _A, _D, _T, _L), (), ("FUNDED_BY", "BACKED_BY", "SUPPORTED_BY", "SPONSORED_BY")),
-    "DONATES_TO": ((_P, _O), (_O, _J, _M, _A), ("CONTRIBUTES_TO", "GIVES_TO"), ("RECEIVED_DONATION_FROM",)),
-    "INVESTS_IN": ((_P, _O), (_O, _J, _T, _L, _D), ("INVESTED_INTO",), ("INVESTMENT_FROM", "RAISED_FROM")),
-    "CONTRACTS_WITH": ((_O, _J), (_O, _J), ("SIGNED_CONTRACT_WITH", "IN_CONTRACT_WITH"), ()),
-    "PARTNERS_WITH": ((_O, _J, _M), (_O, _J, _M), ("COLLABORATES_WITH",), ()),
-    "OWNS": ((_P, _O), (_O, _T, _L, _D, _A, _J), ("ACQUIRED", "PURCHASED"), ("OWNED_BY", "ACQUIRED_BY")),
-    "CONTROLS": ((_P, _O), (_O, _J, _T, _L, _D), ("OVERSEES", "MANAGES"), ("CONTROLLED_BY",)),
-    "OPERATES": ((_P, _O), (_J, _T, _D, _X), ("RUNS", "MAINTAINS"), ("OPERATED_BY",)),
-    "DEVELOPS": ((_P, _O), (_T, _L, _D, _J), ("BUILDS",), ("DEVELOPED_BY", "BUILT_BY")),
-    "CREATED": ((_P, _O), (_A,), ("CREATES", "AUTHORED", "MADE"), ("CREATED_BY", "AUTHORED_BY")),
-    "USES": ((_P, _O, _J, _T, _L), (_T, _L, _D), ("USED",), ("USED_BY",)),
-    "INTEGRATES_WITH": ((_T, _L), (_T, _L), ("CONNECTS_TO",), ()),
-    "HOSTED_ON": ((_T, _L, _D), (_O, _T), (), ()),
-    "LOCATED_IN": (ENTITY_TYPES, (_X,), ("BASED_IN", "HEADQUARTERED_IN", "OPERATES_IN", "REGISTERED_IN"), ()),
-    "INVESTIGATES": ((_P, _O, _J), (_P, _O, _J, _M, _D, _T, _L, _X), ("PROBES",), ()),
-    "SUES": ((_P, _O), (_P, _O), ("FILES_SUIT_AGAINST",), ("SUED_BY",)),
-    "TARGETS": ((_P, _O, _J), (_P, _O, _J, _M, _X), (), ()),
-    "APPROVES": ((_O,), (_O, _J, _T, _L, _D), ("AUTHORIZED",), ("APPROVED_BY",)),
-    "BANS": ((_O,), (_O, _T, _L, _J, _M), ("RESTRICTS",), ("BANNED_BY",)),
-    "QUOTES": ((_O, _J), (_P, _O), (), ()),
+    "WORKS_FOR": (("Person",), ("Organization",), ("EMPLOYED_BY", "EMPLOYEE_OF", "STAFF_AT"), ()),
+    "LEADS": (("Person",), ("Organization", "Project", "Movement"), ("HEADS", "DIRECTS", "CHAIRS", "RUNS"), ()),
+    "FOUNDED": (("Person",), ("Organization", "Project", "Movement", "Tool", "Model", "Artwork"), ("FOUNDER_OF", "CO_FOUNDED", "COFOUNDED"), ()),
+    "MEMBER_OF": (("Person",), ("Organization", "Project", "Movement"), ("BELONGS_TO",), ()),
+    "ADVISES": (("Person",), ("Organization", "Project", "Movement"), ("ADVISOR_TO", "CONSULTS_FOR"), ()),
+    "FUNDS": (("Person", "Organization"), ("Organization", "Project", "Movement", "Artwork", "Dataset", "Tool", "Model"), (), ("FUNDED_BY", "BACKED_BY", "SUPPORTED_BY", "SPONSORED_BY")),
+    "DONATES_TO": (("Person", "Organization"), ("Organization", "Project", "Movement", "Artwork"), ("CONTRIBUTES_TO", "GIVES_TO"), ("RECEIVED_DONATION_FROM",)),
+    "INVESTS_IN": (("Person", "Organization"), ("Organization", "Project", "Tool", "Model", "Dataset"), ("INVESTED_INTO",), ("INVESTMENT_FROM", "RAISED_FROM")),
+    "CONTRACTS_WITH": (("Organization", "Project"), ("Organization", "Project"), ("SIGNED_CONTRACT_WITH", "IN_CONTRACT_WITH"), ()),
+    "PARTNERS_WITH": (("Organization", "Project", "Movement"), ("Organization", "Project", "Movement"), ("COLLABORATES_WITH",), ()),
+    "OWNS": (("Person", "Organization"), ("Organization", "Tool", "Model", "Dataset", "Artwork", "Project"), ("ACQUIRED", "PURCHASED"), ("OWNED_BY", "ACQUIRED_BY")),
+    "CONTROLS": (("Person", "Organization"), ("Organization", "Project", "Tool", "Model", "Dataset"), ("OVERSEES", "MANAGES"), ("CONTROLLED_BY",)),
+    "OPERATES": (("Person", "Organization"), ("Project", "Tool", "Dataset", "Location"), ("RUNS", "MAINTAINS"), ("OPERATED_BY",)),
+    "DEVELOPS": (("Person", "Organization"), ("Tool", "Model", "Dataset", "Project"), ("BUILDS",), ("DEVELOPED_BY", "BUILT_BY")),
+    "CREATED": (("Person", "Organization"), ("Artwork",), ("CREATES", "AUTHORED", "MADE"), ("CREATED_BY", "AUTHORED_BY")),
+    "USES": (("Person", "Organization", "Project", "Tool", "Model"), ("Tool", "Model", "Dataset"), ("USED",), ("USED_BY",)),
+    "INTEGRATES_WITH": (("Tool", "Model"), ("Tool", "Model"), ("CONNECTS_TO",), ()),
+    "HOSTED_ON": (("Tool", "Model", "Dataset"), ("Organization", "Tool"), (), ()),
+    "LOCATED_IN": (ENTITY_TYPES, ("Location",), ("BASED_IN", "HEADQUARTERED_IN", "OPERATES_IN", "REGISTERED_IN"), ()),
+    "INVESTIGATES": (("Person", "Organization", "Project"), ("Person", "Organization", "Project", "Movement", "Dataset", "Tool", "Model", "Location"), ("PROBES",), ()),
+    "SUES": (("Person", "Organization"), ("Person", "Organization"), ("FILES_SUIT_AGAINST",), ("SUED_BY",)),
+    "TARGETS": (("Person", "Organization", "Project"), ("Person", "Organization", "Project", "Movement", "Location"), (), ()),
+    "APPROVES": (("Organization",), ("Organization", "Project", "Tool", "Model", "Dataset"), ("AUTHORIZED",), ("APPROVED_BY",)),
+    "BANS": (("Organization",), ("Organization", "Tool", "Model", "Project", "Movement"), ("RESTRICTS",), ("BANNED_BY",)),
+    "QUOTES": (("Organization", "Project"), ("Person", "Organization"), (), ()),
 }
 
 
@@ -134,10 +132,6 @@ def projection(items: DataFrame) -> DataFrame:
     return r.withColumn("claim_key", F.concat(F.lit("claim:"), F.sha1(F.concat_ws("|", "subject_key", "predicate", "object_key"))))
 
 
-def _newest(*more: str) -> list[Column]:
-    return [F.col("updated_at").desc(), F.col("id").desc(), F.col("n"), *map(F.col, more)]
-
-
 def entities(items: DataFrame) -> DataFrame:
     """entity_key, name, kind, provisional: of an entity's mentions the first in the newest item counts.
 
@@ -208,12 +202,26 @@ def contexts(items: DataFrame, most: int = 10) -> DataFrame:
     return ranked.where(F.col("k") <= most).drop("k", "claim_key")
 
 
-def unresolved(items: DataFrame) -> DataFrame:
-    """Evidence whose entity or claim doesn't exist; empty for a sound projection."""
-    known = entities(items).select(F.col("entity_key").alias("target_key")).unionByName(claims(items).select(F.col("claim_key").alias("target_key")))
-    return evidence(items).join(known, "target_key", "left_anti")
+def documents(items: DataFrame) -> DataFrame:
+    """A row for each item with relationships that can be projected: its key and what is known of it (``items`` with url)."""
+    used = projection(items).select(F.col("id").alias("used")).distinct()
+    return items.join(used, F.col("id") == F.col("used"), "left_semi").select(
+        F.concat(F.lit("item:"), "id").alias("document_key"), "id", "item_id", F.nullif("url", F.lit("")).alias("url"), F.nullif("title", F.lit("")).alias("title"),
+        F.lit("item").alias("document_kind"), "source", "published_at", F.col("created_at").alias("captured_at"), "updated_at",
+    )
+
+
+def unresolved(evidence: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """Evidence whose entity or claim isn't in a graph; empty for the graph that was made with it."""
+    known = entities.select(F.col("entity_key").alias("target_key")).unionByName(claims.select(F.col("claim_key").alias("target_key")))
+    return evidence.join(known, "target_key", "left_anti")
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The rows of both, of each key the first by ``order``."""
-    return first_by(old.unionByName(new, allowMissingColumns=True), [key], *order)
+def targets(evidence: DataFrame, entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """``evidence`` with what it points to: name and kind of an entity or predicate of a claim, by target_kind."""
+    key = F.col("target_key")
+    named = entities.select(F.col("entity_key"), "name", "kind")
+    made = claims.select(F.col("claim_key"), "predicate")
+    to_entity = (key == F.col("entity_key")) & (F.col("target_kind") == "entity")
+    to_claim = (key == F.col("claim_key")) & (F.col("target_kind") == "claim")
+    return evidence.join(named, to_entity, "left").join(made, to_claim, "left").drop("entity_key", "claim_key")

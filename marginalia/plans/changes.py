@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import changes as C
+from ..sources.items import greatest, newest
+from .registry import registry
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+Q, SQL, query = registry()
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +19,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _newest() -> list:
-    return [F.col("ts").desc(), F.col("event_id").desc()]
+    return [newest("ts"), greatest("event_id")]
 
 
 @query(
@@ -122,7 +113,24 @@ def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooled_down(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "ts", "event_id", 30).select("user_id", "event_id")
 
 
-@query("breaker_T8")
+_ORDERED = "e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(
+    "breaker_T8",
+    f"""WITH RECURSIVE {_ORDERED},
+    walk AS (
+        SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'closed' AS state, 0 AS bad, 0 AS good, NULL::TIMESTAMP AS since FROM e WHERE n = 1
+        UNION ALL
+        SELECT user_id, n, event_id,
+            CASE WHEN was = 'closed' AND NOT ok AND bad + 1 >= 3 THEN 'open' WHEN was = 'half-open' AND NOT ok THEN 'open' WHEN was = 'half-open' AND good + 1 >= 2 THEN 'closed' ELSE was END,
+            CASE WHEN was = 'closed' THEN CASE WHEN ok THEN 0 ELSE bad + 1 END WHEN was = 'half-open' AND ok AND good + 1 >= 2 THEN 0 ELSE bad END,
+            CASE WHEN was = 'half-open' THEN CASE WHEN ok THEN good + 1 ELSE 0 END ELSE good END,
+            CASE WHEN was = 'closed' AND NOT ok AND bad + 1 >= 3 OR was = 'half-open' AND NOT ok THEN ts ELSE since END
+        FROM (SELECT e.user_id, e.n, e.event_id, e.ts, e.ok, w.bad, w.since, CASE WHEN w.state = 'open' AND e.ts >= w.since + INTERVAL 60 MINUTE THEN 'half-open' ELSE w.state END AS was,
+            CASE WHEN w.state = 'open' AND e.ts >= w.since + INTERVAL 60 MINUTE THEN 0 ELSE w.good END AS good FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+    SELECT user_id, event_id, state FROM walk WHERE n > 0""",
+)
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.states import breaker_states
 
@@ -130,7 +138,18 @@ def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return breaker_states(e, "user_id", "ts", "event_id")
 
 
-@query("rate_level_T9")
+@query(
+    "rate_level_T9",
+    f"""WITH RECURSIVE {_ORDERED},
+    walk AS (
+        SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0 AS level, 0 AS bad, 0 AS good FROM e WHERE n = 1
+        UNION ALL
+        SELECT e.user_id, e.n, e.event_id,
+            CASE WHEN ok AND good + 1 >= 10 THEN greatest(0, level - 1) WHEN NOT ok AND bad + 1 >= 3 THEN least(5, level + 1) ELSE level END,
+            CASE WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN ok AND good + 1 < 10 THEN good + 1 ELSE 0 END
+        FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT user_id, event_id, level FROM walk WHERE n > 0""",
+)
 def rate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.states import limiter_levels
 

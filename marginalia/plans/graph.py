@@ -6,22 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import changes as C
 from ..operators import graph as G
 from ..sources.items import ITEMS_SQL, items
+from .registry import registry
 from .text import _JUNK, _NAME, SLUG, TOKEN
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+Q, SQL, query = registry()
 
 
 def _either(a: str, b: str) -> str:
@@ -186,6 +177,50 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.contexts(items(spark, sf_dir))
 
 
-@query("unresolved_J1", "SELECT 'x' AS target_key, 'x' AS evidence_key, 'x' AS document_key, 'x' AS edge_kind, 'x' AS target_kind WHERE false")
+#: The graph of an earlier day, against which today's evidence is held.
+EARLIER = "2024-01-03 00:00:00"
+_OLD = f"""old AS (SELECT * FROM projected WHERE id IN (SELECT id FROM items WHERE created_at < TIMESTAMP '{EARLIER}')),
+known AS (SELECT subject_key AS target_key FROM old UNION SELECT object_key FROM old UNION SELECT claim_key FROM old)"""
+_KEYED = "SELECT 'evidence:' || sha1(concat_ws('|', document_key, edge_kind, target_kind, target_key, extra)) AS evidence_key, document_key, edge_kind, target_kind, target_key FROM edges"
+
+
+@query("unresolved_J1", f"{EVIDENCE}, {_OLD}, e AS ({_KEYED}) SELECT * FROM e WHERE target_key NOT IN (SELECT target_key FROM known)")
 def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.unresolved(items(spark, sf_dir))
+    i = items(spark, sf_dir)
+    old = i.where(F.col("created_at") < F.lit(EARLIER).cast("timestamp_ntz"))
+    return G.unresolved(G.evidence(i), G.entities(old), G.claims(old))
+
+
+@query(
+    "evidence_targets_J2",
+    f"""{EVIDENCE}, e AS ({_KEYED}),
+    names AS (SELECT entity_key, name, kind FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY updated_at DESC, id DESC, n, side) AS k FROM (
+        SELECT subject_key AS entity_key, subject AS name, sk AS kind, updated_at, id, n, 0 AS side FROM projected UNION ALL SELECT object_key, object, ok, updated_at, id, n, 1 FROM projected)) WHERE k = 1),
+    made AS (SELECT DISTINCT claim_key, predicate FROM projected)
+    SELECT e.*, names.name, names.kind, made.predicate FROM e LEFT JOIN names ON entity_key = target_key AND target_kind = 'entity' LEFT JOIN made ON claim_key = target_key AND target_kind = 'claim'""",
+)
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    return G.targets(G.evidence(i), G.entities(i), G.claims(i))
+
+
+@query(
+    "graph_documents_G5",
+    f"""{PROJECTED} SELECT 'item:' || id AS document_key, id, item_id, nullif(url, '') AS url, nullif(title, '') AS title, 'item' AS document_kind, source, published_at, created_at AS captured_at, updated_at
+    FROM items WHERE id IN (SELECT id FROM projected)""",
+)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.documents(items(spark, sf_dir, "url"))
+
+
+@query(
+    "graph_backfill_G6",
+    f"""{CLAIMS} SELECT claim_key, predicate, first_item, CASE WHEN claim_key IN (SELECT claim_key FROM projected WHERE id IN (SELECT id FROM items WHERE created_at < TIMESTAMP '{EARLIER}')) THEN 'kept' ELSE 'added' END AS state FROM claims""",
+)
+def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of an earlier day brought up to date: claims that it had take today's values, the others are added."""
+    i = items(spark, sf_dir)
+    old = G.claims(i.where(F.col("created_at") < F.lit(EARLIER).cast("timestamp_ntz")))
+    now = C.upsert(old.withColumn("age", F.lit(1)), G.claims(i).withColumn("age", F.lit(0)), "claim_key", F.col("age"))
+    state = F.when(F.col("had").isNotNull(), "kept").otherwise("added").alias("state")
+    return now.join(old.select("claim_key", F.lit(True).alias("had")), "claim_key", "left").select("claim_key", "predicate", "first_item", state)

@@ -11,19 +11,9 @@ from pyspark.sql import Window as W
 
 from ..functions import measures as M
 from ..sources.items import AS_OF, ITEMS_SQL, TYPES, items
+from .registry import registry
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+Q, SQL, query = registry()
 
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -35,7 +25,7 @@ FIELDS = ("url", "title", "content", "summary", "location", "latitude", "longitu
     f"WITH {ITEMS_SQL} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS filled, floor(1000.0::DOUBLE * count({f}) / count(*) + 0.5) / 10 AS percent FROM items" for f in FIELDS),
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = items(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), *[F.count(f).alias(f) for f in FIELDS])
+    one = items(spark, sf_dir, "summary", "url", "embedding").agg(F.count(F.lit(1)).alias("total"), *[F.count(f).alias(f) for f in FIELDS])
     rows = one.unpivot(["total"], list(FIELDS), "field", "filled")
     return rows.select("field", "filled", M.half_up(100.0 * F.col("filled") / F.col("total"), 1).alias("percent"))
 
@@ -58,7 +48,7 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vector_dims_G17", f"WITH {ITEMS_SQL} SELECT source, count(*) FILTER (WHERE embedding IS NULL) AS none, count(*) FILTER (WHERE len(embedding) = 64) AS good, count(*) FILTER (WHERE len(embedding) <> 64) AS bad FROM items GROUP BY source")
 def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size("embedding")
-    return items(spark, sf_dir).groupBy("source").agg(
+    return items(spark, sf_dir, "embedding").groupBy("source").agg(
         F.count_if(F.col("embedding").isNull()).alias("none"), F.count_if(F.col("embedding").isNotNull() & (n == 64)).alias("good"), F.count_if(F.col("embedding").isNotNull() & (n != 64)).alias("bad")
     )
 
@@ -110,7 +100,7 @@ _RATES = {"content": "length(content) > 10", "summary": "length(summary) > 10",
     FROM items WHERE updated_at >= {_NOW} - INTERVAL 7 DAY GROUP BY source""",
 )
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = items(spark, sf_dir).where(F.col("updated_at") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 7 days"))
+    recent = items(spark, sf_dir, "summary", "embedding").where(F.col("updated_at") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 7 days"))
     counted = recent.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(c.replace("len(", "size("))).alias(k) for k, c in _RATES.items()])
     enough = F.floor(F.col("n") * 0.7)
     return counted.withColumn("passed", (F.col("content") >= enough) & (F.col("summary") >= enough) & (F.col("embedding") >= enough))
@@ -128,7 +118,7 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "|", *[F.when(F.col(c).isNull(), f"missing {c}") for c in ("url", "title", "content")], F.when(~valid, "invalid type"),
         F.when(F.try_parse_json("metadata").isNull(), "broken metadata"), F.when(F.col("created_at") > F.col("updated_at"), "created after updated"),
     )
-    return items(spark, sf_dir).groupBy(errors.alias("errors")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return items(spark, sf_dir, "url").groupBy(errors.alias("errors")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def _mentions(text: Column, parts: tuple[str, ...]) -> Column:
@@ -189,7 +179,7 @@ _PLACE = f"""CASE WHEN location IS NULL OR lower(location) IN ('unknown', 'n/a',
         WHEN (summary_score + tags_score + place_score) / 3.0::DOUBLE >= 50 THEN 'needs improvement' ELSE 'failed' END AS category FROM s""".replace("< 150 THEN", f"< {M.SUMMARY_LEAST} THEN"),
 )
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = items(spark, sf_dir).select(
+    scored = items(spark, sf_dir, "summary").select(
         "id", summary_score(F.col("summary"), F.col("content")).alias("summary_score"), tags_score(F.col("tags")).alias("tags_score"),
         place_score(F.col("location"), F.col("latitude"), F.col("longitude"), F.col("content")).alias("place_score"),
     )
@@ -216,7 +206,7 @@ def audit_five(spark: SparkSession, sf_dir: str) -> DataFrame:
         "summary_score": summary_score(F.col("summary"), F.col("content")), "tags_score": tags_score(F.col("tags")), "relationships_score": relationships_score(F.col("relationships")),
         "place_score": place_score(F.col("location"), F.col("latitude"), F.col("longitude"), F.col("content")), "finance_score": finance_score(F.col("content")),
     }
-    scored = items(spark, sf_dir).select("id", *[c.alias(k) for k, c in five.items()])
+    scored = items(spark, sf_dir, "summary").select("id", *[c.alias(k) for k, c in five.items()])
     mean = reduce(add, [F.col(k) for k in five]) / F.lit(5.0)
     return scored.withColumn("mean", mean).withColumn("category", F.when(F.col("mean") >= 90, "excellent").when(F.col("mean") >= 75, "good").when(F.col("mean") >= 50, "needs improvement").otherwise("failed"))
 
@@ -230,7 +220,7 @@ _ISSUES = {
 @query("diagnose_G15", f"WITH {ITEMS_SQL} SELECT source, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {c.format(size='len')}) AS {k}_missing" for k, c in _ISSUES.items()) + ", count(*) FILTER (WHERE " + " OR ".join(f"({c.format(size='len')})" for c in _ISSUES.values()) + ") AS ill FROM items GROUP BY source")
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = {k: F.expr(c.format(size="size").replace("TIMESTAMP '", "timestamp_ntz'").replace("INTERVAL 14 DAY", "INTERVAL 14 DAYS")) for k, c in _ISSUES.items()}
-    return items(spark, sf_dir).groupBy("source").agg(
+    return items(spark, sf_dir, "summary", "url", "embedding").groupBy("source").agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(t).alias(f"{k}_missing") for k, t in tests.items()], F.count_if(reduce(or_, tests.values())).alias("ill")
     )
 
@@ -245,7 +235,7 @@ _TIER = "CASE WHEN score >= 70 THEN 'S' WHEN score >= 50 THEN 'A' WHEN score >=
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("id", "created_at", M.backlog_score(F.col("created_at"), F.col("content"), F.col("tags"), F.col("url")).alias("score"))
+    return items(spark, sf_dir, "url").select("id", "created_at", M.backlog_score(F.col("created_at"), F.col("content"), F.col("tags"), F.col("url")).alias("score"))
 
 
 @query("backlog_score_M6", f"{SCORED} SELECT id, score FROM scored")
@@ -272,7 +262,7 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM items WHERE coalesce(trim(summary), '') = '' OR embedding IS NULL) SELECT id, priority FROM r ORDER BY priority DESC, id LIMIT 100""",
 )
 def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_items = items(spark, sf_dir).where((F.coalesce(F.trim("summary"), F.lit("")) == "") | F.col("embedding").isNull())
+    open_items = items(spark, sf_dir, "summary", "url", "embedding").where((F.coalesce(F.trim("summary"), F.lit("")) == "") | F.col("embedding").isNull())
     score = M.repair_score(F.col("created_at"), F.lit(AS_OF).cast("timestamp_ntz"), F.col("url"), F.col("source"), F.col("title"), F.col("content"))
     return open_items.select("id", F.round(score, 6).alias("priority")).orderBy(F.col("priority").desc(), "id").limit(100)
 

@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..operators import related as R
 from ..sources.items import AS_OF, ITEMS_SQL, items
+from .registry import registry
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+Q, SQL, query = registry()
 
 
 def seeds(all_items: DataFrame) -> DataFrame:
@@ -61,7 +51,7 @@ def by_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT seed_id, id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM ranked WHERE rank <= 50""",
 )
 def by_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = items(spark, sf_dir)
+    i = items(spark, sf_dir, "embedding")
     return R.by_embedding(seeds(i), i, AS_OF, least=0.2).select("seed_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -75,7 +65,7 @@ def by_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT seed_id, id, overlap, round(similarity, 6) AS similarity, round(score, 6) AS score, place::INTEGER AS rank FROM placed WHERE place <= 20""",
 )
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = items(spark, sf_dir)
+    i = items(spark, sf_dir, "embedding")
     return R.hybrid(seeds(i), i, AS_OF, 20).select("seed_id", "id", "overlap", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -119,8 +109,8 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    first = e.where("vec_id = 0").select("embedding").first()["embedding"]
-    return e.select("vec_id", F.round(M.cosine(F.col("embedding"), F.lit(first)), 6).alias("similarity"))
+    one = e.where("vec_id = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("first"))
+    return e.withColumn("asked", F.lit(0).cast("long")).join(F.broadcast(one), "asked").select("vec_id", F.round(M.cosine(F.col("embedding"), F.col("first")), 6).alias("similarity"))
 
 
 @query(

@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..sources.items import AS_OF, ITEMS_SQL, items
+from .registry import registry
 from .related import far
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+Q, SQL, query = registry()
 
 
 def matching(df: DataFrame, words: str, *columns: str):
@@ -33,7 +23,7 @@ def matching(df: DataFrame, words: str, *columns: str):
 
 @query("search_ilike_P8", f"WITH {ITEMS_SQL} SELECT id, title, source FROM items WHERE contains(lower(title), 'tion') OR contains(lower(coalesce(summary, '')), 'tion') OR contains(lower(content), 'tion') ORDER BY created_at DESC, id DESC LIMIT 50")
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching(items(spark, sf_dir), "tion", "title", "summary", "content")
+    found = matching(items(spark, sf_dir, "summary"), "tion", "title", "summary", "content")
     return found.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(50).select("id", "title", "source")
 
 
@@ -96,4 +86,4 @@ def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("truthy_concat_P22", f"WITH {ITEMS_SQL} SELECT id, length(concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(summary, ''), nullif(location, ''), nullif(url, ''))) AS chars FROM items")
 def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.nullif(F.col(c), F.lit("")) for c in ("title", "summary", "location", "url")]
-    return items(spark, sf_dir).select("id", F.length(F.concat_ws("\n\n", *fields)).cast("long").alias("chars"))
+    return items(spark, sf_dir, "summary", "url").select("id", F.length(F.concat_ws("\n\n", *fields)).cast("long").alias("chars"))

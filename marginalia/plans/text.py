@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.items import ITEMS_SQL, items, table
+from .registry import registry
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        Q[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
+Q, SQL, query = registry()
 
 
 S = r"[\s\x{{00A0}}\x{{FEFF}}]+"
@@ -106,7 +96,7 @@ _TYPES = " ".join(f"WHEN regexp_matches(u, '{p}')" + (f" OR regexp_matches(t, '{
 
 @query("content_type_F19", f"WITH {ITEMS_SQL} SELECT id, CASE {_TYPES} ELSE 'article' END AS content_type FROM (SELECT id, lower(coalesce(url, '')) AS u, lower(coalesce(title, '')) AS t FROM items)")
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("id", T.content_type(F.col("url"), F.col("title")).alias("content_type"))
+    return items(spark, sf_dir, "url").select("id", T.content_type(F.col("url"), F.col("title")).alias("content_type"))
 
 
 _JUNK = " OR ".join("regexp_matches(n, '" + p.replace("'", "''").replace("(?i)", "(?i)") + "')" for p in T.JUNK_PATTERNS)
@@ -133,18 +123,62 @@ def whole_junk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", T.entity_name(F.col("word")).alias("n"), T.junk_name(F.col("word")).alias("junk"))
 
 
-@query("title_from_summary_F20")
+_CLEAN = r"""trim(regexp_replace(regexp_replace(summary, '(?m)^#+\s*', '', 'g'), '\*\*', '', 'g'))"""
+_CUT = "CASE WHEN length({0}) > 100 THEN substring({0}, 1, 97) || '...' ELSE {0} END"
+
+
+@query(
+    "title_from_summary_F20",
+    rf"""WITH {ITEMS_SQL}, u AS (SELECT id, summary, {_CLEAN} AS clean, host,
+        regexp_replace(translate(list_extract(list_filter(string_split(path, '/'), lambda p: p <> '' AND p <> 'index.html'), -1), '-_', '  '), '\.[^.]+$', '') AS last
+        FROM (SELECT id, summary, {HOST.format("url")} AS host, {PATH.format("url")} AS path FROM items)),
+    b AS (SELECT *, list_extract(list_filter(list_transform(list_filter(list_transform(string_split(clean, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[•\-*]')), lambda x: trim(substring(x, 2))),
+        lambda x: length(x) > 10), 1) AS bullet, split_part(clean, '. ', 1) AS sentence, trim(substring(clean, 1, 100)) AS short FROM u)
+    SELECT id, CASE WHEN trim(coalesce(summary, '')) = '' THEN {_TITLE} ELSE coalesce({_CUT.format("bullet")}, CASE WHEN length(sentence) > 10 THEN {_CUT.format("trim(sentence)")} END,
+        CASE WHEN length(clean) > 100 THEN short || '...' ELSE short END) END AS made_title FROM b""",
+)
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("id", T.summary_title(F.col("summary"), F.col("url")).alias("made_title"))
+    return items(spark, sf_dir, "summary", "url").select("id", T.summary_title(F.col("summary"), F.col("url")).alias("made_title"))
 
 
-@query("meta_summary_F21")
+def _plain(c: str) -> str:
+    steps = (
+        ("<[^>]*>", " "), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), ("__(.+?)__", r"\1"), ("_(.+?)_", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"),
+        (r"```[\s\S]*?```", ""), ("`([^`]+)`", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\n{3,}", "\n\n"), (r"\n", " "),
+    )
+    for pattern, by in steps:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return f"trim({c})"
+
+
+@query(
+    "meta_summary_F21",
+    "WITH " + ITEMS_SQL + f""", p AS (SELECT id, summary, concat_ws(' · ', CASE WHEN type <> 'bookmark' THEN upper(type) END, substring({_plain("nullif(title, '')")}, 1, 40),
+        CASE WHEN location <> '' AND location <> 'Unknown' THEN '@ ' || location END, CASE WHEN json_array_length(relationships) > 0 THEN json_array_length(relationships) || ' connections' END,
+        CASE WHEN len(tags) > 0 THEN '#' || array_to_string(list_slice(tags, 1, 2), ' #') END) AS parts FROM items),
+    t AS (SELECT id, CASE WHEN length(parts) < 120 AND coalesce(summary, '') <> '' AND 140 - length(parts) - 3 > 20
+        THEN parts || ' - ' || substring({_plain("summary")}, 1, 140 - length(parts) - 3) ELSE parts END AS text FROM p)
+    SELECT id, CASE WHEN text = '' THEN 'No summary available' WHEN length(text) > 140 THEN substring(text, 1, 139) || '…' ELSE text END AS meta_summary FROM t""",
+)
 def meta_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = F.size(F.from_json("relationships", "array<string>"))
-    return items(spark, sf_dir).select("id", T.meta_summary(F.col("type"), F.col("title"), F.col("location"), links, F.col("tags"), F.col("summary")).alias("meta_summary"))
+    return items(spark, sf_dir, "summary").select("id", T.meta_summary(F.col("type"), F.col("title"), F.col("location"), links, F.col("tags"), F.col("summary")).alias("meta_summary"))
 
 
-@query("chunks_F26")
+#: Sentences are numbered and gathered one after the other: a chunk is closed by the sentence that would pass the limit.
+@query(
+    "chunks_F26",
+    r"""WITH RECURSIVE s AS (
+        SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS all_ FROM documents),
+    walk AS (
+        SELECT doc_id, all_, 0::BIGINT AS i, 0 AS chunk, '' AS open, NULL::VARCHAR AS done FROM s
+        UNION ALL
+        SELECT doc_id, all_, i + 1, chunk + CASE WHEN closes THEN 1 ELSE 0 END,
+            CASE WHEN i >= len(all_) THEN '' WHEN closes OR open = '' THEN all_[i + 1] ELSE open || ' ' || all_[i + 1] END, CASE WHEN closes OR i >= len(all_) THEN open END
+        FROM (SELECT *, i < len(all_) AND open <> '' AND ceil(length(open || ' ' || all_[i + 1]) / 4.0) > 250 AS closes FROM walk) WHERE i <= len(all_))
+    SELECT doc_id, (CASE WHEN i > len(all_) THEN chunk ELSE chunk - 1 END)::INTEGER AS chunk, length(done)::BIGINT AS chars, ceil(length(done) / 4.0)::BIGINT AS tokens, md5(done) AS md5
+    FROM walk WHERE coalesce(done, '') <> ''""",
+)
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentence_chunks(F.col("text"), 250)).alias("chunk", "part"))
     return parts.select("doc_id", "chunk", F.length("part").alias("chars"), T.token_estimate(F.col("part")).alias("tokens"), F.md5("part").alias("md5"))

@@ -22,24 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an item: documents with their label, page and embedding, and fields that follow from the id."""
-    joined = (
-        table(spark, sf_dir, "documents").alias("d")
-        .join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality"), F.col("doc_id") == F.col("label_id"), "left")
-        .join(table(spark, sf_dir, "pages").select("page_id", "url"), F.col("doc_id") == F.col("page_id"), "left")
-        .join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"), "left")
-    )
-    return joined.selectExpr(
+#: Columns of items that come from tables beside the documents.
+JOINED = ("summary", "url", "embedding")
+
+
+def items(spark: SparkSession, sf_dir: str, *joined: str) -> DataFrame:
+    """One row an item: documents, with fields that follow from the id and the text.
+
+    ``joined``: those of JOINED that are wanted too. Only their tables (labels, pages, embeddings) are joined, since a
+    left join that nobody asked for is one that no optimizer may leave out.
+    """
+    docs = table(spark, sf_dir, "documents")
+    of = lambda name, key, *columns: table(spark, sf_dir, name).select(F.col(key).alias(f"{name}_id"), *columns)
+    for column, name, right in (
+        ("summary", "labels", lambda: of("labels", "doc_id", "quality")), ("url", "pages", lambda: of("pages", "page_id", "url")),
+        ("embedding", "embeddings", lambda: of("embeddings", "vec_id", "embedding")),
+    ):
+        if column in joined:
+            docs = docs.join(right(), F.col("doc_id") == F.col(f"{name}_id"), "left")
+    extra = [e for c, e in (("summary", "CASE WHEN quality = 1 THEN substring(text, 1, 200) END AS summary"), ("url", "url"), ("embedding", "embedding")) if c in joined]
+    return docs.selectExpr(
         "doc_id AS id",
         "concat(element_at(array('pinboard', 'github', 'mastodon', 'arena'), cast(doc_id % 4 + 1 AS int)), '-', doc_id) AS item_id",
         "element_at(array('pinboard', 'github', 'mastodon', 'arena'), cast(doc_id % 4 + 1 AS int)) AS source",
         """CASE WHEN doc_id % 97 = 0 THEN 'unknown' WHEN doc_id % 4 = 0 THEN 'bookmark' WHEN doc_id % 4 = 2 THEN 'status' WHEN doc_id % 4 = 3 THEN 'block'
             ELSE element_at(array('repo', 'gist', 'issue', 'pr', 'starred'), cast(doc_id div 4 % 5 + 1 AS int)) END AS type""",
-        "url",
         "substring(text, 1, 60) AS title",
         "text AS content",
-        "CASE WHEN quality = 1 THEN substring(text, 1, 200) END AS summary",
         "array_distinct(slice(regexp_extract_all(lower(text), '[a-z]{4,}', 0), 1, 12)) AS tags",
         "array_distinct(slice(regexp_extract_all(lower(text), '[a-z]{8,}', 0), 1, 3)) AS concept_tags",
         "CASE WHEN doc_id % 5 <> 0 THEN 40.0e0 + (doc_id * 7919 % 1000) / 1000.0e0 END AS latitude",
@@ -48,13 +57,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 AS int), 0) AS published_at",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 AS int), 0) AS created_at",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(CASE WHEN doc_id % 53 = 0 THEN -1 ELSE doc_id % 11 END AS int), 0, cast(doc_id * 37 AS int), 0) AS updated_at",
-        "embedding",
         "doc_id % 3 <> 0 AS shared",
         "CASE WHEN doc_id % 4 = 0 AND doc_id % 7 <> 0 THEN concat('shots/', doc_id, '.png') END AS screenshot_url",
         "CASE WHEN doc_id % 41 = 0 THEN '{broken' ELSE concat('{\"n\": ', doc_id % 9, ', \"tags_synced\": ', CASE WHEN doc_id % 6 = 0 THEN 'true' ELSE 'false' END, '}') END AS metadata",
         "CASE WHEN doc_id % 29 = 0 THEN concat('worker-', doc_id % 3) END AS instance_id",
         "CASE WHEN doc_id % 29 = 0 AND doc_id % 58 = 0 OR doc_id % 71 = 0 THEN timestamp_ntz'2024-01-26 00:00:00' - make_dt_interval(0, 0, cast(doc_id % 240 AS int), 0) END AS started_at",
         f"concat('[', array_join(array_compact(array({_RELATIONSHIPS})), ', '), ']') AS relationships",
+        *extra,
     )
 
 
@@ -103,10 +112,24 @@ ITEMS_SQL = ITEMS_SQL.format(
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key by ``order``; null keys are a key like any other."""
-    from pyspark.sql import Window as W
+    """The first row of each key by ``order`` (ascending, nulls first); null keys are a key like any other.
+
+    An aggregate over ordered structs rather than a window: it combines on the map side, so that no task holds the rows
+    of a hot key.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("f")
+    return df.groupBy(*keys).agg(first).select(*[F.col(c) if c in keys else F.col(f"f.{c}") for c in df.columns])
+
+
+def newest(c: str) -> Column:
+    """Ascending order of this puts the latest time, or the greatest number, first, and nulls last."""
+    column = F.col(c)
+    return F.struct(column.isNull().alias("none"), (-F.unix_micros(column.cast("timestamp"))).alias("less"))
+
 
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") == 1).drop("__n")
+def greatest(c: str) -> Column:
+    return F.struct(F.col(c).isNull().alias("none"), (-F.col(c)).alias("less"))
 
 
 def bookmarks(df: DataFrame) -> DataFrame:
@@ -162,4 +185,4 @@ def merged_fetch(recent: DataFrame, cache: DataFrame, key: str = "hash") -> Data
 def best_extraction(attempts: DataFrame, least: int = 500) -> DataFrame:
     """Of each url's attempts (url, tier, content): the first tier of ``least`` characters, else the longest, earliest of equals."""
     n = F.length(F.coalesce("content", F.lit("")))
-    return first_by(attempts, ["url"], F.when(n >= least, F.col("tier")).asc_nulls_last(), n.desc(), F.col("tier"))
+    return first_by(attempts, ["url"], (n < least), F.when(n >= least, F.col("tier")), -n, F.col("tier"))

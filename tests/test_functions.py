@@ -86,14 +86,16 @@ def test_predicate_aliases():
 def test_projection_invariants(spark, sf_dir):
     i = I.items(spark, sf_dir)
     assert G.evidence(i).count() == 3 * G.projection(i).count()
-    assert G.unresolved(i).count() == 0
+    assert G.unresolved(G.evidence(i), G.entities(i), G.claims(i)).count() == 0
+    dangling = G.evidence(i).limit(3).withColumn("target_key", F.lit("claim:gone"))
+    assert G.unresolved(dangling, G.entities(i), G.claims(i)).count() == 3
 
 
 def test_upsert_is_idempotent_and_takes_new_columns(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, x string, v int")
     new = spark.createDataFrame([(2, "c", 2, True), (3, "d", 2, False)], "id int, x string, v int, y boolean")
-    once = C.upsert(old, new, "id", F.col("v").desc())
-    twice = C.upsert(once, new, "id", F.col("v").desc(), F.col("x"))
+    once = C.upsert(old, new, "id", I.greatest("v"))
+    twice = C.upsert(once, new, "id", I.greatest("v"), F.col("x"))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(once) == rows(twice) == [(1, "a", 1, None), (2, "c", 2, True), (3, "d", 2, False)]
     assert sorted(map(tuple, C.upsert_columns(old, new.select("id", F.lit(None).cast("string").alias("x"), "v"), "id").collect())) == [(1, "a", 1), (2, "b", 2), (3, None, 2)]
