@@ -1,13 +1,16 @@
 """Related items: by shared tags, by embedding, by both, and near by on the map.
 
-Each takes a table of seeds and answers for all of them at once; the number of seeds may grow with the archive. Tag and
+Each takes a table of seeds and answers for all of them at once; the number of seeds may grow with the archive. Tags and
 grid cells that very many items share are dealt over salts, so that no task holds one of them whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,20 +20,43 @@ from ..functions import measures as M
 DAYS, LEAST_OVERLAP, LEAST_SIMILARITY, MILES = 30, 2, 0.7, 5.0
 SALTS = 8
 
+#: Items of a tag that share a salt; bytes of a block of seeds, and seeds that are multiplied at a time.
+ROWS_A_SALT, BLOCK_BYTES, STRIP = 100_000, 32 << 20, 256
+
 #: Degrees of a cell's sides; a mile is at most 1 / 68.7 degrees of latitude.
 MILES_A_DEGREE = 68.7
 
 
+def recent(items: DataFrame, as_of: str, days: int) -> DataFrame:
+    return items.where(F.col("published_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"make_dt_interval({days})"))
+
+
 def tag_overlaps(seeds: DataFrame, items: DataFrame, as_of: str, days: int = DAYS, least: int = LEAST_OVERLAP) -> DataFrame:
     """seed_id, id, overlap: how many of an item's tags a seed has, each as often as the item has it.
 
-    By an equi-join on tags rather than over all pairs; items published within ``days`` before ``as_of`` or later.
+    Items published within ``days`` before ``as_of`` or later. An item of distinct tags that shares ``least`` tags with a
+    seed shares one that isn't among the seed's ``least`` - 1 most frequent ones. So seeds meet items by their rarer tags
+    alone (and items that repeat a tag by all of them), and the overlap is counted for those that meet. A tag of very
+    many items is dealt over as many salts as its count asks for.
     """
-    left = seeds.select(F.col("id").alias("seed_id"), F.explode(F.array_distinct("tags")).alias("tag")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    recent = items.where(F.col("published_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"make_dt_interval({days})"))
-    right = recent.select("id", F.explode("tags").alias("tag")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    pairs = left.join(right, ["tag", "salt"]).where(F.col("id") != F.col("seed_id"))
-    return pairs.groupBy("seed_id", "id").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    held = recent(items, as_of, days).select("id", "tags")
+    counted = held.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int").alias("salts")
+    own = seeds.select(F.col("id").alias("seed_id"), F.array_distinct("tags").alias("seed_tags"))
+    each = own.select("seed_id", F.explode("seed_tags").alias("tag")).join(counted, "tag")
+    by_count = F.array_sort(F.collect_list(F.struct("n", "tag")))
+    rare = F.col("at") < F.size("all") - (least - 1)
+    asked = each.groupBy("seed_id").agg(by_count.alias("all")).select("seed_id", "all", F.posexplode("all").alias("at", "t"))
+    asked = asked.select("seed_id", F.col("t.tag").alias("tag"), rare.alias("rare"), F.ceil(F.col("t.n") / ROWS_A_SALT).cast("int").alias("salts"))
+    asked = asked.join(own, "seed_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hot = counted.where(F.col("n") > ROWS_A_SALT).select("tag", salts)  # no more than all rows / ROWS_A_SALT tags
+    repeats = (F.size("tags") > F.size(F.array_distinct("tags"))).alias("repeats")
+    met = held.select("id", "tags", repeats, F.explode(F.array_distinct("tags")).alias("tag")).join(hot, "tag", "left")
+    met = met.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    pairs = asked.join(met, ["tag", "salt"]).where((F.col("id") != F.col("seed_id")) & (F.col("rare") | F.col("repeats")))
+    overlap = F.size(F.filter("tags", lambda t: F.array_contains("seed_tags", t))).cast("long")
+    scored = pairs.select("seed_id", "id", overlap.alias("overlap")).where(F.col("overlap") >= least)
+    return scored.groupBy("seed_id", "id").agg(F.max("overlap").alias("overlap"))
 
 
 def top(pairs: DataFrame, k: int, *order) -> DataFrame:
@@ -43,18 +69,66 @@ def by_tags(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, **how)
     return top(pairs, k, F.col("overlap").desc(), F.col("published_at").desc(), F.col("id"))
 
 
-def by_embedding(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, days: int = DAYS, least: float = LEAST_SIMILARITY, blocks: int = 16) -> DataFrame:
-    """seed_id, id, similarity, rank: every seed is compared with every recent item, block of seeds by block.
-
-    The seeds are dealt to ``blocks`` and each item meets each block once; only pairs above ``least`` are kept.
+def unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length one; a vector without length, or with a null or non-finite component, becomes zeros."""
+    out = np.zeros((len(vectors), max([1, *(len(v) for v in vectors)])))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where(np.isfinite(size) & (size > 0), out / np.where(size > 0, size, 1), 0)
+
+
+def compared(k: int, least: float):
+    """seed_id, id, similarity of each block's best: the block's seeds come first, then items stream past them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, waiting, seeds, ids = None, [], None, None
+        for frame in frames:
+            for tile, part in frame.groupby("tile", sort=False):
+                if tile != now:
+                    now, waiting, seeds = tile, [], None
+                asked, rest = part[part["side"] == 0], part[part["side"] == 1]
+                if len(asked):
+                    waiting.append(asked)
+                if not len(rest) or not (waiting or seeds is not None):
+                    continue
+                if seeds is None:
+                    whole = pd.concat(waiting)
+                    seeds, ids, waiting = unit(whole["v"]), whole["id"].to_numpy(), []
+                v, other, at = unit(rest["v"]), rest["id"].to_numpy(), rest["published"].to_numpy()
+                width = min(seeds.shape[1], v.shape[1])
+                for low in range(0, len(ids), STRIP):
+                    cos = seeds[low : low + STRIP, :width] @ v[:, :width].T
+                    cos[ids[low : low + STRIP][:, None] == other[None, :]] = -np.inf
+                    for i, row in enumerate(cos, low):
+                        found = np.flatnonzero(row > least)
+                        first = found[np.lexsort((other[found], -at[found], -np.round(row[found], 9)))][:k]
+                        if len(first):
+                            yield pd.DataFrame({"seed_id": ids[i], "id": other[first], "similarity": row[first], "published": at[first]})
+
+    return run
+
+
+def by_embedding(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, days: int = DAYS, least: float = LEAST_SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """seed_id, id, published_at, similarity, rank: every seed is compared with every recent item, block by block.
+
+    Blocks of seeds hold a bounded number of bytes; items are dealt over tasks and each is sent once to each block. A
+    task multiplies its block with batches of items and passes on each seed's best. Null vectors take no part.
     """
-    left = seeds.where(F.col("embedding").isNotNull()).select(F.col("id").alias("seed_id"), F.col("embedding").alias("seed"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    recent = items.where((F.col("published_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"make_dt_interval({days})")) & F.col("embedding").isNotNull())
-    right = recent.select("id", "published_at", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = right.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    pairs = left.join(right, ["block", "salt"]).where(F.col("id") != F.col("seed_id"))
-    pairs = pairs.select("seed_id", "id", "published_at", M.cosine(F.col("seed"), F.col("embedding")).alias("similarity")).where(F.col("similarity") > least)
+    micros = F.unix_micros(F.col("published_at").cast("timestamp"))
+    left = seeds.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    right = recent(items, as_of, days).where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("v"), micros.alias("published"))
+    size = lambda df: df.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(size(left) / block_bytes))
+    lots = max(math.ceil(seeds.sparkSession.sparkContext.defaultParallelism / blocks), math.ceil(size(right) / (4 * block_bytes)))
+    block, lot = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(lots)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = left.select(block.alias("block"), every(lots).alias("lot"), F.lit(0).alias("side"), "id", "v", F.lit(0).cast("long").alias("published"))
+    met = right.select(every(blocks).alias("block"), lot.alias("lot"), F.lit(1).alias("side"), "id", "v", "published")
+    tiles = asked.unionByName(met).withColumn("tile", F.col("block").cast("long") * lots + F.col("lot")).drop("block", "lot")
+    dealt = tiles.repartition(blocks * lots, "tile").sortWithinPartitions("tile", "side")
+    pairs = dealt.mapInPandas(compared(k, least), "seed_id long, id long, similarity double, published long")
+    pairs = pairs.withColumn("published_at", F.timestamp_micros("published").cast("timestamp_ntz")).drop("published")
     return top(pairs, k, F.round("similarity", 9).desc(), F.col("published_at").desc(), F.col("id"))
 
 
