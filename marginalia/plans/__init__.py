@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, costs, curation, graph, quality, related, rules, search, text
+from . import changes, costs, curation, extras, graph, quality, related, rules, search, text
 
-_PLANS = (text, search, related, graph, quality, costs, changes, curation, rules)
+_PLANS = (text, search, related, graph, quality, costs, changes, curation, rules, extras)
 
 
 def queries() -> dict:

@@ -140,3 +140,20 @@ def test_relationship_and_finance_scores(spark):
     values = [None, "[]", f"[{good}]", f"[{good}, {flat}]", f"[{flat}]", f"[{short}]", f"[{flat}, {flat}, {flat}, {flat}]"]
     assert column(spark, values, P.relationships_score) == [50, 50, 100, 70, 30, 60, -60]
     assert column(spark, [None, "", "A Price list", "$5", "words"], P.finance_score) == [100, 100, 30, 30, 100]
+
+
+def test_json_in_replies(spark):
+    from marginalia.functions import rules as R
+
+    rows = [('so: {"a": [1]} ok', ), ("none",), ('[1, 2] {"ticker": "A", "x": 1} {"ticker": broken} {"ticker": "B"}',), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(R.first_json(F.col("t")).alias("o"), R.first_json(F.col("t"), "[").alias("l"), R.salvaged(F.col("t"), "ticker").alias("s")).collect()
+    assert [r["o"] for r in got] == ['{"a":[1]}', None, '{"ticker":"A","x":1}', None] and [r["l"] for r in got] == ["[1]", None, "[1,2]", None]
+    assert got[2]["s"] == ['{"ticker": "A", "x": 1}', '{"ticker": "B"}']
+
+
+def test_what_is_filled(spark):
+    from marginalia.functions import rules as R
+
+    df = spark.createDataFrame([(" ", [], 0, None), ("x", ["a"], None, {"k": 1})], "s string, a array<string>, n int, m map<string,int>")
+    assert [tuple(r) for r in df.select(*[R.filled(F.col(c), t) for c, t in df.dtypes]).collect()] == [(False, False, True, False), (True, True, False, True)]
