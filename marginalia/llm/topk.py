@@ -1,13 +1,15 @@
 """Exact top-k search: matrix products over tiles of queries and shards, a selection per tile, and a tree of merges.
 
-Queries and candidates are dealt into blocks of bounded size; a tile is one pair of blocks. Every block is sent to the
-tiles that need it, a tile's task holds two blocks and a strip of their product, and only its best rows leave it. The
-lists of a query are then merged ``FAN_IN`` blocks at a time, so no task sees all the lists of a query of many blocks.
+Queries are dealt into blocks and candidates into shards of a bounded number of bytes; a tile is one block and one shard.
+A tile's task holds its block of queries and their best rows so far, and lets the shard's rows stream past in batches, so
+that a block can be large and few copies of a candidate are sent: one for each block of queries. The lists of a query
+are then merged ``FAN_IN`` shards at a time, so no task sees all the lists of a query of many shards.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,14 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-QUERY_BLOCK, SHARD_BLOCK, STRIP, FAN_IN = 1024, 4096, 128, 16
+#: Bytes of a block of queries and of a shard, as doubles; rows of a shard from which a further task is worth it.
+QUERY_BYTES, SHARD_BYTES, LEAST_SHARD = 32 << 20, 128 << 20, 4096
+#: Queries that are multiplied at a time, and shards whose lists are merged at a time.
+STRIP, FAN_IN = 128, 16
 
 TOP = 20
 
 
 def quantised(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component as a double; null where the vector is null or holds a null or non-finite one."""
-    x = F.transform(vector, lambda v: F.floor(v.cast("double") * scale).cast("double"))
+    # from 2^53 on, doubles are whole numbers, and more than a long holds
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    x = F.transform(vector, lambda v: whole(v.cast("double") * scale))
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
     return F.when(vector.isNotNull() & ~bad, x)
 
@@ -56,37 +63,84 @@ def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return whole(q) @ whole(c).T
 
 
-def tile(k: int):
-    def run(key: tuple, queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(queries) and len(shard):
-            shard = shard.sort_values("held_id", kind="stable").reset_index(drop=True)
-            width = max(queries.q.map(len).max(), shard.held_q.map(len).max())
-            c, ids, cids = padded(shard.held_q, width), queries.vec_id.to_numpy(), shard.held_id.to_numpy()
-            for at in range(0, len(ids), STRIP):
-                mine = ids[at : at + STRIP]
-                scores = product(padded(queries.q.iloc[at : at + STRIP], width), c)
-                if scores.dtype == object:  # beyond doubles: ranks stand for scores
-                    ranks = np.unique(scores, return_inverse=True)[1].reshape(scores.shape).astype(float)
-                else:
-                    ranks = scores
-                r, col = best(ranks, mine[:, None] == cids[None, :], k)
-                found = [max(-(2**63), min(2**63 - 1, int(x))) for x in scores[r, col]]
-                parts.append(pd.DataFrame({"query_id": mine[r], "vec_id": cids[col], "score": np.array(found, dtype="int64"), "block": np.int32(key[1])}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "block": []})
+class Tile:
+    """A block of queries and the best candidates that each has seen."""
+
+    def __init__(self, ids: np.ndarray, vectors: pd.Series, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.q = padded(vectors, max([1, *map(len, vectors)]))
+        self.score = np.full((len(ids), k), -np.inf)
+        self.whole: np.ndarray | None = None  # the scores themselves, where doubles can't tell them apart
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids: np.ndarray, vectors: pd.Series) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors.iloc[order]
+        width = max([1, *map(len, vectors)])
+        c = padded(vectors, max(width, self.q.shape[1]))
+        if c.shape[1] > self.q.shape[1]:
+            self.q = np.pad(self.q, ((0, 0), (0, c.shape[1] - self.q.shape[1])))
+        for at in range(0, len(self.ids), STRIP):
+            mine = slice(at, at + STRIP)
+            scores = product(self.q[mine], c)
+            if scores.dtype == object or self.whole is not None:
+                self._merge_whole(mine, scores, ids)
+                continue
+            r, col = best(scores, self.ids[mine][:, None] == ids[None, :], self.k)
+            width = int(np.bincount(r, minlength=1).max(initial=0))
+            more, theirs = np.full((len(scores), width), -np.inf), np.full((len(scores), width), np.iinfo(np.int64).max)
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            more[r, place], theirs[r, place] = scores[r, col], ids[col]
+            score, found = np.concatenate([self.score[mine], more], axis=1), np.concatenate([self.found[mine], theirs], axis=1)
+            first = np.lexsort((found, -score), axis=1)[:, : self.k]
+            self.score[mine], self.found[mine] = np.take_along_axis(score, first, 1), np.take_along_axis(found, first, 1)
+
+    def _merge_whole(self, mine: slice, scores: np.ndarray, ids: np.ndarray) -> None:
+        if self.whole is None:
+            self.whole = np.array([[None if x == -np.inf else int(x) for x in row] for row in self.score], object).reshape(self.score.shape)
+        for i, row in enumerate(scores, mine.start):
+            own = [(-int(x), int(y)) for x, y in zip(row, ids) if y != self.ids[i]]
+            own += [(-x, int(y)) for x, y in zip(self.whole[i], self.found[i]) if x is not None]
+            own = sorted(own)[: self.k]
+            self.whole[i] = [-x for x, _ in own] + [None] * (self.k - len(own))
+            self.found[i] = [y for _, y in own] + [np.iinfo(np.int64).max] * (self.k - len(own))
+
+    def lists(self, shard: int) -> pd.DataFrame:
+        scores = self.score if self.whole is None else self.whole
+        there = scores != -np.inf if self.whole is None else np.array([[x is not None for x in row] for row in scores], bool).reshape(scores.shape)
+        r, col = np.nonzero(there)
+        cut = [max(-(2**63), min(2**63 - 1, int(x))) for x in scores[r, col]]
+        return pd.DataFrame({"query_id": self.ids[r], "vec_id": self.found[r, col], "score": np.array(cut, dtype="int64"), "shard": np.full(len(r), shard, "int32")})
+
+
+def searched(k: int):
+    """Lists of the tiles that come in, one after the other, each with its queries first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, waiting, held = None, [], None
+        for frame in frames:
+            for (tile, shard), part in frame.groupby(["tile", "shard"], sort=False):
+                if now is None or tile != now[0]:
+                    if held is not None:
+                        yield held.lists(now[1])
+                    now, waiting, held = (tile, shard), [], None
+                asked, rest = part[part["side"] == 0], part[part["side"] == 1]
+                if len(asked):
+                    waiting.append(asked)
+                if len(rest) and waiting:
+                    queries = pd.concat(waiting)
+                    held, waiting = Tile(queries["vec_id"].to_numpy(), queries["q"], k), []
+                if len(rest) and held is not None:
+                    held.see(rest["vec_id"].to_numpy(), rest["q"])
+        if held is not None:
+            yield held.lists(now[1])
 
     return run
 
 
-def blocks(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))
-
-
-def dealt(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-
-
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP, query_block: int = QUERY_BLOCK, shard_block: int = SHARD_BLOCK) -> DataFrame:
+def top_k(
+    queries: DataFrame, candidates: DataFrame, k: int = TOP, query_bytes: int = QUERY_BYTES, shard_bytes: int = SHARD_BYTES, least_shard: int = LEAST_SHARD
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query by integer inner product.
 
     Both tables have vec_id (long) and q (array<double> of whole numbers); other columns are ignored. Rows whose id or
@@ -95,20 +149,28 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP, query_block:
     and a query id that stands on several rows is asked once, with its smallest vector. A query of fewer than k
     candidates gets them all; empty tables give no rows. Scores beyond 64 bits are cut to the nearest long.
     """
+    spark = queries.sparkSession
     queries = queries.where(F.col("vec_id").isNotNull() & F.col("q").isNotNull()).groupBy("vec_id").agg(F.min("q").alias("q"))
-    candidates = candidates.where(F.col("vec_id").isNotNull() & F.col("q").isNotNull()).select(F.col("vec_id").alias("held_id"), F.col("q").alias("held_q"))
-    nq, nc = blocks(queries.count(), query_block), blocks(candidates.count(), shard_block)
-    asked = dealt(queries, "vec_id", "qb", nq).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    held = dealt(candidates, "held_id", "cb", nc).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    lists = (
-        asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb"))
-        .applyInPandas(tile(k), "query_id long, vec_id long, score long, block int")
-    )
+    candidates = candidates.where(F.col("vec_id").isNotNull() & F.col("q").isNotNull()).select("vec_id", "q")
+    size = [F.count(F.lit(1)), F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0))]
+    (_, asked_bytes), (rows, held_bytes) = queries.agg(*size).first(), candidates.agg(*size).first()
+    n_blocks = max(1, math.ceil(asked_bytes / query_bytes))
+    # shards of bounded bytes, and more of them while each has enough rows, until all cores have one
+    n_shards = max(1, math.ceil(held_bytes / shard_bytes), min(math.ceil(rows / least_shard), math.ceil(spark.sparkContext.defaultParallelism / n_blocks)))
+    # ids may repeat without bound, so candidates are dealt by their place in the table
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_shards)).cast("int")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(block.alias("block"), every(n_shards).alias("shard"), F.lit(0).alias("side"), "vec_id", "q")
+    held = candidates.withColumn("shard", place).select(every(n_blocks).alias("block"), "shard", F.lit(1).alias("side"), "vec_id", "q")
+    tiles = asked.unionByName(held).withColumn("tile", F.col("block").cast("long") * n_shards + F.col("shard"))
+    dealt = tiles.select("tile", "shard", "side", "vec_id", "q").repartition(n_blocks * n_shards, "tile").sortWithinPartitions("tile", "side")
+    lists = dealt.mapInPandas(searched(k), "query_id long, vec_id long, score long, shard int")
     order = [F.col("score").desc(), F.col("vec_id")]
-    while nc > 1:
-        nc = math.ceil(nc / FAN_IN)
-        lists = lists.withColumn("block", F.floor(F.col("block") / FAN_IN).cast("int"))
-        merged = W.partitionBy("query_id", "block").orderBy(*order)
+    while n_shards > 1:
+        n_shards = math.ceil(n_shards / FAN_IN)
+        lists = lists.withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("int"))
+        merged = W.partitionBy("query_id", "shard").orderBy(*order)
         lists = lists.withColumn("at", F.row_number().over(merged)).where(F.col("at") <= k).drop("at")
     ranked = W.partitionBy("query_id").orderBy(*order)
     return lists.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score")
