@@ -176,7 +176,7 @@ def meta_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, all_, i + 1, chunk + CASE WHEN closes THEN 1 ELSE 0 END,
             CASE WHEN i >= len(all_) THEN '' WHEN closes OR open = '' THEN all_[i + 1] ELSE open || ' ' || all_[i + 1] END, CASE WHEN closes OR i >= len(all_) THEN open END
         FROM (SELECT *, i < len(all_) AND open <> '' AND ceil(length(open || ' ' || all_[i + 1]) / 4.0) > 250 AS closes FROM walk) WHERE i <= len(all_))
-    SELECT doc_id, (CASE WHEN i > len(all_) THEN chunk ELSE chunk - 1 END)::INTEGER AS chunk, length(done)::BIGINT AS chars, ceil(length(done) / 4.0)::BIGINT AS tokens, md5(done) AS md5
+    SELECT doc_id, (CASE WHEN i > len(all_) THEN chunk ELSE chunk - 1 END)::INTEGER AS chunk, length(done)::INTEGER AS chars, ceil(length(done) / 4.0)::BIGINT AS tokens, md5(done) AS md5
     FROM walk WHERE coalesce(done, '') <> ''""",
 )
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
