@@ -42,6 +42,8 @@ def carried(df: DataFrame, replaced: Sequence[str] = (), **work: Column) -> Data
 
     While a caller's columns travel inside ``row``, no name that an operator adds can clash with theirs. As for Spark
     itself, names that differ in case alone are one name: columns whose names match ``replaced`` so are left out.
+    Expressions with lambdas belong in a select of their own before the one that unpacks ``row.*``: inside a lambda, Spark
+    would take the unpacked columns for aliases of that select.
     """
     gone = {x.lower() for x in replaced}
     kept = [named(c) for c in df.columns if c.lower() not in gone]

@@ -116,10 +116,11 @@ def line_quality(
     n, gone = F.col("v.n_words"), F.col("v.n_removed_words")
     failed = (n < LEAST_WORDS) | (F.col("v.n_repeat_words") * 100 > n * int(100 * MOST_REPEATED))
     clean = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.coalesce(F.array_contains("v.gone", F.xxhash64(normalised(x))), F.lit(False))), "\n")
-    return joined_evenly(rows, judged, of_text, "rows").select(
-        "row.*", *[F.col(f"v.{x}").alias(x) for x in own[:5]], failed.alias("base_failed"), F.col("v.n_removed_lines").alias("n_removed_lines"),
+    found = joined_evenly(rows, judged, of_text, "rows").select(
+        "row", *[F.col(f"v.{x}").alias(x) for x in own[:5]], failed.alias("base_failed"), F.col("v.n_removed_lines").alias("n_removed_lines"),
         gone.alias("n_removed_words"), clean.alias("clean_text"), (~failed & (gone <= n * most_removed) & (n - gone >= least_left)).alias("kept"),
     )
+    return found.select("row.*", *own)
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

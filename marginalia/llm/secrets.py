@@ -285,10 +285,11 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     own = F.create_map(*[F.lit(x) for (code, k), c in limits.items() for x in (f"{code}{k}", c)]) if limits else F.create_map().cast("map<string,int>")
     keep = lambda t: t["e_class"] >= F.coalesce(F.try_element_at(own, F.concat(t["code"], t["length_class"].cast("string"))), F.lit(LAST_CLASS + 1))
     added = F.transform(F.filter("found.tested", keep), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end")))
-    return based.select(
-        "row.*", F.sort_array(F.concat("found.base", added)).alias("spans"), F.size("found.base").alias("n_base"), F.size("found.values").alias("n_tested"),
+    made = based.select(
+        "row", F.sort_array(F.concat("found.base", added)).alias("spans"), F.size("found.base").alias("n_base"), F.size("found.values").alias("n_tested"),
         F.size(F.filter("found.values", lambda v: v["passes"])).alias("n_passed"),
     )
+    return made.select("row.*", "spans", "n_base", "n_tested", "n_passed")
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
