@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,18 @@ CHUNK, BATCH = 1024, 400
 
 
 def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids): each document's tokens and the id ``end``, cut every ``size``."""
+    """doc_id, piece, start, length, ids_crc32 (and ids): each document's tokens and the id ``end``, cut every ``size``.
+
+    ids are bytes, little-endian numbers of 2 bytes each if all of a piece fit, else of 4.
+    """
     path = tokenizer or default_path()
     tail = end.to_bytes(4, "little")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    def narrow(x: bytes) -> bytes:
+        ids = np.frombuffer(x, "<u4")
+        return ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else x
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_tokeniser(path).ids
         for frame in frames:
             for at in range(0, len(frame), BATCH):
@@ -42,12 +48,12 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end:
                     ids += tail
                     for k, b in enumerate(range(0, len(ids), 4 * size)):
                         x = ids[b : b + 4 * size]
-                        rows.append((doc_id, k, b // 4, len(x) // 4, zlib.crc32(x), np.frombuffer(x, "<u4").astype("int32") if with_ids else None))
+                        rows.append((doc_id, k, b // 4, len(x) // 4, zlib.crc32(x), narrow(x) if with_ids else None))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out if with_ids else out.drop(columns="ids")
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
 
 
@@ -99,29 +105,47 @@ def plan(counts: Mapping[int, int], size: int) -> list[tuple[int, int, int, int,
     return placed
 
 
-def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False, with_epoch: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, and epoch).
+def widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        f["ids"] = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("int32") for x, n in zip(f["ids"], f["length"])]
+        yield f
+
+
+def pack(
+    docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False, with_epoch: bool = False, in_sequence: bool = False, id_bytes: bool = False
+) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and epoch, and ids).
 
     ``tokenizer``: the place of a vocabulary file. A null or empty text is the single token ``end``; repeated rows and
     null ids are packed like any others; a text of any length is cut into as many pieces as it takes, only the last
     one shorter than ``size``. epoch: 0, 1, ... for the uses of a document, rows with one id and one text; which piece of
-    which use comes first is open. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    which use comes first is open. ids: array<int>, or with ``id_bytes`` the bytes of ``pieces``; places are planned without, and join them at the end.
+    ``in_sequence``: the pieces of a sequence stand one after the other in one partition. Other columns of ``docs`` are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, size, tokenizer, end, with_ids), "pieces")
+    cut = written(pieces(docs, size, tokenizer, end, with_ids).withColumn("nr", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "planned long, first long, n long, sequence long, offset long"
     slots = spark.createDataFrame(plan(counts, size), schema).withColumn(
         "part", F.explode(F.sequence(F.expr(f"first div {CHUNK}"), F.expr(f"(first + n - 1) div {CHUNK}")))
     )
-    ranked = gapless_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
+    ranked = gapless_rank(cut.drop("ids"), ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
     at = F.col("rank") - F.col("first")
     on = (F.col("length") == F.col("planned")) & (F.expr(f"rank div {CHUNK}") == F.col("part")) & (at >= 0) & (at < F.col("n"))
-    placed = ranked.join(slots, on).select(*cut.columns, (F.col("sequence") + at).alias("sequence_id"), "offset")
-    if not with_epoch:
+    own = ["doc_id", "piece", "start", "length", "ids_crc32", "nr"]
+    placed = ranked.join(slots, on).select(*own, (F.col("sequence") + at).alias("sequence_id"), "offset")
+    if with_epoch:
+        keyed = placed.withColumn("use", F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.col("doc_id").isNull()))
+        placed = gapless_rank(written(keyed, "placed"), ["use"], ["sequence_id", "offset"], "epoch", buckets=1).drop("use")
+    if with_ids:
+        placed = placed.join(cut.select("nr", "ids"), "nr")
+    placed = placed.drop("nr")
+    if in_sequence:
+        placed = placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    if not with_ids or id_bytes:
         return placed
-    keyed = placed.withColumn("use", F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.col("doc_id").isNull()))
-    return gapless_rank(written(keyed, "placed"), ["use"], ["sequence_id", "offset"], "epoch", buckets=1).drop("use")
+    return placed.mapInPandas(widened, ", ".join(f"{c} {'array<int>' if c == 'ids' else t}" for c, t in placed.dtypes))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
