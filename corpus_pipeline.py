@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import carried, emptied, setting, shared_dir, written
+from marginalia.llm.common import carried, emptied, setting, shared_dir
 from marginalia.llm.mixing import mix
 from marginalia.llm.near_dedup import deduplicated
 from marginalia.llm.packing import pack
@@ -43,7 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     with bounded(spark):
         model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-        return written(docs.where(scorer(model)(F.col("text")) >= THRESHOLD), "quality")
+    return docs.where(scorer(model)(F.col("text")) >= THRESHOLD)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,11 +78,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece with its ids, its place in a sequence, and epoch: which use of its document it is, from 0.
 
+    ids are bytes: little-endian numbers of 2 bytes each, or of 4 in a piece that has greater ones.
+
     The pieces of a sequence stand in one file, one after the other, so that a trainer reads whole sequences as they
     come. A null or empty text is a piece of the end token alone.
     """
     with bounded(spark):
-        return pack(docs, with_ids=True, with_epoch=True).repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+        return pack(docs, with_ids=True, with_epoch=True, in_sequence=True, id_bytes=True)
 
 
 STAGES = [
