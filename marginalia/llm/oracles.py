@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .common import RANK_BUCKETS
+from .merkle import FANOUT
 from .mixing import BUDGET_SHARE, HASH_BITS, LEVELS, MAX_EPOCHS, SEED, WEIGHTS
 from .quality_rules import LEAST_LEFT, LEAST_WORDS, LINE_TEXTS, MOST_REMOVED
+from .resampling import BUCKETS, LEAST_WORDS as RESAMPLED_WORDS, SEED as RESAMPLING_SEED, SHARE
 from .sharding import MULTIPLIER, SHARDS
 
 
@@ -138,3 +140,90 @@ used AS (
 )
 SELECT doc_id, domain, lang, src AS source, tokens, unnest(range(uses))::INTEGER AS epoch FROM used WHERE uses > 0
 """
+
+
+def _runs(table: str) -> str:
+    """Each run of one or two words of the texts of a table, by doc."""
+    return f"""SELECT doc, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS run
+        FROM (SELECT doc, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM {table})"""
+
+
+OP12 = f"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT 0 AS doc, coalesce(text, '') AS text FROM benchmark),
+source_runs AS ({_runs("d")}),
+target_runs AS ({_runs("b")}),
+hashed AS (SELECT run, ({crc32("encode(run)")} % {BUCKETS})::BIGINT AS bucket FROM (SELECT run FROM source_runs UNION SELECT run FROM target_runs), crc),
+found AS (SELECT doc, bucket FROM source_runs JOIN hashed USING (run)),
+wanted AS (SELECT bucket FROM target_runs JOIN hashed USING (run)),
+gain AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM found) + {BUCKETS})
+        / ((s + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + {BUCKETS}))))::BIGINT AS gain
+    FROM (SELECT bucket, count(*) AS s FROM found GROUP BY bucket) LEFT JOIN (SELECT bucket, count(*) AS t FROM wanted GROUP BY bucket) USING (bucket)
+),
+weighed AS (
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(CASE WHEN total < 0 THEN -((-total + n - 1) // n) ELSE total // n END, 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('{RESAMPLING_SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM d LEFT JOIN (SELECT doc, count(*)::BIGINT AS n, sum(gain)::BIGINT AS total FROM found JOIN gain USING (bucket) GROUP BY doc) USING (doc)
+),
+scored AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM weighed),
+-- n words make 2 n - 1 features
+placed AS (
+    SELECT *, n_features >= {2 * RESAMPLED_WORDS - 1} AS able,
+        row_number() OVER (PARTITION BY n_features >= {2 * RESAMPLED_WORDS - 1} ORDER BY score DESC, doc_id)::BIGINT AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= {SHARE} * (SELECT count(*) FROM placed WHERE able) // 100 THEN place END AS rank FROM placed
+"""
+
+#: Levels of the SQL's trees: FANOUT to this power leaves.
+_HEIGHT = 8
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs name_0 (tree, i, h, n: nodes of the tree at the level; key, leaf) to name_8 and name_path: siblings (left, right) of each leaf at each level."""
+    out = [f"{name}_0 AS ({leaves})"]
+    for k in range(1, _HEIGHT + 1):
+        out.append(f"""{name}_{k} AS (
+    SELECT tree, i // {FANOUT} AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY {name}_{k - 1}.i)) END AS h,
+        (any_value(n) + {FANOUT - 1}) // {FANOUT} AS n
+    FROM {name}_{k - 1} GROUP BY tree, i // {FANOUT})""")
+    steps = " UNION ALL ".join(
+        f"""SELECT a.tree, a.key, {k} AS level, (SELECT coalesce(string_agg(b.h, '' ORDER BY b.i), '') FROM {name}_{k} b WHERE b.tree = a.tree AND b.i // {FANOUT} = (a.i // {FANOUT**k}) // {FANOUT} AND b.i < a.i // {FANOUT**k}) AS l,
+        (SELECT coalesce(string_agg(b.h, '' ORDER BY b.i), '') FROM {name}_{k} b WHERE b.tree = a.tree AND b.i // {FANOUT} = (a.i // {FANOUT**k}) // {FANOUT} AND b.i > a.i // {FANOUT**k}) AS r
+        FROM {name}_0 a WHERE a.n > {FANOUT**k}"""
+        for k in range(_HEIGHT)
+    )
+    out.append(f"{name}_path AS (SELECT tree, key, list(struct_pack(l := l, r := r) ORDER BY level) AS path FROM ({steps}) GROUP BY tree, key)")
+    return ",\n".join(out)
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR))::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(map(_framed, ("doc_id", "source", "lang", "n_chars")))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = f"""
+WITH {CRC_TABLE},
+d AS (
+    SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256({_HEAD} || {_framed("text")})) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+        coalesce('=' || lang, '') AS tree, doc_id, sha256({_HEAD} || {_framed("text")}) AS leaf,
+        CASE WHEN coalesce({crc32("encode(doc_id::VARCHAR)")} % 3 = 0, false) THEN sha256({_HEAD} || {_framed(_LOWER)}) ELSE sha256({_HEAD} || {_framed("text")}) END AS after
+    FROM documents, crc
+),
+{_tree("low", "SELECT tree, i, leaf AS h, n, i AS key FROM d")},
+subroots AS (SELECT tree, h AS subroot FROM low_{_HEIGHT}),
+{_tree("top", "SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, subroot AS h, count(*) OVER () AS n, tree AS key FROM subroots")},
+ways AS (
+    SELECT d.doc_id, d.leaf, d.after, s.subroot, (SELECT h FROM top_{_HEIGHT}) AS root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) AS path
+    FROM d JOIN subroots s USING (tree) LEFT JOIN low_path p ON p.tree = d.tree AND p.key = d.i LEFT JOIN top_path q ON q.key = d.tree
+),
+folded AS (
+    SELECT *, sha256(coalesce(list_reduce(list_transform(path, lambda x: x.l || x.r), lambda a, b: a || b), '')) AS proof_sha256,
+        list_reduce(list_prepend(struct_pack(l := after, r := ''), path), lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := '')).l AS folded_root
+    FROM ways
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
