@@ -7,15 +7,16 @@ grid cells that very many items share are dealt over salts, so that no task hold
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import measures as M
+from ..sources.stored import new_path, stored
 
 DAYS, LEAST_OVERLAP, LEAST_SIMILARITY, MILES = 30, 2, 0.7, 5.0
 SALTS = 8
@@ -23,6 +24,9 @@ SALTS = 8
 #: Items of a tag that share a salt; bytes of a block of seeds, and seeds that are multiplied at a time.
 ROWS_A_SALT, BLOCK_BYTES, STRIP = 100_000, 32 << 20, 256
 
+#: Folders of the index of tags; rows that may be broadcast, which are counted first.
+PARTS, BROADCAST_ROWS = 64, 50_000
+
 #: Degrees of a cell's sides; a mile is at most 1 / 68.7 degrees of latitude.
 MILES_A_DEGREE = 68.7
 
@@ -31,32 +35,65 @@ def recent(items: DataFrame, as_of: str, days: int) -> DataFrame:
     return items.where(F.col("published_at") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"make_dt_interval({days})"))
 
 
+def tag_index(items: DataFrame, path: str | None = None, parts: int = PARTS) -> DataFrame:
+    """tag, id, published_at, n (how often the item has it), part: a written table in folders by a hash of the tag.
+
+    What a seed needs of it lies in the folders of the seed's tags.
+    """
+    each = items.select("id", "published_at", F.explode("tags").alias("tag")).groupBy("tag", "id", "published_at").agg(F.count(F.lit(1)).alias("n"))
+    path = path or new_path(items.sparkSession, "tags")
+    stored(each.withColumn("part", tag_part(F.col("tag"), parts)), path, ["part"])
+    return items.sparkSession.read.schema("tag string, id long, published_at timestamp_ntz, n long, part int").parquet(path)
+
+
+def tag_part(tag: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(tag), F.lit(parts)).cast("int")
+
+
+def by_tag_index(tags: Sequence[str], seed_id: int, index: DataFrame, as_of: str, k: int = 50, days: int = DAYS, least: int = LEAST_OVERLAP, parts: int = PARTS) -> DataFrame:
+    """id, published_at, overlap, rank for one seed with the given ``tags``: what ``by_tags`` says of it, from its tags' folders alone."""
+    asked = sorted(set(tags))
+    folders = [r[0] for r in index.sparkSession.createDataFrame([(t,) for t in asked], "tag string").select(tag_part(F.col("tag"), parts)).distinct().collect()]
+    held = recent(index.where(F.col("part").isin(folders) & F.col("tag").isin(asked)), as_of, days).where(F.col("id") != seed_id)
+    found = held.groupBy("id", "published_at").agg(F.sum("n").alias("overlap")).where(F.col("overlap") >= least)
+    ordered = found.orderBy(F.col("overlap").desc(), F.col("published_at").desc(), F.col("id")).limit(k)
+    return ordered.withColumn("rank", F.row_number().over(W.orderBy(F.col("overlap").desc(), F.col("published_at").desc(), F.col("id"))))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (written, or soon evaluated) marked to be broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def tag_overlaps(seeds: DataFrame, items: DataFrame, as_of: str, days: int = DAYS, least: int = LEAST_OVERLAP) -> DataFrame:
-    """seed_id, id, overlap: how many of an item's tags a seed has, each as often as the item has it.
+    """seed_id, id, published_at, overlap: how many of an item's tags a seed has, each as often as the item has it.
 
     Items published within ``days`` before ``as_of`` or later. An item of distinct tags that shares ``least`` tags with a
     seed shares one that isn't among the seed's ``least`` - 1 most frequent ones. So seeds meet items by their rarer tags
-    alone (and items that repeat a tag by all of them), and the overlap is counted for those that meet. A tag of very
-    many items is dealt over as many salts as its count asks for.
+    alone (and items that repeat a tag by all of them), and the overlap is counted for those that meet. Tags that no seed
+    has are left behind before anything is shuffled, and a tag of very many items is dealt over as many salts as its
+    count asks for. Items' tags are made once, and travel to the pairs that met, not with each tag.
     """
-    held = recent(items, as_of, days).select("id", "tags")
-    counted = held.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int").alias("salts")
-    own = seeds.select(F.col("id").alias("seed_id"), F.array_distinct("tags").alias("seed_tags"))
-    each = own.select("seed_id", F.explode("seed_tags").alias("tag")).join(counted, "tag")
+    held = stored(recent(items, as_of, days).select("id", "published_at", "tags"), name="tags")
+    own = stored(seeds.select(F.col("id").alias("seed_id"), F.array_distinct("tags").alias("seed_tags")), name="seeds")
+    each = own.select("seed_id", F.explode("seed_tags").alias("tag"))
+    repeats = F.size("tags") > F.size(F.array_distinct("tags"))
+    met = held.select("id", repeats.alias("repeats"), F.explode(F.array_distinct("tags")).alias("tag")).join(small(each.select("tag").distinct()), "tag", "left_semi")
+    counted = stored(met.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), name="counts")
     by_count = F.array_sort(F.collect_list(F.struct("n", "tag")))
     rare = F.col("at") < F.size("all") - (least - 1)
-    asked = each.groupBy("seed_id").agg(by_count.alias("all")).select("seed_id", "all", F.posexplode("all").alias("at", "t"))
-    asked = asked.select("seed_id", F.col("t.tag").alias("tag"), rare.alias("rare"), F.ceil(F.col("t.n") / ROWS_A_SALT).cast("int").alias("salts"))
-    asked = asked.join(own, "seed_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    hot = counted.where(F.col("n") > ROWS_A_SALT).select("tag", salts)  # no more than all rows / ROWS_A_SALT tags
-    repeats = (F.size("tags") > F.size(F.array_distinct("tags"))).alias("repeats")
-    met = held.select("id", "tags", repeats, F.explode(F.array_distinct("tags")).alias("tag")).join(hot, "tag", "left")
-    met = met.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    pairs = asked.join(met, ["tag", "salt"]).where((F.col("id") != F.col("seed_id")) & (F.col("rare") | F.col("repeats")))
+    asked = each.join(small(counted), "tag").groupBy("seed_id").agg(by_count.alias("all")).select("seed_id", F.size("all").alias("of"), "all")
+    asked = asked.select("seed_id", "all", F.posexplode("all").alias("at", "t"))
+    salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int")
+    asked = asked.select("seed_id", F.col("t.tag").alias("tag"), rare.alias("rare"), F.col("t.n").alias("n"))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    # no more than all rows / ROWS_A_SALT tags are hot; they are known before their rows are dealt
+    hot = counted.where(F.col("n") > ROWS_A_SALT).select("tag", salts.alias("salts"))
+    met = met.join(F.broadcast(hot), "tag", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    pairs = asked.join(met, ["tag", "salt"]).where((F.col("id") != F.col("seed_id")) & (F.col("rare") | F.col("repeats"))).select("seed_id", "id").distinct()
     overlap = F.size(F.filter("tags", lambda t: F.array_contains("seed_tags", t))).cast("long")
-    scored = pairs.select("seed_id", "id", overlap.alias("overlap")).where(F.col("overlap") >= least)
-    return scored.groupBy("seed_id", "id").agg(F.max("overlap").alias("overlap"))
+    scored = pairs.join(small(own), "seed_id").join(held, "id").select("seed_id", "id", "published_at", overlap.alias("overlap"))
+    return scored.where(F.col("overlap") >= least)
 
 
 def top(pairs: DataFrame, k: int, *order) -> DataFrame:
@@ -65,8 +102,7 @@ def top(pairs: DataFrame, k: int, *order) -> DataFrame:
 
 
 def by_tags(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, **how) -> DataFrame:
-    pairs = tag_overlaps(seeds, items, as_of, **how).join(items.select("id", "published_at"), "id")
-    return top(pairs, k, F.col("overlap").desc(), F.col("published_at").desc(), F.col("id"))
+    return top(tag_overlaps(seeds, items, as_of, **how), k, F.col("overlap").desc(), F.col("published_at").desc(), F.col("id"))
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -100,15 +136,26 @@ def compared(k: int, least: float):
                 for low in range(0, len(ids), STRIP):
                     cos = seeds[low : low + STRIP, :width] @ v[:, :width].T
                     cos[ids[low : low + STRIP][:, None] == other[None, :]] = -np.inf
-                    for i, row in enumerate(cos, low):
-                        found = np.flatnonzero(row > least)
-                        first = found[np.lexsort((other[found], -at[found], -np.round(row[found], 9)))][:k]
-                        if len(first):
-                            yield pd.DataFrame({"seed_id": ids[i], "id": other[first], "similarity": row[first], "published": at[first]})
+                    if cos.shape[1] > k:  # of each row those that reach its k-th best, ties included
+                        cos = np.round(cos, 12)
+                        floor = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k][:, None]
+                        r, c = np.nonzero((cos > least) & (cos >= floor - 1e-8))
+                    else:
+                        r, c = np.nonzero(cos > least)
+                    order = np.lexsort((other[c], -at[c], -np.round(cos[r, c], 9), r))
+                    r, c = r[order], c[order]
+                    best = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    r, c = r[best], c[best]
+                    yield pd.DataFrame({"seed_id": ids[low + r], "id": other[c], "similarity": cos[r, c], "published": at[c]})
 
     return run
 
 
+def dealt_out(tiles: DataFrame, n: int) -> DataFrame:
+    """Rows by their ``tile`` (0 to ``n`` - 1), each tile a partition, seeds (side 0) first."""
+    return tiles.repartitionById(n, F.col("tile").cast("int")).sortWithinPartitions("tile", "side")
+
+
 def by_embedding(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, days: int = DAYS, least: float = LEAST_SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """seed_id, id, published_at, similarity, rank: every seed is compared with every recent item, block by block.
 
@@ -126,16 +173,16 @@ def by_embedding(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, da
     asked = left.select(block.alias("block"), every(lots).alias("lot"), F.lit(0).alias("side"), "id", "v", F.lit(0).cast("long").alias("published"))
     met = right.select(every(blocks).alias("block"), lot.alias("lot"), F.lit(1).alias("side"), "id", "v", "published")
     tiles = asked.unionByName(met).withColumn("tile", F.col("block").cast("long") * lots + F.col("lot")).drop("block", "lot")
-    dealt = tiles.repartition(blocks * lots, "tile").sortWithinPartitions("tile", "side")
-    pairs = dealt.mapInPandas(compared(k, least), "seed_id long, id long, similarity double, published long")
+    pairs = dealt_out(tiles, blocks * lots).mapInPandas(compared(k, least), "seed_id long, id long, similarity double, published long")
     pairs = pairs.withColumn("published_at", F.timestamp_micros("published").cast("timestamp_ntz")).drop("published")
     return top(pairs, k, F.round("similarity", 9).desc(), F.col("published_at").desc(), F.col("id"))
 
 
 def hybrid(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, **how) -> DataFrame:
     """The best by tags, twice as many as asked for, by 0.4 * overlap / 10 + 0.6 * cosine."""
-    found = by_tags(seeds, items, as_of, 2 * k, **how).drop("rank")
-    found = found.join(seeds.select(F.col("id").alias("seed_id"), F.col("embedding").alias("seed")), "seed_id").join(items.select("id", "embedding"), "id")
+    found = stored(by_tags(seeds, items, as_of, 2 * k, **how).drop("rank"), name="found")  # a few rows a seed
+    vectors = items.select("id", "embedding").join(small(found.select("id").distinct()), "id", "left_semi")
+    found = found.join(seeds.select(F.col("id").alias("seed_id"), F.col("embedding").alias("seed")), "seed_id").join(vectors, "id")
     scored = found.withColumn("similarity", M.cosine(F.col("seed"), F.col("embedding")))
     scored = scored.withColumn("score", F.col("overlap") / 10.0 * 0.4 + F.col("similarity") * 0.6).drop("seed", "embedding")
     return top(scored, k, F.round("score", 9).desc(), F.col("published_at").desc(), F.col("id"))

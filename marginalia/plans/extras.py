@@ -161,13 +161,13 @@ def bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "news_quota_G25",
-    f"""WITH {ITEMS_SQL}, news AS (SELECT id, created_at, list_contains(tags, 'that') AND type NOT IN ('gist', 'starred') AS is_news FROM items),
+    f"""WITH {ITEMS_SQL}, news AS (SELECT id, created_at, list_contains(tags, 'ofonrereer') AND type NOT IN ('gist', 'starred') AS is_news FROM items),
     k AS (SELECT *, row_number() OVER (PARTITION BY created_at::DATE ORDER BY created_at DESC, id DESC) AS k FROM news WHERE is_news)
     SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS news, least(count(*), 5) AS allowed, min(id) FILTER (WHERE k <= 5) AS first_allowed FROM k GROUP BY 1""",
 )
 def news_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each day's news the latest five; filtered before they are counted, so that none is missed."""
-    news = items(spark, sf_dir).where(F.array_contains("tags", "that") & ~F.col("type").isin("gist", "starred"))
+    news = items(spark, sf_dir).where(F.array_contains("tags", "ofonrereer") & ~F.col("type").isin("gist", "starred"))
     k = F.row_number().over(W.partitionBy(F.col("created_at").cast("date")).orderBy(F.col("created_at").desc(), F.col("id").desc()))
     return news.withColumn("k", k).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("news"), F.least(F.count(F.lit(1)), F.lit(5)).alias("allowed"), F.min(F.when(F.col("k") <= 5, F.col("id"))).alias("first_allowed")

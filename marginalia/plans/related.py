@@ -73,18 +73,18 @@ NEAR = f"""near AS (
     SELECT s.id AS seed_id, i.id, {far("s", "i")} AS miles FROM (SELECT * FROM items WHERE id % 50 <> 51) s JOIN items i ON i.id <> s.id
     WHERE s.latitude IS NOT NULL AND s.longitude IS NOT NULL AND i.latitude IS NOT NULL AND i.longitude IS NOT NULL AND {far("s", "i")} <= {R.MILES}
 )"""
-SEED_NEAR = NEAR.replace("id % 50 <> 51", "id % 50 = 1")
+SEED_NEAR = NEAR.replace("id % 50 <> 51", "id % 50 = 0")
 
 
 @query("nearby_J10", f"WITH {ITEMS_SQL}, {SEED_NEAR} SELECT seed_id, id, round(miles, 6) AS miles FROM near")
 def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    return R.near_by(i.where(F.col("id") % 50 == 1), i).select("seed_id", "id", F.round("miles", 6).alias("miles"))
+    return R.near_by(seeds(i), i).select("seed_id", "id", F.round("miles", 6).alias("miles"))
 
 
 @query(
     "thread_candidates_G10",
-    f"""{BY_TAGS.replace("id % 50 = 0", "id % 50 = 1")}, {SEED_NEAR}, placed AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY round(miles, 9), id) AS place FROM near),
+    f"""{BY_TAGS}, {SEED_NEAR}, placed AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY round(miles, 9), id) AS place FROM near),
     both_ways AS (SELECT seed_id, id, 0 AS way, rank AS place FROM ranked WHERE rank <= 10 UNION ALL SELECT seed_id, id, 1, place FROM placed WHERE place <= 3),
     firsts AS (SELECT seed_id, id, way, place FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, id ORDER BY way, place) AS n FROM both_ways) WHERE n = 1),
     best AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY way, place) AS rank FROM firsts)
@@ -92,7 +92,7 @@ def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def thread_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    return R.threads(i.where(F.col("id") % 50 == 1), i, AS_OF)
+    return R.threads(seeds(i), i, AS_OF)
 
 
 @query(

@@ -49,11 +49,11 @@ def items(spark: SparkSession, sf_dir: str, *joined: str) -> DataFrame:
             ELSE element_at(array('repo', 'gist', 'issue', 'pr', 'starred'), cast(doc_id div 4 % 5 + 1 AS int)) END AS type""",
         "substring(text, 1, 60) AS title",
         "text AS content",
-        "array_distinct(slice(regexp_extract_all(lower(text), '[a-z]{4,}', 0), 1, 12)) AS tags",
-        "array_distinct(slice(regexp_extract_all(lower(text), '[a-z]{8,}', 0), 1, 3)) AS concept_tags",
-        "CASE WHEN doc_id % 5 <> 0 THEN 40.0e0 + (doc_id * 7919 % 1000) / 1000.0e0 END AS latitude",
-        "CASE WHEN doc_id % 5 <> 0 AND doc_id % 83 <> 0 THEN -74.0e0 - (doc_id * 104729 % 1000) / 1000.0e0 END AS longitude",
-        "CASE WHEN doc_id % 5 <> 0 THEN concat('Place ', doc_id % 37) END AS location",
+        "array_distinct(regexp_extract_all(lower(text), '[a-z]{8,}', 0)) AS tags",
+        "array_distinct(regexp_extract_all(lower(text), '[a-z]{12,}', 0)) AS concept_tags",
+        "CASE WHEN doc_id % 7 <> 3 THEN 40.0e0 + (doc_id * 7919 % 1000) / 1000.0e0 END AS latitude",
+        "CASE WHEN doc_id % 7 <> 3 AND doc_id % 83 <> 0 THEN -74.0e0 - (doc_id * 104729 % 1000) / 1000.0e0 END AS longitude",
+        "CASE WHEN doc_id % 7 <> 3 THEN concat('Place ', doc_id % 37) END AS location",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 AS int), 0) AS published_at",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 37 AS int), 0) AS created_at",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(CASE WHEN doc_id % 53 = 0 THEN -1 ELSE doc_id % 11 END AS int), 0, cast(doc_id * 37 AS int), 0) AS updated_at",
@@ -87,9 +87,9 @@ ITEMS_SQL = f"""items AS (
             ELSE list_extract(['repo', 'gist', 'issue', 'pr', 'starred'], d.doc_id // 4 % 5 + 1) END AS type,
         p.url, substring(text, 1, 60) AS title, text AS content, CASE WHEN quality = 1 THEN substring(text, 1, 200) END AS summary,
         {{tags4}} AS tags, {{tags8}} AS concept_tags,
-        CASE WHEN d.doc_id % 5 <> 0 THEN 40.0e0 + (d.doc_id * 7919 % 1000) / 1000.0e0 END AS latitude,
-        CASE WHEN d.doc_id % 5 <> 0 AND d.doc_id % 83 <> 0 THEN -74.0e0 - (d.doc_id * 104729 % 1000) / 1000.0e0 END AS longitude,
-        CASE WHEN d.doc_id % 5 <> 0 THEN 'Place ' || (d.doc_id % 37) END AS location,
+        CASE WHEN d.doc_id % 7 <> 3 THEN 40.0e0 + (d.doc_id * 7919 % 1000) / 1000.0e0 END AS latitude,
+        CASE WHEN d.doc_id % 7 <> 3 AND d.doc_id % 83 <> 0 THEN -74.0e0 - (d.doc_id * 104729 % 1000) / 1000.0e0 END AS longitude,
+        CASE WHEN d.doc_id % 7 <> 3 THEN 'Place ' || (d.doc_id % 37) END AS location,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id * 37) AS published_at,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id * 37) AS created_at,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id * 37) + to_days((CASE WHEN d.doc_id % 53 = 0 THEN -1 ELSE d.doc_id % 11 END)::INTEGER) AS updated_at,
@@ -105,8 +105,8 @@ ITEMS_SQL = f"""items AS (
 )""".replace("{{tags4}}", "{tags4}").replace("{{tags8}}", "{tags8}").replace("{{rel}}", "{rel}")
 _FIRST = "list_transform(list_filter(list_zip({m}, range(len({m}))), lambda x: list_position({m}, x[1]) = x[2] + 1), lambda x: x[1])"
 ITEMS_SQL = ITEMS_SQL.format(
-    tags4=_FIRST.format(m="list_slice(regexp_extract_all(lower(text), '[a-z]{4,}'), 1, 12)"),
-    tags8=_FIRST.format(m="list_slice(regexp_extract_all(lower(text), '[a-z]{8,}'), 1, 3)"),
+    tags4=_FIRST.format(m="regexp_extract_all(lower(text), '[a-z]{8,}')"),
+    tags8=_FIRST.format(m="regexp_extract_all(lower(text), '[a-z]{12,}')"),
     rel=_DUCK_RELATIONSHIPS.replace("doc_id", "d.doc_id").strip(),
 )
 
