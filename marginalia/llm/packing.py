@@ -136,8 +136,9 @@ def pack(
     own = ["doc_id", "piece", "start", "length", "ids_crc32", "nr"]
     placed = ranked.join(slots, on).select(*own, (F.col("sequence") + at).alias("sequence_id"), "offset")
     if with_epoch:
-        keyed = placed.withColumn("use", F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.col("doc_id").isNull()))
-        placed = gapless_rank(written(keyed, "placed"), ["use"], ["sequence_id", "offset"], "epoch", buckets=1).drop("use")
+        # 128 bits, so that no two pieces take each other for uses of one; a row repeated very often is numbered by many tasks
+        keyed = placed.withColumn("use", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "piece", "start", "length", "ids_crc32")))
+        placed = gapless_rank(written(keyed, "placed"), ["use"], ["sequence_id", "offset"], "epoch").drop("use")
     if with_ids:
         placed = placed.join(cut.select("nr", "ids"), "nr")
     placed = placed.drop("nr")
