@@ -152,19 +152,26 @@ def top_k(
     spark = queries.sparkSession
     queries = queries.where(F.col("vec_id").isNotNull() & F.col("q").isNotNull()).groupBy("vec_id").agg(F.min("q").alias("q"))
     candidates = candidates.where(F.col("vec_id").isNotNull() & F.col("q").isNotNull()).select("vec_id", "q")
-    size = [F.count(F.lit(1)), F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0))]
-    (_, asked_bytes), (rows, held_bytes) = queries.agg(*size).first(), candidates.agg(*size).first()
+    # a candidate that is there more than k times fills a list no further; so rows are told apart by what they hold alone,
+    # and one that a lost executor has to deal again goes to the same shard
+    candidates = candidates.groupBy("vec_id", "q").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    widest = F.coalesce(F.max(F.array_max(F.transform("q", F.abs))), F.lit(0.0))
+    size = [F.count(F.lit(1)), F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0)), widest]
+    (_, asked_bytes, a), (rows, held_bytes, b) = queries.agg(*size).first(), candidates.agg(*size).first()
+    narrow = next((t for t, most in (("smallint", 2**15), ("int", 2**31)) if max(a, b) < most), "double")
+    queries, candidates = (df.withColumn("q", F.col("q").cast(f"array<{narrow}>")) for df in (queries, candidates))
     n_blocks = max(1, math.ceil(asked_bytes / query_bytes))
     # shards of bounded bytes, and more of them while each has enough rows, until all cores have one
     n_shards = max(1, math.ceil(held_bytes / shard_bytes), min(math.ceil(rows / least_shard), math.ceil(spark.sparkContext.defaultParallelism / n_blocks)))
-    # ids may repeat without bound, so candidates are dealt by their place in the table
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_shards)).cast("int")
+    place = F.pmod(F.xxhash64("vec_id", "q"), F.lit(n_shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(block.alias("block"), every(n_shards).alias("shard"), F.lit(0).alias("side"), "vec_id", "q")
-    held = candidates.withColumn("shard", place).select(every(n_blocks).alias("block"), "shard", F.lit(1).alias("side"), "vec_id", "q")
+    copied = candidates.withColumn("shard", place).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    held = copied.select(every(n_blocks).alias("block"), "shard", F.lit(1).alias("side"), "vec_id", "q")
     tiles = asked.unionByName(held).withColumn("tile", F.col("block").cast("long") * n_shards + F.col("shard"))
-    dealt = tiles.select("tile", "shard", "side", "vec_id", "q").repartition(n_blocks * n_shards, "tile").sortWithinPartitions("tile", "side")
+    tiles = tiles.select("tile", "shard", "side", "vec_id", "q")
+    dealt = tiles.repartitionById(n_blocks * n_shards, F.col("tile").cast("int")).sortWithinPartitions("tile", "side")  # a tile is a task
     lists = dealt.mapInPandas(searched(k), "query_id long, vec_id long, score long, shard int")
     order = [F.col("score").desc(), F.col("vec_id")]
     while n_shards > 1:
