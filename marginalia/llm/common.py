@@ -23,8 +23,9 @@ BROADCAST_ROWS = 50_000
 #: A key with more than HOT_ROWS rows and more than 1/HEAVY of all rows is hot; so there are at most HEAVY of them.
 HEAVY, HOT_ROWS = 1000, 1000
 
-#: Bits of a sieve: 4 MB, whatever the table that it is made of.
-SIEVE_BITS = 1 << 25
+#: Bits of a sieve, at least and at most: 4 to 64 MB. A table of more than MOST_SIEVED rows gets none.
+SIEVE_BITS, MOST_SIEVE_BITS = 1 << 25, 1 << 29
+MOST_SIEVED = MOST_SIEVE_BITS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,12 +97,6 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, old)
 
 
-def looked_up(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a written table to join with: broadcast if it has been counted as small, else left to a shuffled join."""
-    table = written(df, name)
-    return F.broadcast(table) if table.count() <= rows else table
-
-
 def hot_from(total: int) -> int:
     """A key with more rows than this, of ``total`` ones, is hot."""
     return max(total // HEAVY, HOT_ROWS)
@@ -122,23 +117,31 @@ def joined_evenly(left: DataFrame, right: DataFrame, on: Sequence[str], rows: st
     return left.join(F.broadcast(hot), on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 
 
-def sieve(keys: DataFrame) -> DataFrame:
-    """A table to broadcast of at most SIEVE_BITS bits, one set for the hash of each row of ``keys`` (one long column)."""
-    slot = F.pmod(F.xxhash64(keys.columns[0]), F.lit(SIEVE_BITS).cast("long"))
-    placed = keys.select(slot.alias("slot"))
-    return placed.groupBy(F.bitmap_bucket_number("slot").alias("sieve_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("sieve_bits"))
+def sieve_bits(rows: int) -> int:
+    """Bits for a sieve of ``rows`` keys: eight or more a key, so that it holds an eighth of the others or fewer; 0 for too many keys."""
+    bits = SIEVE_BITS
+    while bits < 8 * rows and bits < MOST_SIEVE_BITS:
+        bits *= 2
+    return bits if rows <= MOST_SIEVED else 0
 
 
-def sifted(df: DataFrame, key: str, sieve_table: DataFrame) -> DataFrame:
-    """``df`` with ``held``: false for rows whose ``key`` is surely not among those of the sieve.
+def sifted(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``held``: false for rows whose ``key`` is surely not among ``keys``, a written table of one long column.
 
-    A row whose key is there is always held; others are held by chance only, the more often the fuller the sieve. So it
-    saves shuffles and decides nothing: an exact join has to follow for the rows that it holds.
+    A row whose key is there is always held; others are held by chance only, the more often the fuller the sieve that is
+    made of the hashes of ``keys`` and broadcast. Its size follows their counted number, up to a bound, beyond which all
+    rows are held. So it saves shuffles and decides nothing: an exact join has to follow for the rows that it holds.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS).cast("long"))
+    bits = sieve_bits(keys.count())
+    if not bits:
+        return df.withColumn("held", F.lit(True))
+    slot_of = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    placed = keys.select(slot_of(keys.columns[0]).alias("slot"))
+    table = placed.groupBy(F.bitmap_bucket_number("slot").alias("sieve_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("sieve_bits"))
+    slot = slot_of(key)
     at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("sieve_bits"), F.floor(at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    joined = df.join(F.broadcast(sieve_table), F.bitmap_bucket_number(slot) == F.col("sieve_part"), "left")
+    joined = df.join(F.broadcast(table), F.bitmap_bucket_number(slot) == F.col("sieve_part"), "left")
     return joined.withColumn("held", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("sieve_part", "sieve_bits")
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, emptied, hot_from, joined_evenly, sieve, sifted, written
+from .common import carried, emptied, hot_from, joined_evenly, sifted, written
 from .dart_minhash import band_keys, signature
 from .quality_rules import WHITE
 from .shingles import shingles
@@ -188,7 +188,7 @@ def links_of(texts: DataFrame, docs: DataFrame, width: int, similarity: float) -
     banded = texts.select("key", "n", F.explode("bands").alias("band"))
     # most bands have one text; only the others are looked at further
     shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select("band"), "shared-bands")
-    banded = sifted(banded, "band", sieve(shared)).where("held").drop("held")
+    banded = sifted(banded, "band", shared).where("held").drop("held")
     # two hashes and the number of members stand for the members themselves
     sized = banded.groupBy("band").agg(
         F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("who"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("who_else"),
@@ -197,20 +197,22 @@ def links_of(texts: DataFrame, docs: DataFrame, width: int, similarity: float) -
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
     once = sized.groupBy("members", "who", "who_else").agg(F.min(F.struct("band", blocks.alias("blocks"), "leader")).alias("m"))
     once = written(once.select("m.*", "members"), "bucket-sizes")
-    held = sifted(banded.select("key", "band"), "band", sieve(once.select("band"))).where("held").drop("held")
+    held = sifted(banded.select("key", "band"), "band", once.select("band")).where("held").drop("held")
     buckets = written(
         joined_evenly(held, once, ["band"], "members").withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int")), "buckets"
     )
     # the texts of members, one row each, before anything is shuffled
     wanted = written(texts.select("key", "doc_id").join(buckets.select("key").distinct(), "key", "left_semi"), "wanted")
-    rows = sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", sieve(wanted.select("doc_id"))).where("held")
+    rows = sifted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted.select("doc_id")).where("held")
     rows = rows.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted.select("key"), "key", "left_semi")
     sets = written(grams(chosen, width), "grams")
     found = "a binary, b binary, band long"
     own = buckets.select("band", F.col("own").alias("i"), F.lit(1).alias("side"), "key")
-    leaders = once.where("blocks > 1").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("side"), F.col("leader").alias("key"))
-    first = written(own.unionByName(leaders).join(sets, "key").groupBy("band", "i").applyInPandas(tile_links(similarity), found), "tiles")
+    # a leader meets its set once, and is copied for the blocks of its bucket after that
+    led = once.where("blocks > 1").select("band", "blocks", F.col("leader").alias("key")).join(sets, "key")
+    leaders = led.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0)).drop("blocks")
+    first = written(own.join(sets, "key").unionByName(leaders).groupBy("band", "i").applyInPandas(tile_links(similarity), found), "tiles")
     # what the leader of a cut bucket isn't near to meets the other blocks too
     linked = first.where("b IS NOT NULL").select("a", "b")
     if first.where("b IS NULL").isEmpty():
@@ -275,7 +277,8 @@ def deduplicated(docs: DataFrame, **how: float) -> DataFrame:
     chosen = written(ided(least.select("m.key", "m.doc_id")).select(*pair, F.lit(True).alias("stays")), "chosen")
     found = ided(rows).groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).join(chosen, pair, "left")
     loose = found.where(F.col("stays").isNull() | (F.col("n") > 1)).select(F.when(~F.col("none"), F.col("id")).alias("doc_id"))
-    sifting = sifted(carried(docs, doc_id=F.col("doc_id").cast("long")), "doc_id", sieve(loose))
+    loose = written(loose, "loose")
+    sifting = sifted(carried(docs, doc_id=F.col("doc_id").cast("long")), "doc_id", loose)
     sure = sifting.where(~F.col("held")).select("row.*")
     unsure = ided(sifting.where("held").withColumn("key", text_key(F.col("row.text")))).groupBy(*pair).agg(F.first("row").alias("row"))
     return sure.union(unsure.join(chosen, pair, "left_semi").select("row.*"))
