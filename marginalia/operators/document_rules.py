@@ -148,7 +148,7 @@ def rewritten(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "drop")
 
 
-def low_value(df: DataFrame, need_evidence: bool = False) -> DataFrame:
+def low_value(df: DataFrame, need_evidence: bool | Column = False) -> DataFrame:
     """``df`` with ``reason``: why a relationship is worth little; null: it is kept. The first rule that decides counts.
 
     A reported claim whose ends occur in the document is kept whatever the later rules say.
@@ -167,7 +167,7 @@ def low_value(df: DataFrame, need_evidence: bool = False) -> DataFrame:
         .when(given & (F.col("article") | F.col("github")) & ~quoted, "evidence not in document")
         .when((F.col("predicate") == "FOUNDED") & ~holds(F.col("backing"), FOUNDED), "no sign of founding")
         .when((F.col("predicate") == "OWNS") & ~holds(F.col("backing"), OWNED), "no sign of ownership")
-        .when(F.lit(need_evidence) & ~(given & quoted), "no evidence")
+        .when((need_evidence if isinstance(need_evidence, Column) else F.lit(need_evidence)) & ~(given & quoted), "no evidence")
         .when(F.col("subject_type").isin("Tool", "Model") & (F.col("predicate") == "USES") & F.col("subject").rlike(NO_USERS), "no user")
     )
     return d.withColumn("reason", reason).select(*df.columns, "reason")

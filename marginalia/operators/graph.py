@@ -66,35 +66,41 @@ def canonical_type(c: Column) -> Column:
     return out.when(F.trim(c).isin(*ENTITY_TYPES), F.trim(c))
 
 
-def exploded(items: DataFrame) -> DataFrame:
-    """id, updated_at, published_at, n (place in the item's list), and the fields of each raw relationship of either shape.
+def exploded(items: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` (id, updated_at, published_at by default), n (place in the item's list), and the fields of each raw relationship of either shape.
 
     ``relationships``: a JSON array of objects, nested ({source: {name, type}, type, target}) or flat ({source, target,
     relationship, sourceType, targetType}). Of other elements and of missing names the fields are null or empty.
     """
-    raw = items.select("id", "updated_at", "published_at", F.posexplode(F.from_json("relationships", "array<string>")).alias("n", "raw"))
+    keep = keep or ("id", "updated_at", "published_at")
+    raw = items.select(*keep, F.posexplode(F.from_json("relationships", "array<string>")).alias("n", "raw"))
     get = lambda path: F.get_json_object("raw", path)
     nested = get("$.source.name").isNotNull() & get("$.target.name").isNotNull() & get("$.type").isNotNull()
     flat = get("$.source").isNotNull() & get("$.target").isNotNull() & get("$.relationship").isNotNull()
     either = lambda a, b: F.trim(F.when(nested, get(a)).when(flat, get(b)))
     return raw.select(
-        "id", "updated_at", "published_at", "n", either("$.source.name", "$.source").alias("subject"), either("$.source.type", "$.sourceType").alias("subject_type"),
+        *keep, "n", either("$.source.name", "$.source").alias("subject"), either("$.source.type", "$.sourceType").alias("subject_type"),
         either("$.target.name", "$.target").alias("object"), either("$.target.type", "$.targetType").alias("object_type"), either("$.type", "$.relationship").alias("label"),
-        get("$.confidence").try_cast("double").alias("confidence"), F.coalesce(get("$.claim_mode"), F.lit("asserted")).alias("claim_mode"),
+        get("$.confidence").try_cast("double").alias("confidence"), F.coalesce(get("$.claim_mode"), F.lit("asserted")).alias("claim_mode"), get("$.evidence").alias("evidence"),
     )
 
 
 def normalised(spark: SparkSession, items: DataFrame) -> DataFrame:
-    """Each raw relationship in the ontology's terms, turned round if its label is a reverse one, with what is wrong in
-    ``reject`` (null: kept): missing, self, junk or types, whichever comes first."""
+    """The raw relationships of ``items`` ``in_ontology``."""
+    return in_ontology(spark, exploded(items), "id", "n").drop("evidence")
+
+
+def in_ontology(spark: SparkSession, r: DataFrame, *keep: str) -> DataFrame:
+    """Each ``exploded`` relationship in the ontology's terms, turned round if its label is a reverse one, with what is wrong in
+    ``reject`` (null: kept): missing, self, junk or types, whichever comes first. ``keep``: other columns that stay."""
     tokens = F.broadcast(spark.createDataFrame(predicate_tokens(), "token string, predicate string, reverse boolean"))
     pairs = F.broadcast(spark.createDataFrame(type_pairs(), "predicate string, s string, o string").withColumn("allowed", F.lit(True)))
-    r = exploded(items).withColumn("token", T.predicate_token(F.col("label"))).join(tokens, "token", "left")
+    r = r.withColumn("token", T.predicate_token(F.col("label"))).join(tokens, "token", "left")
     names = {k: T.entity_name(F.col(k)) for k in ("subject", "object")}
     types = {k: canonical_type(F.col(f"{k}_type")) for k in ("subject", "object")}
     back = F.coalesce("reverse", F.lit(False))
     turned = r.select(
-        "id", "n", "predicate", "claim_mode", F.when(F.col("confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))).alias("confidence"),
+        *keep, "predicate", "claim_mode", "evidence", F.when(F.col("confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))).alias("confidence"),
         F.when(back, names["object"]).otherwise(names["subject"]).alias("subject"), F.when(back, types["object"]).otherwise(types["subject"]).alias("s"),
         F.when(back, names["subject"]).otherwise(names["object"]).alias("object"), F.when(back, types["subject"]).otherwise(types["object"]).alias("o"),
     )
@@ -104,7 +110,7 @@ def normalised(spark: SparkSession, items: DataFrame) -> DataFrame:
         F.when(missing, "missing").when(F.lower("subject") == F.lower("object"), "self")
         .when(T.junk_name(F.col("subject")) | T.junk_name(F.col("object")), "junk").when(F.col("allowed").isNull(), "types")
     )
-    return judged.select("id", "n", "subject", F.col("s").alias("subject_type"), "predicate", "object", F.col("o").alias("object_type"), "confidence", "claim_mode", reject.alias("reject"))
+    return judged.select(*keep, "subject", F.col("s").alias("subject_type"), "predicate", "object", F.col("o").alias("object_type"), "confidence", "claim_mode", "evidence", reject.alias("reject"))
 
 
 #: Names that make a technology or a product a model.

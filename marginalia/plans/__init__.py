@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, costs, curation, extras, graph, indexes, quality, related, rules, search, text
+from . import changes, costs, curation, extraction, extras, graph, indexes, quality, related, rules, search, text
 
-_PLANS = (text, search, related, indexes, graph, quality, costs, changes, curation, rules, extras)
+_PLANS = (text, search, related, indexes, extraction, graph, quality, costs, changes, curation, rules, extras)
 
 
 def queries() -> dict:
