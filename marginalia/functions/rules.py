@@ -8,7 +8,7 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import entity_name, squeezed
+from .text import entity_name, is_json, parsed_json, squeezed
 
 #: Patterns of entity types in the order in which they are tried.
 ENTITY_PATTERNS = (
@@ -90,7 +90,8 @@ def clean_tags(reply: Column) -> Column:
     fine = lambda t: (F.length(t) > 0) & (F.length(t) < 30) & ~t.contains(" ") & ~F.lower(t).isin(*META_TAGS)
     short = lambda t: (F.length(t) > 2) | t.startswith("!") | F.lower(t).isin(*SHORT_TAGS)
     # the first part of a spelling decides whether it was written in lower case
-    first = lambda t: F.get(F.filter(parts, lambda o: F.lower(o) == F.lower(t)), 0)
+    spellings = F.transform(parts, F.lower)
+    first = lambda t: F.get(parts, (F.array_position(spellings, F.lower(t)) - 1).cast("int"))
     kept = F.filter(parts, lambda t: fine(t) & short(t) & ((F.length(t) <= 2) | ~first(t).rlike("[A-Z]")))
     return F.transform(kept, F.lower)
 
@@ -160,20 +161,43 @@ def escaped(c: Column) -> Column:
 def first_json(text: Column, opens: str = "{") -> Column:
     """The object (or array) that begins at a reply's first opening sign, written anew; null if that is no JSON."""
     found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}" if opens == "{" else r"(?s)\[.*\]", 0), F.lit(""))
-    return F.to_json(F.try_parse_json(found))
+    return F.to_json(parsed_json(found))
 
 
 def salvaged(text: Column, key: str) -> Column:
     """The flat objects of a broken reply that have ``key``, those of them that are JSON."""
     found = F.regexp_extract_all(text, F.lit(r"\{[^{}]*\"%s\"\s*:[^{}]*\}" % key), F.lit(0))
-    return F.filter(found, lambda x: F.try_parse_json(x).isNotNull())
+    return F.filter(found, is_json)
+
+
+def json_with(text: Column, key: str, value: Column) -> Column:
+    """The JSON object of ``text`` with ``key`` set to a string, every other key and value as it was; null for what is no object."""
+    object_ = parsed_json(text)
+    entries = F.from_json(F.when(F.schema_of_variant(object_).startswith("OBJECT"), F.to_json(object_)), "map<string,variant>")
+    own = F.create_map(F.lit(key), value.cast("string").cast("variant"))
+    return F.to_json(F.map_concat(F.map_filter(entries, lambda k, _: k != key), own))
+
+
+#: A tag's attributes, in which a sign > may stand between quotes, and the value of one of them: quoted in either way, or bare.
+ATTRIBUTES, VALUE = r"""(?:[^>"']|"[^"]*"|'[^']*')*""", r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def attribute(tag: Column, names: str) -> Column:
+    """The value of a tag's attribute (a pattern of its name); empty without one."""
+    pattern = rf"(?is)[\s\"'/](?:{names}){VALUE}"
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
 def meta_tags(html: Column) -> Column:
     """map of the lower-case names of a page's meta tags (name or property) to their contents, the first of each name."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
-    name = lambda t: F.lower(F.regexp_extract(t, r"""(?is)(?:name|property)\s*=\s*["']([^"']*)["']""", 1))
-    content = lambda t: F.regexp_extract(t, r"""(?is)content\s*=\s*["']([^"']*)["']""", 1)
-    pairs = F.filter(F.transform(tags, lambda t: F.struct(name(t).alias("key"), content(t).alias("value"))), lambda p: p["key"] != "")
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda o: o["key"] == p["key"]))
-    return F.map_from_entries(first)
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<meta(?=[\s/]){ATTRIBUTES}>"), F.lit(0))
+    pairs = F.filter(F.transform(tags, lambda t: F.struct(F.lower(attribute(t, "name|property")).alias("key"), attribute(t, "content").alias("value"))), lambda p: p["key"] != "")
+    keys = F.transform(pairs, lambda p: p["key"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
+
+
+def linked_data(html: Column) -> Column:
+    """The texts of a page's scripts of linked data (JSON-LD), those of them that are JSON."""
+    scripts = F.regexp_extract_all(html, F.lit(rf"(?is)<script(?=[\s/])({ATTRIBUTES})>.*?</script\s*>"), F.lit(0))
+    typed = F.filter(scripts, lambda s: F.lower(attribute(F.regexp_extract(s, rf"(?is)^<script{ATTRIBUTES}>", 0), "type")) == "application/ld+json")
+    return F.filter(F.transform(typed, lambda s: F.trim(F.regexp_replace(s, rf"(?is)^<script{ATTRIBUTES}>|</script\s*>$", ""))), is_json)

@@ -290,9 +290,25 @@ def balanced_json(text: Column) -> Column:
     return close(text)
 
 
+def parsed_json(text: Column) -> Column:
+    """The value that a text is as JSON, as a variant; null for what is none, text after the value included.
+
+    Spark's own parser stops at the end of the first value. Inside an array as well as inside an object nothing can
+    follow a value and leave both whole.
+    """
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON, ``null`` included; null for a null text."""
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(text.isNotNull(), whole)
+
+
 def tolerant_json(text: Column) -> Column:
     """The JSON of a reply: of its fenced block, of the whole, or from its first brace to its last; null otherwise."""
     fenced = F.nullif(F.regexp_extract(text, r"(?is)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     inner = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    valid = lambda c: F.when(is_json(c), c)
     return F.coalesce(valid(stripped(fenced)), valid(stripped(text)), valid(inner))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import changes as C
 from ..sources.items import greatest, newest
@@ -62,10 +61,12 @@ def latest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE is_first) AS inserts, count(*) FILTER (WHERE NOT is_first) AS updates, count(*) FILTER (WHERE event_type = 'error') AS errors FROM f GROUP BY 1""",
 )
 def feed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) == 1
-    return events(spark, sf_dir).withColumn("first", first).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
-        F.count_if("first").alias("inserts"), F.count_if(~F.col("first")).alias("updates"), F.count_if(F.col("event_type") == "error").alias("errors")
-    )
+    """A user's first event is an insert, the others are updates. Firsts are a least value, so no task holds a user's events."""
+    e, day = events(spark, sf_dir), lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    days = e.groupBy(day("ts")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    firsts = e.groupBy("user_id").agg(F.min("ts").alias("ts")).groupBy(day("ts")).agg(F.count(F.lit(1)).alias("inserts"))
+    inserts = F.coalesce("inserts", F.lit(0).cast("long"))
+    return days.join(firsts, "day", "left").select("day", inserts.alias("inserts"), (F.col("n") - inserts).alias("updates"), "errors")
 
 
 @query(
@@ -108,9 +109,24 @@ def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, event_id FROM walk WHERE sent""",
 )
 def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming.states import cooled_down
+    from ..streaming.chains import chosen
 
-    return cooled_down(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "ts", "event_id", 30).select("user_id", "event_id")
+    return chosen(events(spark, sf_dir).where("event_type = 'error'"), "user_id", "ts", "event_id", 30)
+
+
+@query(
+    "error_rate_T10",
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    walk AS (SELECT user_id, n, event_id, ts AS since, 1::BIGINT AS attempts, (NOT ok)::BIGINT AS failures FROM e WHERE n = 1
+        UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN ok AND ts - since > INTERVAL 5 MINUTE THEN ts ELSE since END,
+            CASE WHEN ok AND ts - since > INTERVAL 5 MINUTE THEN 0 ELSE attempts + 1 END, CASE WHEN ok AND ts - since > INTERVAL 5 MINUTE THEN 0 ELSE failures + (NOT ok)::BIGINT END
+            FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT user_id, event_id, attempts, failures FROM walk""",
+)
+def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.chains import error_windows
+
+    return error_windows(events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "event_id", "ok")
 
 
 _ORDERED = "e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"

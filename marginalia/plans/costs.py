@@ -90,8 +90,10 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("bad", F.col("event_type") == "error")
-    so_far = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    runs = e.withColumn("island", F.count_if(~F.col("bad")).over(so_far)).where("bad").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("length"), F.min("event_id").alias("first_event"))
+    told = e.select("user_id", "ts", "event_id", "bad", (~F.col("bad")).cast("long").alias("good"))
+    # a run is known by the good events before it, counted hour by hour: a user of very many events is many tasks
+    islands = running_totals(told, F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "good", "island", ["user_id"])
+    runs = islands.where("bad").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("length"), F.min("event_id").alias("first_event"))
     return runs.where(F.col("length") >= 2).select("user_id", "length", "first_event")
 
 

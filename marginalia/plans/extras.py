@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import rules as R
+from ..functions import text as T
+from ..operators.folds import running_totals
 from ..sources.items import AS_OF, ITEMS_SQL, SOURCES, TYPES, items, table
 from .registry import registry
 from .text import _NAME
@@ -36,15 +38,20 @@ _POINTS = " + ".join(
 )
 
 
+#: Texts, in three of which in seven a sentence of the kind that is looked for follows.
+_WORDS_OF = """concat(text, CASE doc_id % 7 WHEN 0 THEN concat('. This repository is maintained by ', source, ' and its license and attribution stand below') WHEN 2 THEN '. Skip to content and sign up, then pip install what it requires now'
+    WHEN 4 THEN '. The model depends on Some-Org/some-repo, built with a library of its owner (c)' ELSE '' END)"""
+
+
 @query(
     "passages_F28",
     rf"""WITH x AS (SELECT doc_id, unnest(list_zip(ps, range(len(ps)))) AS z FROM (
-        SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || chr(10)), '\n{{2,}}'), lambda p: trim(regexp_replace(p, '[\s\x{{00A0}}\x{{FEFF}}]+', ' ', 'g'))), lambda p: length(p) >= {R.LEAST_PASSAGE}) AS ps FROM documents)),
+        SELECT doc_id, list_filter(list_transform(string_split_regex(replace({_WORDS_OF}, '. ', '.' || chr(10) || chr(10)), '\n{{2,}}'), lambda p: trim(regexp_replace(p, '[\s\x{{00A0}}\x{{FEFF}}]+', ' ', 'g'))), lambda p: length(p) >= {R.LEAST_PASSAGE}) AS ps FROM documents)),
     s AS (SELECT doc_id, z[2]::INTEGER AS place, p, {_POINTS} AS score FROM (SELECT doc_id, z, z[1] AS p FROM x))
     SELECT doc_id, place AS "at", score::INTEGER AS score, md5(p) AS md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS k FROM s WHERE score > 0) WHERE k <= 5""",
 )
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.replace("text", F.lit(". "), F.lit(".\n\n"))  # a sentence is a paragraph here
+    text = F.replace(F.expr(_WORDS_OF), F.lit(". "), F.lit(".\n\n"))  # a sentence is a paragraph here
     found = table(spark, sf_dir, "documents").select("doc_id", F.inline(R.best_passages(text, 5)))
     return found.select("doc_id", "at", "score", F.md5("passage").alias("md5"))
 
@@ -166,12 +173,12 @@ def bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS news, least(count(*), 5) AS allowed, min(id) FILTER (WHERE k <= 5) AS first_allowed FROM k GROUP BY 1""",
 )
 def news_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each day's news the latest five; filtered before they are counted, so that none is missed."""
-    news = items(spark, sf_dir).where(F.array_contains("tags", "ofonrereer") & ~F.col("type").isin("gist", "starred"))
-    k = F.row_number().over(W.partitionBy(F.col("created_at").cast("date")).orderBy(F.col("created_at").desc(), F.col("id").desc()))
-    return news.withColumn("k", k).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(
-        F.count(F.lit(1)).alias("news"), F.least(F.count(F.lit(1)), F.lit(5)).alias("allowed"), F.min(F.when(F.col("k") <= 5, F.col("id"))).alias("first_allowed")
-    )
+    """Of each day's news the latest five; filtered before they are counted, so that none is missed. No task sorts a day."""
+    news = items(spark, sf_dir).where(F.array_contains("tags", "ofonrereer") & ~F.col("type").isin("gist", "starred")).select("id", "created_at", F.to_date("created_at").alias("date"))
+    k = F.row_number().over(W.partitionBy("date").orderBy(F.col("created_at").desc(), F.col("id").desc()))
+    first = news.withColumn("k", k).where(F.col("k") <= 5).groupBy("date").agg(F.min("id").alias("first_allowed"))  # five rows a day and task are shuffled
+    days = news.groupBy("date").agg(F.count(F.lit(1)).alias("news"), F.least(F.count(F.lit(1)), F.lit(5)).alias("allowed"))
+    return days.join(first, "date").select(F.date_format("date", "yyyy-MM-dd").alias("day"), "news", "allowed", "first_allowed")
 
 
 @query(
@@ -190,9 +197,12 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(sum(value) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS hour_total FROM events""",
 )
 def running_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals that begin anew each day and each hour."""
-    total = lambda *by: F.round(F.sum("value").over(W.partitionBy(*by).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)), 4)
-    return table(spark, sf_dir, "events").select("event_id", total(F.col("ts").cast("date")).alias("day_total"), total(F.date_trunc("hour", "ts")).alias("hour_total"))
+    """Totals that begin anew each day and each hour: minutes are totalled, and the sums of those before are added."""
+    ts, order = F.col("ts"), ["ts", "event_id"]
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "value", ts.cast("date").alias("day"), F.date_trunc("hour", ts).alias("hour"))
+    by_day = running_totals(e, F.date_trunc("minute", ts), order, "value", "day_total", ["day"])
+    both = running_totals(by_day, F.date_trunc("minute", ts), order, "value", "hour_total", ["hour"])
+    return both.select("event_id", F.round("day_total", 4).alias("day_total"), F.round("hour_total", 4).alias("hour_total"))
 
 
 @query(
@@ -208,14 +218,19 @@ def error_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "json_set_N2_O7",
-    f"""WITH {ITEMS_SQL}, m AS (SELECT id, metadata FROM items WHERE json_valid(metadata))
-    SELECT id, json_extract_string(metadata, '$.n')::INTEGER AS n, replace(substring(metadata, 1, length(metadata) - 1), ': ', ':') || ',"seen":"' || id || '"}}' AS metadata FROM m ORDER BY n DESC, id LIMIT 100""".replace("}}'", "}'"),
+    f"""WITH {ITEMS_SQL}, m AS (SELECT id, json_extract_string(metadata, '$.n')::INTEGER AS n, json_merge_patch(metadata, json_object('seen', id::VARCHAR)) AS new FROM items WHERE json_valid(metadata) ORDER BY n DESC, id LIMIT 100)
+    SELECT id, n, array_to_string(list_sort(json_keys(new)), '|') AS keys, json_extract_string(new, '$.seen') AS seen, json_extract_string(new, '$.extra') AS extra,
+        json_extract_string(new, '$.n2')::DOUBLE AS n2, json_extract_string(new, '$.tags_synced') AS synced FROM m""",
 )
 def json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata with one more key, the first by a number within them."""
-    held = items(spark, sf_dir).select("id", F.from_json("metadata", "n int, tags_synced boolean").alias("m"), F.try_parse_json("metadata").isNotNull().alias("good")).where("good")
-    new = F.concat(F.rtrim(F.to_json("m"), F.lit("}")), F.lit(',"seen":"'), F.col("id").cast("string"), F.lit('"}'))
-    return held.select("id", F.col("m.n").alias("n"), F.replace(new, F.lit(',"tags'), F.lit(', "tags')).alias("metadata")).orderBy(F.col("n").desc(), "id").limit(100)
+    """Metadata with one key set and all others kept, the first by a number within them; told by its keys and values."""
+    held = items(spark, sf_dir).where(T.is_json(F.col("metadata"))).select("id", "metadata", F.try_variant_get(T.parsed_json(F.col("metadata")), "$.n", "int").alias("n"))
+    first = held.orderBy(F.col("n").desc(), "id").limit(100)
+    new = F.try_parse_json(R.json_with(F.col("metadata"), "seen", F.col("id").cast("string")))
+    out = first.select("id", "n", F.col("metadata"), new.alias("new"))
+    get = lambda key, kind: F.try_variant_get("new", f"$.{key}", kind).alias({"tags_synced": "synced"}.get(key, key))
+    keys = F.array_join(F.array_sort(F.map_keys(F.from_json(F.to_json("new"), "map<string,string>"))), "|")
+    return out.select("id", "n", keys.alias("keys"), get("seen", "string"), get("extra", "string"), get("n2", "double"), get("tags_synced", "string"))
 
 
 @query(
@@ -239,13 +254,19 @@ def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(R.csv_field(F.col("text"))).alias("csv"), F.md5(R.escaped(F.col("text"))).alias("html"))
 
 
-@query(
-    "meta_tags_L10",
-    r"""SELECT page_id, count(*) AS tags, max(value) FILTER (WHERE key = 'description') AS description FROM (
-        SELECT page_id, key, first(value ORDER BY i) AS value FROM (
-            SELECT page_id, i, lower(regexp_extract(t, '(?is)(?:name|property)\s*=\s*["'']([^"'']*)["'']', 1)) AS key, regexp_extract(t, '(?is)content\s*=\s*["'']([^"'']*)["'']', 1) AS value
-            FROM (SELECT page_id, unnest(m) AS t, unnest(range(len(m))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<meta\s[^>]*>') AS m FROM pages))) WHERE key <> '' GROUP BY page_id, key) GROUP BY page_id""",
-)
+#: Pages with tags to find: quoted in both ways or bare, with signs between quotes, repeated, and cut short.
+PAGE = """concat(html, CASE page_id % 6 WHEN 0 THEN concat('<META Property="og:locality" content="Ghent > all ', page_id, '"><meta name=description content=first><meta name="description" content="second">')
+    WHEN 1 THEN concat('<meta content=''A "quoted" town'' name=''geo.placename''/><meta name="geo.position" content="', page_id % 90, ';4">') WHEN 2 THEN '<meta name="description" content="no end' WHEN 3 THEN '<metadata name="x" content="y">' ELSE '' END)"""
+_META_SQL = R.ATTRIBUTES.replace("'", "''")
+_VALUE_SQL = R.VALUE.replace("'", "''")
+_attribute = lambda t, names: "concat(" + ", ".join(f"regexp_extract({t}, '(?is)[\\s\\\"''/](?:{names}){_VALUE_SQL}', {i})" for i in (1, 2, 3)) + ")"
+_METAS = f"""(SELECT page_id, key, first(value ORDER BY i) AS value FROM (
+        SELECT page_id, i, lower({_attribute("t", "name|property")}) AS key, {_attribute("t", "content")} AS value
+        FROM (SELECT page_id, unnest(m) AS t, unnest(range(len(m))) AS i FROM (SELECT page_id, regexp_extract_all({PAGE}, '(?is)<meta[\\s/]{_META_SQL}>') AS m FROM pages))) WHERE key <> '' GROUP BY page_id, key)"""
+
+
+@query("meta_tags_L10", f"SELECT page_id, count(*) AS tags, max(value) FILTER (WHERE key = 'description') AS description, max(value) FILTER (WHERE key = 'og:locality') AS locality FROM {_METAS} GROUP BY page_id")
 def metas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", R.meta_tags(F.col("html")).alias("m"))
-    return found.where(F.size("m") > 0).select("page_id", F.size("m").cast("long").alias("tags"), F.try_element_at("m", F.lit("description")).alias("description"))
+    found = table(spark, sf_dir, "pages").select("page_id", R.meta_tags(F.expr(PAGE)).alias("m")).where(F.size("m") > 0)
+    value = lambda key: F.try_element_at("m", F.lit(key))
+    return found.select("page_id", F.size("m").cast("long").alias("tags"), value("description").alias("description"), value("og:locality").alias("locality"))

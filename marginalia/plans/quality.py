@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import measures as M
+from ..functions import text as T
 from ..sources.items import AS_OF, ITEMS_SQL, TYPES, items
 from .registry import registry
 
@@ -116,7 +117,7 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = reduce(or_, [(F.col("source") == s) & F.col("type").isin(*ts) for s, ts in TYPES.items()])
     errors = F.concat_ws(
         "|", *[F.when(F.col(c).isNull(), f"missing {c}") for c in ("url", "title", "content")], F.when(~valid, "invalid type"),
-        F.when(F.try_parse_json("metadata").isNull(), "broken metadata"), F.when(F.col("created_at") > F.col("updated_at"), "created after updated"),
+        F.when(~T.is_json(F.col("metadata")), "broken metadata"), F.when(F.col("created_at") > F.col("updated_at"), "created after updated"),
     )
     return items(spark, sf_dir, "url").groupBy(errors.alias("errors")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from ..functions import text as T
 from ..sources.items import AS_OF, ITEMS_SQL, items
 from .registry import registry
 from .related import far
@@ -74,13 +75,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_flag_P10", f"WITH {ITEMS_SQL} SELECT id FROM items WHERE json_valid(metadata) AND json_extract_string(CASE WHEN json_valid(metadata) THEN metadata END, '$.tags_synced') = 'true'")
 def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.try_variant_get(F.try_parse_json("metadata"), "$.tags_synced", "boolean")
+    flag = F.try_variant_get(T.parsed_json(F.col("metadata")), "$.tags_synced", "boolean")
     return items(spark, sf_dir).where(flag).select("id")
 
 
 @query("broken_json_N7", f"WITH {ITEMS_SQL} SELECT source, count(*) AS broken FROM items WHERE metadata IS NOT NULL AND NOT json_valid(metadata) GROUP BY source")
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).where(F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull()).groupBy("source").agg(F.count(F.lit(1)).alias("broken"))
+    return items(spark, sf_dir).where(~T.is_json(F.col("metadata"))).groupBy("source").agg(F.count(F.lit(1)).alias("broken"))
 
 
 @query("truthy_concat_P22", f"WITH {ITEMS_SQL} SELECT id, length(concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(summary, ''), nullif(location, ''), nullif(url, ''))) AS chars FROM items")

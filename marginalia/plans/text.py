@@ -20,17 +20,6 @@ HOST = r"""coalesce(regexp_replace(lower(nullif(regexp_extract({0}, '^[a-zA-Z][a
 PATH = r"""regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"""
 
 
-@query("slug_F4", f"SELECT doc_id, {SLUG.format('substring(text, 1, 80)')} AS slug, sha1({SLUG.format('substring(text, 1, 80)')}) AS slug_sha1 FROM documents")
-def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = T.slug(F.substring("text", 1, 80))
-    return table(spark, sf_dir, "documents").select("doc_id", s.alias("slug"), F.sha1(s).alias("slug_sha1"))
-
-
-@query("predicate_token_F5", f"SELECT {TOKEN.format('text')} AS token, count(*) AS n FROM (SELECT substring(text, 1, 24) AS text FROM documents) GROUP BY 1")
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(T.predicate_token(F.substring("text", 1, 24)).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("slug_whole_F4", f"SELECT doc_id, {SLUG.format('text')} AS slug, sha1({SLUG.format('text')}) AS slug_sha1 FROM documents")
 def whole_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.slug(F.col("text"))
@@ -103,16 +92,6 @@ _JUNK = " OR ".join("regexp_matches(n, '" + p.replace("'", "''").replace("(?i)",
 _NAME = rf"""translate(trim(regexp_replace(regexp_replace(coalesce({{0}}, ''), '^["''`]+|["''`]+$', '', 'g'), '{S}', ' ', 'g')), '’“”', '''""')"""
 
 
-@query(
-    "junk_names_F9",
-    f"""SELECT word, n, length(n) < 2 OR lower(n) IN ({", ".join(f"'{x}'" for x in T.JUNK_NAMES)}) OR {_JUNK} AS junk
-    FROM (SELECT word, {_NAME.format("word")} AS n FROM (SELECT DISTINCT unnest(list_slice(string_split(text, ' '), 1, 30)) AS word FROM conversations))""",
-)
-def junk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "conversations").select(F.explode(F.slice(F.split("text", " "), 1, 30)).alias("word")).distinct()
-    return words.select("word", T.entity_name(F.col("word")).alias("n"), T.junk_name(F.col("word")).alias("junk"))
-
-
 @query(
     "junk_names_whole_F9",
     f"""SELECT word, n, length(n) < 2 OR lower(n) IN ({", ".join(f"'{x}'" for x in T.JUNK_NAMES)}) OR {_JUNK} AS junk

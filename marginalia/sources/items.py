@@ -59,7 +59,7 @@ def items(spark: SparkSession, sf_dir: str, *joined: str) -> DataFrame:
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(CASE WHEN doc_id % 53 = 0 THEN -1 ELSE doc_id % 11 END AS int), 0, cast(doc_id * 37 AS int), 0) AS updated_at",
         "doc_id % 3 <> 0 AS shared",
         "CASE WHEN doc_id % 4 = 0 AND doc_id % 7 <> 0 THEN concat('shots/', doc_id, '.png') END AS screenshot_url",
-        "CASE WHEN doc_id % 41 = 0 THEN '{broken' ELSE concat('{\"n\": ', doc_id % 9, ', \"tags_synced\": ', CASE WHEN doc_id % 6 = 0 THEN 'true' ELSE 'false' END, '}') END AS metadata",
+        "CASE WHEN doc_id % 41 = 0 THEN '{broken' WHEN doc_id % 43 = 0 THEN '{\"n\": 1, \"tags_synced\": true} tail' WHEN doc_id % 47 = 0 THEN '{\"n\": 1}}' ELSE concat('{\"n\": ', doc_id % 9, ', \"tags_synced\": ', CASE WHEN doc_id % 6 = 0 THEN 'true' ELSE 'false' END, CASE WHEN doc_id % 5 = 0 THEN ', \"extra\": \"keep\", \"n2\": 2.5, \"seen\": [1]' ELSE '' END, '}') END AS metadata",
         "CASE WHEN doc_id % 29 = 0 THEN concat('worker-', doc_id % 3) END AS instance_id",
         "CASE WHEN doc_id % 29 = 0 AND doc_id % 58 = 0 OR doc_id % 71 = 0 THEN timestamp_ntz'2024-01-26 00:00:00' - make_dt_interval(0, 0, cast(doc_id % 240 AS int), 0) END AS started_at",
         f"concat('[', array_join(array_compact(array({_RELATIONSHIPS})), ', '), ']') AS relationships",
@@ -95,7 +95,8 @@ ITEMS_SQL = f"""items AS (
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id * 37) + to_days((CASE WHEN d.doc_id % 53 = 0 THEN -1 ELSE d.doc_id % 11 END)::INTEGER) AS updated_at,
         e.embedding, d.doc_id % 3 <> 0 AS shared,
         CASE WHEN d.doc_id % 4 = 0 AND d.doc_id % 7 <> 0 THEN 'shots/' || d.doc_id || '.png' END AS screenshot_url,
-        CASE WHEN d.doc_id % 41 = 0 THEN '{{{{broken' ELSE '{{{{"n": ' || (d.doc_id % 9) || ', "tags_synced": ' || CASE WHEN d.doc_id % 6 = 0 THEN 'true' ELSE 'false' END || '}}}}' END AS metadata,
+        CASE WHEN d.doc_id % 41 = 0 THEN '{{{{broken' WHEN d.doc_id % 43 = 0 THEN '{{{{"n": 1, "tags_synced": true}}}} tail' WHEN d.doc_id % 47 = 0 THEN '{{{{"n": 1}}}}}}}}'
+            ELSE '{{{{"n": ' || (d.doc_id % 9) || ', "tags_synced": ' || CASE WHEN d.doc_id % 6 = 0 THEN 'true' ELSE 'false' END || CASE WHEN d.doc_id % 5 = 0 THEN ', "extra": "keep", "n2": 2.5, "seen": [1]' ELSE '' END || '}}}}' END AS metadata,
         CASE WHEN d.doc_id % 29 = 0 THEN 'worker-' || (d.doc_id % 3) END AS instance_id,
         CASE WHEN d.doc_id % 29 = 0 AND d.doc_id % 58 = 0 OR d.doc_id % 71 = 0 THEN TIMESTAMP '2024-01-26 00:00:00' - to_minutes(d.doc_id % 240) END AS started_at,
         '[' || array_to_string(list_filter([{{rel}}], lambda r: r IS NOT NULL), ', ') || ']' AS relationships

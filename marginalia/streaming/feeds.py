@@ -47,8 +47,10 @@ def snapshot(spark: SparkSession, target: str, before: int | None = None) -> Dat
     """The rows that ``materialised`` keeps in ``target``: of each part its last version (below ``before``); None without any."""
     try:
         found = spark.read.parquet(target)
-    except AnalysisException:  # nothing has been written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None  # nothing has been written yet
     found = found if before is None else found.where(F.col("version") < before)
     last = found.groupBy("part").agg(F.max("version").alias("version"))  # a row for each of PARTS parts at most
     return found.join(F.broadcast(last), ["part", "version"]).drop("version")

@@ -39,18 +39,6 @@ def folded(df: DataFrame, key: str, order: list[str], schema: str, start: Callab
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def cooled_down(df: DataFrame, key: str, time: str, tie: str, minutes: int) -> DataFrame:
-    """Of each key's events those that come ``minutes`` or more after the last one kept."""
-    gap = pd.Timedelta(minutes=minutes)
-
-    def step(last, row):
-        if last is None or row[time] >= last + gap:
-            return row[time], {key: row[key], tie: row[tie]}
-        return last, None
-
-    return folded(df.select(key, time, tie), key, [time, tie], f"{key} long, {tie} long", lambda: None, step)
-
-
 def breaker_states(df: DataFrame, key: str, time: str, tie: str, failures: int = 3, successes: int = 2, minutes: int = 60) -> DataFrame:
     """key, event and state after it: closed, open after ``failures`` failures in a row, half-open ``minutes`` later,
     closed again after ``successes`` successes. Events that meet an open breaker don't count."""

@@ -1,6 +1,7 @@
 """Hand-made cases of the functions."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def test_json_in_replies(spark):
     rows = [('so: {"a": [1]} ok', ), ("none",), ('[1, 2] {"ticker": "A", "x": 1} {"ticker": broken} {"ticker": "B"}',), (None,)]
     df = spark.createDataFrame(rows, "t string")
     got = df.select(R.first_json(F.col("t")).alias("o"), R.first_json(F.col("t"), "[").alias("l"), R.salvaged(F.col("t"), "ticker").alias("s")).collect()
-    assert [r["o"] for r in got] == ['{"a":[1]}', None, '{"ticker":"A","x":1}', None] and [r["l"] for r in got] == ["[1]", None, "[1,2]", None]
+    assert [r["o"] for r in got] == ['{"a":[1]}', None, None, None] and [r["l"] for r in got] == ["[1]", None, "[1,2]", None]
     assert got[2]["s"] == ['{"ticker": "A", "x": 1}', '{"ticker": "B"}']
 
 
@@ -157,3 +158,33 @@ def test_what_is_filled(spark):
 
     df = spark.createDataFrame([(" ", [], 0, None), ("x", ["a"], None, {"k": 1})], "s string, a array<string>, n int, m map<string,int>")
     assert [tuple(r) for r in df.select(*[R.filled(F.col(c), t) for c, t in df.dtypes]).collect()] == [(False, False, True, False), (True, True, False, True)]
+
+
+def test_json_with_more_behind_it_is_none(spark):
+    from marginalia.functions import rules as R
+
+    good = ['{"a":1}', ' {"a": [1, {"b": "}"}]} ', "[]", "null", "1.5", '"x"', '{"extra": "keep", "n2": 2.5, "seen": [1]}']
+    bad = ['{"a":1} tail', '{"a":1}}', '{"a":1}]', "1, 2", '1,"b":2', '{"a":1},"b":2', "", " ", "{", "{'a':1}", '1] x', '1} x', "nul"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad, None]], "t string")
+    got = {r["t"]: r for r in df.select("t", T.is_json(F.col("t")).alias("ok"), F.to_json(T.parsed_json(F.col("t"))).alias("v"), R.json_with(F.col("t"), "seen", F.lit("9")).alias("w")).collect()}
+    assert {t for t, r in got.items() if r["ok"]} == set(good) and got[None]["ok"] is None
+    assert all(got[t]["v"] is None for t in bad) and json.loads(got[good[1]]["v"]) == json.loads(good[1])
+    assert json.loads(got[good[-1]]["w"]) == {"extra": "keep", "n2": 2.5, "seen": "9"} and got["[]"]["w"] is None
+    firsts = spark.createDataFrame([('so: {"a":1} then',), ('{"a":1}} x }',)], "t string").select(R.first_json(F.col("t")).alias("j")).collect()
+    assert [r["j"] for r in firsts] == ['{"a":1}', None]
+
+
+def test_attributes_of_tags(spark):
+    from marginalia.functions import rules as R
+
+    html = """<meta content='1' property=og:title><META NAME="Description" content="x>y"/><meta name=description content=z><metadata name="q"><meta charset="u">
+        <script type="application/ld+json">{"a": [1]}</script><script type='application/ld+json' id="b>">{"a": </script><script>{"a": 2}</script>"""
+    r = spark.createDataFrame([(html,), (None,)], "h string").select(R.meta_tags(F.col("h")).alias("m"), R.linked_data(F.col("h")).alias("d")).collect()
+    assert r[0]["m"] == {"og:title": "1", "description": "x>y"} and r[0]["d"] == ['{"a": [1]}'] and r[1]["m"] is None
+
+
+def test_clean_tags_take_the_first_spelling(spark):
+    from marginalia.functions import rules as R
+
+    reply = "Data, data, tools\ntools,AI,ai,x,two words,!urgent,bookmark"
+    assert spark.createDataFrame([(reply,)], "t string").select(R.clean_tags(F.col("t")).alias("t")).first()["t"] == ["tools", "tools", "ai", "ai", "!urgent"]
