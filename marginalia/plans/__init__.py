@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, costs, curation, extraction, extras, graph, indexes, quality, records, related, rules, search, text
+from . import changes, costs, curation, extraction, extras, graph, indexes, quality, records, related, review, rules, search, text
 
-_PLANS = (text, search, related, indexes, extraction, records, graph, quality, costs, changes, curation, rules, extras)
+_PLANS = (text, search, related, indexes, extraction, records, review, graph, quality, costs, changes, curation, rules, extras)
 
 
 def queries() -> dict:
