@@ -36,7 +36,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest items that have all words of a benchmark passage."""
-    return T.matching(T.build(texts(spark, sf_dir)), benchmark(spark, sf_dir)).select("query_id", "id", "rank")
+    return T.matching(T.build(texts(spark, sf_dir), parts=16), benchmark(spark, sf_dir)).select("query_id", "id", "rank")
 
 
 @query(
@@ -48,7 +48,7 @@ def all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that a benchmark passage's words weigh most in."""
-    return T.best(T.build(texts(spark, sf_dir)), benchmark(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return T.best(T.build(texts(spark, sf_dir), parts=16), benchmark(spark, sf_dir)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("related_ivf_J11_M2")
