@@ -22,14 +22,18 @@ def mentioned_assets(found: DataFrame, tracked: list[str]) -> DataFrame:
 
 
 def candidate_score(name: Column, label: Column, kind: Column, right_kind: Column, links: Column, by_label: Column) -> Column:
-    """Points of a candidate by label, kind, links and the way it was found, within 0 and 1."""
+    """``candidate_points`` within 0 and 1."""
+    return M.clamped(candidate_points(name, label, kind, right_kind, links, by_label), 0.0, 1.0)
+
+
+def candidate_points(name: Column, label: Column, kind: Column, right_kind: Column, links: Column, by_label: Column) -> Column:
+    """Points of a candidate by label, kind, links and the way it was found."""
     a, b = F.lower(F.trim(name)), F.lower(F.trim(label))
-    points = (
+    return (
         F.when(a == b, 0.3).when(F.contains(b, a) | F.contains(a, b), 0.15).otherwise(0.0)
         + F.when(right_kind, 0.25).otherwise(-0.1) + F.when((kind == "Person") & ~right_kind, -0.2).otherwise(0.0)
         + F.when(links > 50, 0.1).when(links > 20, 0.05).otherwise(0.0) + F.when(by_label, 0.05).otherwise(0.0)
     )
-    return M.clamped(points, 0.0, 1.0)
 
 
 def resolved(candidates: DataFrame, accept: float = 0.75, least: float = 0.4) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, costs, curation, extraction, extras, graph, indexes, quality, records, related, review, rules, search, text, versions
+from . import changes, costs, curation, entities, extraction, extras, graph, indexes, quality, records, related, review, rules, search, text, versions
 
-_PLANS = (text, search, related, indexes, extraction, records, review, versions, graph, quality, costs, changes, curation, rules, extras)
+_PLANS = (text, search, related, indexes, extraction, records, review, versions, entities, graph, quality, costs, changes, curation, rules, extras)
 
 
 def queries() -> dict:
