@@ -224,3 +224,38 @@ def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = C.upsert(old.withColumn("age", F.lit(1)), G.claims(i).withColumn("age", F.lit(0)), "claim_key", F.col("age"))
     state = F.when(F.col("had").isNotNull(), "kept").otherwise("added").alias("state")
     return now.join(old.select("claim_key", F.lit(True).alias("had")), "claim_key", "left").select("claim_key", "predicate", "first_item", state)
+
+
+_EARLY = f"(SELECT id FROM items WHERE created_at < TIMESTAMP '{EARLIER}')"
+_SIDES = "SELECT subject_key AS entity_key, subject AS name, sk AS kind, sp AS provisional, updated_at, id, n, 0 AS side FROM {0} UNION ALL SELECT object_key, object, ok, op, updated_at, id, n, 1 FROM {0}"
+_ENTITIES = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY entity_key) AS mentions, row_number() OVER (PARTITION BY entity_key ORDER BY updated_at DESC, id DESC, n, side) AS k FROM ({0})) WHERE k = 1)"
+_CLAIMED = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY claim_key) AS support, row_number() OVER (PARTITION BY claim_key ORDER BY updated_at DESC, id DESC, n) AS k FROM {0}) WHERE k = 1)"
+_STATE = lambda old, same: f"CASE WHEN {old} IS NULL THEN 'added' WHEN {same} THEN 'same' ELSE 'changed' END"
+
+
+@query(
+    "graph_tables_G6",
+    f"""{EVIDENCE}, early AS (SELECT * FROM projected WHERE id IN {_EARLY}), e AS ({_KEYED}),
+    now_e AS (SELECT * FROM {_ENTITIES.format(_SIDES.format("projected"))}), old_e AS (SELECT * FROM {_ENTITIES.format(_SIDES.format("early"))}),
+    now_c AS (SELECT * FROM {_CLAIMED.format("projected")}), old_c AS (SELECT * FROM {_CLAIMED.format("early")}),
+    t AS (
+        SELECT 'documents' AS name, 'item:' || id AS key, {_STATE("o", "true")} AS state, NULL AS a, NULL AS b FROM (SELECT DISTINCT id, CASE WHEN id IN {_EARLY} THEN 1 END AS o FROM projected)
+        UNION ALL SELECT 'entities', entity_key, {_STATE("o.name", "o.name = n.name AND o.kind = n.kind AND o.provisional = n.provisional AND o.mentions = n.mentions")}, NULL, NULL FROM now_e n LEFT JOIN old_e o USING (entity_key)
+        UNION ALL SELECT 'claims', claim_key, {_STATE("o.id", "o.claim_mode = n.claim_mode AND o.id = n.id AND o.support = n.support")}, n.subject_key, n.object_key FROM now_c n LEFT JOIN old_c o USING (claim_key)
+        UNION ALL SELECT 'evidence', evidence_key, {_STATE("o", "true")}, document_key, target_key FROM (SELECT *, CASE WHEN replace(document_key, 'item:', '')::BIGINT IN {_EARLY} THEN 1 END AS o FROM e))
+    SELECT name, key, md5(key) AS row_id, state, md5(a) AS a_id, md5(b) AS b_id, CASE WHEN state = 'added' THEN 2 ELSE 1 END AS first_written, CASE WHEN state = 'same' THEN 1 ELSE 2 END AS last_written FROM t""",
+)
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four tables of an earlier day brought up to date: each row's id, state, what it points to, and which writing it is from."""
+    from ..operators import backfill as B
+
+    i = items(spark, sf_dir, "url")
+    old = B.brought_up(i.where(F.col("created_at") < F.lit(EARLIER).cast("timestamp_ntz")), "2024-01-01")
+    now = B.brought_up(i, "2024-01-02", old)
+    none, links = F.lit(None).cast("string"), {"claims": ("subject_id", "object_id"), "evidence": ("document_id", "target_id")}
+    out = None
+    for name, rows in now.items():
+        a, b = (F.col(c) for c in links[name]) if name in links else (none, none)
+        one = rows.select(F.lit(name).alias("name"), F.col(B.KEYS[name]).alias("key"), "row_id", "state", a.alias("a_id"), b.alias("b_id"), F.dayofmonth("first_written").alias("first_written"), F.dayofmonth("last_written").alias("last_written"))
+        out = one if out is None else out.unionByName(one)
+    return out
