@@ -208,6 +208,26 @@ def contexts(items: DataFrame, most: int = 10) -> DataFrame:
     return ranked.where(F.col("k") <= most).drop("k", "claim_key")
 
 
+def co_occurring(items: DataFrame, most: int = 10) -> DataFrame:
+    """entity_key, names: of an entity's ``most`` best supported claims as subject, then as object, the other ends' names, each once, in that order."""
+    from pyspark.sql import Window as W
+
+    c, named = claims(items), entities(items).select(F.col("entity_key").alias("neighbour"), "name")
+    way = lambda side, own, other: c.select(F.col(own).alias("entity_key"), F.lit(side).alias("side"), F.col(other).alias("neighbour"), "support", "claim_key")
+    both = way(0, "subject_key", "object_key").unionByName(way(1, "object_key", "subject_key"))
+    ranked = both.withColumn("k", F.row_number().over(W.partitionBy("entity_key", "side").orderBy(F.col("support").desc(), "claim_key"))).where(F.col("k") <= most)
+    told = ranked.join(named, "neighbour").groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct("side", "k", "name"))).alias("all"))  # 2 * most at the most
+    return told.select("entity_key", F.array_distinct(F.transform("all", lambda x: x["name"])).alias("names"))
+
+
+def node_sources(items: DataFrame) -> DataFrame:
+    """node, sources: the sources, sorted, of the items that name each node of ``nodes``."""
+    r = exploded(items, "id", "source").where((F.col("subject") != "") & (F.col("object") != ""))
+    name = lambda t, c: F.concat(F.coalesce(F.nullif(F.col(t), F.lit("")), F.lit("Unknown")), F.lit("::"), F.lower(c))
+    ends = r.select("source", F.explode(F.array(name("subject_type", "subject"), name("object_type", "object"))).alias("node"))
+    return ends.groupBy("node").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+
+
 def documents(items: DataFrame) -> DataFrame:
     """A row for each item with relationships that can be projected: its key and what is known of it (``items`` with url)."""
     used = projection(items).select(F.col("id").alias("used")).distinct()

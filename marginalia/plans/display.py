@@ -167,3 +167,22 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of whole texts, of 300 characters about (compared with a plain version in tests)."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(D.text_chunks(F.col("text"), 300)).alias("place", "chunk"))
+
+
+@query("listed_order_J4", "SELECT e.event_id AS at, d.doc_id, d.lang FROM events e JOIN documents d ON d.doc_id = e.user_id")
+def listed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of a list of ids that is a table itself; ids that nothing has are left out, repeated ones stay."""
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.col("user_id").alias("doc_id"))
+    return asked.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("at", "doc_id", "lang").orderBy("at")
+
+
+@query(
+    "core_tags_S20",
+    f"""WITH {ITEMS_SQL}, core AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{8,}}')) AS tag FROM benchmark), t AS (SELECT id, unnest(tags) AS tag FROM items)
+    SELECT id, string_agg(tag, '|' ORDER BY tag) AS core FROM t JOIN core USING (tag) GROUP BY id""",
+)
+def core_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items' tags that a controlled vocabulary has, here the long words of the benchmark; without a vocabulary none."""
+    core = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("tag")).distinct()
+    each = items(spark, sf_dir).select("id", F.explode("tags").alias("tag")).join(R.small(core), "tag", "left_semi")
+    return each.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("tag")), "|").alias("core"))

@@ -259,3 +259,24 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = rows.select(F.lit(name).alias("name"), F.col(B.KEYS[name]).alias("key"), "row_id", "state", a.alias("a_id"), b.alias("b_id"), F.dayofmonth("first_written").alias("first_written"), F.dayofmonth("last_written").alias("last_written"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(
+    "node_sources_A14",
+    f"""WITH {RAW}, ends AS (SELECT id, {_NODE.format("subject_type", "subject")} AS node FROM rels WHERE subject <> '' AND object <> '' UNION ALL SELECT id, {_NODE.format("object_type", "object")} FROM rels WHERE subject <> '' AND object <> '')
+    SELECT node, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources FROM ends JOIN items USING (id) GROUP BY node""",
+)
+def node_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.node_sources(items(spark, sf_dir)).select("node", F.array_join("sources", "|").alias("sources"))
+
+
+@query(
+    "co_occurring_J3",
+    f"""{CLAIMS}, names AS (SELECT entity_key AS neighbour, name FROM {_ENTITIES.format(_SIDES.format("projected"))}),
+    ways AS (SELECT subject_key AS entity_key, 0 AS side, object_key AS neighbour, support, claim_key FROM claims UNION ALL SELECT object_key, 1, subject_key, support, claim_key FROM claims),
+    ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_key, side ORDER BY support DESC, claim_key) AS k FROM ways) WHERE k <= 10),
+    firsts AS (SELECT entity_key, name, min(side * 1000 + k) AS place FROM ranked JOIN names USING (neighbour) GROUP BY ALL)
+    SELECT entity_key, string_agg(name, '|' ORDER BY place) AS names FROM firsts GROUP BY entity_key""",
+)
+def co_occurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.co_occurring(items(spark, sf_dir)).select("entity_key", F.array_join("names", "|").alias("names"))
