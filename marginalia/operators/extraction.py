@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from . import document_rules as R
 from . import graph as G
 
@@ -81,7 +82,8 @@ def settled(spark: SparkSession, docs: DataFrame, replies: DataFrame, seen: Obse
         R.article_like(F.col("url"), F.col("title"), F.col("content")).alias("article"), F.coalesce(F.col("source") == "arena", F.lit(False)).alias("block"),
         (R.video_like(F.col("url"), F.col("title"), F.col("content")) & R.thin_shell(F.col("content"))).alias("shell"),
     )
-    d = kinds.join(replied, "id", "left").join(judged(spark, docs, replies), "id", "left")
+    # texts and the rules that read them end here: a narrow row a document goes on
+    d = stored(kinds.join(replied, "id", "left").join(judged(spark, docs, replies), "id", "left"), name="candidates")
     none = F.filter("candidates", lambda c: F.lit(False))
     skipped = F.when(F.col("length") == 0, "empty_content").when(F.col("shell"), "thin_video_shell").when(~F.coalesce(F.array_contains("replied", FIRST), F.lit(False)), "no_llm_response")
     d = d.withColumn("skipped", skipped)
@@ -109,5 +111,5 @@ def settled(spark: SparkSession, docs: DataFrame, replies: DataFrame, seen: Obse
 
 def relationships(rows: DataFrame) -> DataFrame:
     """id, place, the fields and settled_by of each relationship of ``settled``."""
-    each = rows.select("id", F.posexplode("relationships").alias("place", "r"))
-    return each.select("id", "place", *[F.col(f"r.{c}").alias(c) for c in ("subject", "subject_type", "predicate", "object", "object_type", "claim_mode", "settled_by")])
+    names = ("subject", "subject_type", "predicate", "object", "object_type", "claim_mode", "settled_by")
+    return rows.select("id", F.inline(F.transform("relationships", lambda r, i: F.struct(i.alias("place"), *[r[c].alias(c) for c in names]))))
