@@ -78,22 +78,26 @@ def tag_overlaps(seeds: DataFrame, items: DataFrame, as_of: str, days: int = DAY
     own = stored(seeds.select(F.col("id").alias("seed_id"), F.array_distinct("tags").alias("seed_tags")), name="seeds")
     each = own.select("seed_id", F.explode("seed_tags").alias("tag"))
     repeats = F.size("tags") > F.size(F.array_distinct("tags"))
-    met = held.select("id", repeats.alias("repeats"), F.explode(F.array_distinct("tags")).alias("tag")).join(small(each.select("tag").distinct()), "tag", "left_semi")
+    times = F.when(repeats, F.transform(F.array_distinct("tags"), lambda t: F.size(F.filter("tags", lambda x: x == t)))).otherwise(F.array_repeat(F.lit(1), F.size("tags")))
+    met = held.select("id", repeats.alias("repeats"), F.explode(F.arrays_zip(F.array_distinct("tags").alias("tag"), times.alias("times"))).alias("t")).select("id", "repeats", "t.tag", "t.times")
+    met = met.join(small(each.select("tag").distinct()), "tag", "left_semi")
     counted = stored(met.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), name="counts")
     by_count = F.array_sort(F.collect_list(F.struct("n", "tag")))
+    ordered = stored(each.join(small(counted), "tag").groupBy("seed_id").agg(by_count.alias("all")), name="ordered")
     rare = F.col("at") < F.size("all") - (least - 1)
-    asked = each.join(small(counted), "tag").groupBy("seed_id").agg(by_count.alias("all")).select("seed_id", F.size("all").alias("of"), "all")
-    asked = asked.select("seed_id", "all", F.posexplode("all").alias("at", "t"))
+    asked = ordered.select("seed_id", "all", F.posexplode("all").alias("at", "t")).select("seed_id", F.col("t.tag").alias("tag"), rare.alias("rare"), F.col("t.n").alias("n"))
     salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int")
-    asked = asked.select("seed_id", F.col("t.tag").alias("tag"), rare.alias("rare"), F.col("t.n").alias("n"))
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
     # no more than all rows / ROWS_A_SALT tags are hot; they are known before their rows are dealt
     hot = counted.where(F.col("n") > ROWS_A_SALT).select("tag", salts.alias("salts"))
     met = met.join(F.broadcast(hot), "tag", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    pairs = asked.join(met, ["tag", "salt"]).where((F.col("id") != F.col("seed_id")) & (F.col("rare") | F.col("repeats"))).select("seed_id", "id").distinct()
-    overlap = F.size(F.filter("tags", lambda t: F.array_contains("seed_tags", t))).cast("long")
-    scored = pairs.join(small(own), "seed_id").join(held, "id").select("seed_id", "id", "published_at", overlap.alias("overlap"))
-    return scored.where(F.col("overlap") >= least)
+    pairs = asked.join(met, ["tag", "salt"]).where((F.col("id") != F.col("seed_id")) & (F.col("rare") | F.col("repeats")))
+    pairs = pairs.groupBy("seed_id", "id").agg(F.sum("times").alias("shared"), F.max("repeats").alias("repeats"))
+    # what pairs didn't meet by: the seed's most frequent tags, ``least`` - 1 of them
+    common = F.transform(F.filter("all", lambda t, i: i >= F.size("all") - (least - 1)), lambda t: t["tag"])
+    scored = pairs.join(small(ordered.select("seed_id", common.alias("common"))), "seed_id").join(held, "id")
+    more = F.when(F.col("repeats"), 0).otherwise(F.size(F.array_intersect("common", "tags")))
+    return scored.select("seed_id", "id", "published_at", (F.col("shared") + more).cast("long").alias("overlap")).where(F.col("overlap") >= least)
 
 
 def top(pairs: DataFrame, k: int, *order) -> DataFrame:
