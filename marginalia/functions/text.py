@@ -102,6 +102,47 @@ def with_scheme(url: Column) -> Column:
     return F.when(url.rlike("(?i)^https?://"), url).when(F.trim(url) != "", F.concat(F.lit("https://"), F.trim(url)))
 
 
+def percent_encoded(c: Column, signs: str) -> Column:
+    """Spaces, control characters, ``signs`` (as in a class of a pattern) and all beyond ASCII as %XX of their UTF-8 bytes."""
+    encoded = lambda x: F.regexp_replace(F.url_encode(x), r"\+", "%20")
+    out = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(rf"[^\x21-\x7e]|[{signs}]"), encoded(x)).otherwise(x)), "")
+    return F.when(c.rlike(rf"[^\x21-\x7e]|[{signs}]"), out).otherwise(c)
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. resolved; it starts with a slash."""
+    dot, up = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+    parts = F.split(path, "/")
+    last = F.try_element_at(parts, F.lit(-1))
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda done, p: F.when(p.rlike(up), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p.rlike(dot), done).otherwise(F.concat(done, F.array(p))),
+    )
+    kept = F.when(last.rlike(dot) | last.rlike(up), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def clean_url(url: Column) -> Column:
+    """An address in its standard form, https where it names no scheme; null where it can't be one.
+
+    The host is in lower case, a scheme's own port goes, an empty path is a slash, dots in the path are resolved, spaces
+    and what lies beyond ASCII are percent-encoded. Hosts beyond ASCII stay as they are.
+    """
+    bare = F.regexp_replace(url, r"^\s+|\s+$", "")
+    # signs that may stand nowhere go, backslashes are slashes before a query
+    bare = F.regexp_replace(F.when(bare.rlike("^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare)), r"[\t\n\r]", "")
+    part = lambda n: F.regexp_extract(bare, r"^(https?)://[/\\]*([^/\\?#]*@)?([^/\\?#]*?)(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?$", n)
+    scheme, user, name, port, path, asked, place = (part(n) for n in range(1, 8))
+    digits = F.regexp_replace(port, "^0+(?=.)", "")
+    own = (digits == "") | ((scheme == "http") & (digits == "80")) | ((scheme == "https") & (digits == "443"))
+    whole = F.concat(
+        scheme, F.lit("://"), percent_encoded(user, "\"<>`{}|^"), F.lower(name), F.when(own, "").otherwise(F.concat(F.lit(":"), digits)),
+        percent_encoded(without_dots(F.when(path == "", "/").otherwise(F.translate(path, "\\", "/"))), "\"<>`{}^"), percent_encoded(F.when(asked == "?", "?").otherwise(asked), "\"<>'"), percent_encoded(place, "\"<>`"),
+    )
+    fine = (bare != "https://") & (name != "") & ~name.rlike(r"[\x00-\x20#%/:<>?@\[\]\\^|\x7f]") & ((F.length(digits) < 5) | ((F.length(digits) == 5) & (digits <= "65535")))
+    return F.when(fine, whole)
+
+
 def url_title(url: Column) -> Column:
     """A title from the last part of the path, else the host."""
     last = F.try_element_at(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda p: (p != "") & (p != "index.html")), F.lit(-1))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import changes, costs, curation, display, entities, extraction, extras, graph, indexes, pages, quality, records, related, review, rules, search, text, versions
+from . import changes, costs, curation, display, entities, extraction, extras, graph, indexes, landed, pages, quality, records, related, review, rules, search, text, versions
 
-_PLANS = (text, search, related, indexes, extraction, records, review, versions, entities, display, pages, graph, quality, costs, changes, curation, rules, extras)
+_PLANS = (text, search, related, indexes, extraction, records, review, versions, entities, display, pages, landed, graph, quality, costs, changes, curation, rules, extras)
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.folds import running_totals
+from ..sources.items import SOURCES
 from .registry import registry
 
 Q, SQL, query = registry()
@@ -151,3 +152,92 @@ def council(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = judgments(spark, sf_dir)
     mean = [F.round(F.avg(F.when(F.col("judge") == j, F.col("score"))), 6).alias(j) for j in JUDGES]
     return s.groupBy("model").agg(*mean, F.count(F.lit(1)).alias("n"))
+
+
+_SOURCE_OF = "list_extract(['pinboard', 'github', 'mastodon', 'arena'], (item % 4 + 1)::INTEGER)"
+
+
+@query(
+    "cost_leaderboard_A10_G20",
+    f"""WITH {PRICED}, p AS (SELECT *, {_SOURCE_OF} AS source, strftime(ts, '%Y-%m-%d') AS day FROM priced)
+    SELECT model, task, item, source, day, grouping(model, task, item, source, day)::BIGINT AS level, count(*) AS calls, round(sum(cost), 8) AS cost, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens, count(DISTINCT task) AS tasks
+    FROM p GROUP BY GROUPING SETS ((model), (task), (task, model), (item, source), (source), (day), (day, model), (day, task), ())""",
+)
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs by model, task, both, item, source and day in one pass; ``level`` says which of the five are summed over."""
+    names = F.array(*[F.lit(s) for s in SOURCES])
+    p = priced(spark, sf_dir).withColumns({"source": F.try_element_at(names, (F.col("item") % 4 + 1).cast("int")), "day": F.date_format("ts", "yyyy-MM-dd"), "work": F.col("task")})
+    m, t, i, s, d = (F.col(c) for c in ("model", "task", "item", "source", "day"))
+    sums = [F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 8).alias("cost"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.size(F.collect_set("work")).cast("long").alias("tasks")]
+    return p.groupingSets([[m], [t], [t, m], [i, s], [s], [d], [d, m], [d, t], []], m, t, i, s, d).agg(F.grouping_id("model", "task", "item", "source", "day").alias("level"), *sums)
+
+
+#: Dollars that a session may cost, the share of them from which on there is a warning, and those of an item.
+SESSION_LIMIT, WARNING_SHARE, ITEM_LIMIT = 1.0, 0.8, 0.1
+
+
+@query(
+    "session_alerts_G21",
+    f"""WITH {PRICED}, s AS (SELECT task || '-' || strftime(ts, '%Y-%m-%d') AS session, item, sum(cost) * 100 AS cost FROM priced GROUP BY GROUPING SETS ((task || '-' || strftime(ts, '%Y-%m-%d')), (task || '-' || strftime(ts, '%Y-%m-%d'), item))),
+    a AS (SELECT session, item, cost, CASE WHEN item IS NOT NULL THEN CASE WHEN cost > {ITEM_LIMIT} THEN 'item' END WHEN cost > {SESSION_LIMIT} THEN 'critical' WHEN cost > {SESSION_LIMIT * WARNING_SHARE} THEN 'warning' END AS alert FROM s)
+    SELECT session, item, alert, round(cost, 6) AS cost FROM a WHERE alert IS NOT NULL""",
+)
+def session_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions (a task's day) and their items that cost too much. The test tables' calls are cheap: they count a hundredfold."""
+    p = priced(spark, sf_dir).withColumn("session", F.concat("task", F.lit("-"), F.date_format("ts", "yyyy-MM-dd")))
+    s = p.groupingSets([[F.col("session")], [F.col("session"), F.col("item")]], F.col("session"), F.col("item")).agg(F.grouping("item").alias("whole"), (F.sum("cost") * 100).alias("c"))
+    session = F.when(F.col("c") > SESSION_LIMIT, "critical").when(F.col("c") > SESSION_LIMIT * WARNING_SHARE, "warning")
+    alert = F.when(F.col("whole") == 1, session).when(F.col("c") > ITEM_LIMIT, "item")
+    return s.select("session", "item", alert.alias("alert"), F.round("c", 6).alias("cost")).where(F.col("alert").isNotNull())
+
+
+#: Scores from which on a judge names an edge as good, and up to which as bad.
+GOOD, BAD = 8, 2
+
+
+@query(
+    "council_aggregate_A19_G23",
+    f"""WITH {_SCORES}, wins AS (SELECT item, judge, model FROM (SELECT *, row_number() OVER (PARTITION BY item, judge ORDER BY score DESC, model) AS k FROM scores) WHERE k = 1),
+    sums AS (SELECT s.item, s.model, round(sum(score * weight), 3) AS score, round(avg(score), 3) AS mean, count(w.model) AS judge_wins FROM scores s LEFT JOIN wins w ON w.item = s.item AND w.judge = s.judge AND w.model = s.model GROUP BY ALL),
+    best AS (SELECT model, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, judge_wins DESC, mean DESC, model) AS k FROM sums) WHERE k = 1 GROUP BY model),
+    m AS (SELECT 'model-' || r AS model, r AS n FROM range({MODELS}) t(r)),
+    rels AS (SELECT m.model, sum((v.vec_id + m.n) % 4)::BIGINT AS relationships, sum(len(list_filter(range((v.vec_id + m.n) % 4), lambda k: (v.vec_id + k) % 3 = 0)))::BIGINT AS reported FROM embeddings v, m GROUP BY m.model)
+    SELECT s.model, coalesce(max(b.wins), 0) AS wins, (SELECT round(avg(x.score), 3) FROM sums x WHERE x.model = s.model) AS average_score, """
+    + ", ".join(f"round(avg(s.score) FILTER (WHERE s.judge = '{j}'), 3) AS {j}_average, (SELECT count(*) FROM wins w WHERE w.judge = '{j}' AND w.model = s.model) AS {j}_wins" for j in JUDGES)
+    + f""", count(*) FILTER (WHERE s.score >= {GOOD}) AS good_edge_mentions, count(*) FILTER (WHERE s.score <= {BAD}) AS bad_edge_mentions,
+        max(r.relationships) AS relationships, max(r.reported) AS reported, max(r.relationships - r.reported) AS asserted
+    FROM scores s LEFT JOIN best b ON b.model = s.model JOIN rels r ON r.model = s.model GROUP BY s.model""",
+)
+def council_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each model how often it wins, what judges give it, the edges they name, and its relationships by how they are claimed.
+
+    An item's judgments (models times judges of them) meet in one row, so that one shuffle by item serves all figures.
+    """
+    s = judgments(spark, sf_dir).groupBy("item").agg(F.collect_list(F.struct("judge", "model", "score", "weight")).alias("all"))
+    models = [f"model-{n}" for n in range(MODELS)]
+    of = lambda key, value: F.filter("all", lambda x: x[key] == value)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+    # each judge's winner: the greatest score, of equals the least name
+    won = s.withColumns({f"{j}_winner": F.array_min(F.transform(of("judge", j), lambda x: F.struct((-x["score"]).alias("less"), x["model"].alias("model"))))["model"] for j in JUDGES})
+    won = won.withColumn("winners", F.array(*[f"{j}_winner" for j in JUDGES]))
+    one = lambda m: F.struct(
+        (-F.round(total(of("model", m), lambda x: x["score"] * x["weight"]), 3)).alias("less"), (-F.size(F.filter("winners", lambda w: w == m))).alias("fewer"),
+        (-F.round(total(of("model", m), lambda x: x["score"].cast("double")) / F.size(of("model", m)), 3)).alias("lower"), F.lit(m).alias("model"),
+    )
+    ranked = won.withColumn("ranked", F.array_sort(F.array(*[one(m) for m in models]))).withColumn("winner", F.col("ranked")[0]["model"])
+    made = lambda x: (F.col("item") + F.substring(x["model"], 7, 9).cast("long")) % 4
+    each = ranked.select("item", "all", "winner", *[f"{j}_winner" for j in JUDGES], F.explode("ranked").alias("r"))
+    own, m = F.filter("all", lambda x: x["model"] == F.col("r.model")), F.col("r.model")
+    by = lambda j: F.filter(own, lambda x: x["judge"] == j)
+    n_rel = made(F.col("r"))
+    reported = F.size(F.filter(F.array(*[F.lit(k) for k in range(3)]), lambda k: (k < n_rel) & ((F.col("item") + k) % 3 == 0)))
+    per = each.select(
+        m.alias("model"), (-F.col("r.less")).alias("score"), (F.col("winner") == m).cast("long").alias("win"),
+        *[(F.col(f"{j}_winner") == m).cast("long").alias(f"{j}_win") for j in JUDGES], *[by(j)[0]["score"].alias(f"{j}_score") for j in JUDGES],
+        F.size(F.filter(own, lambda x: x["score"] >= GOOD)).alias("good"), F.size(F.filter(own, lambda x: x["score"] <= BAD)).alias("bad"), n_rel.alias("rels"), reported.alias("reported"),
+    )
+    judged = [c for j in JUDGES for c in (F.round(F.avg(f"{j}_score"), 3).alias(f"{j}_average"), F.sum(f"{j}_win").alias(f"{j}_wins"))]
+    return per.groupBy("model").agg(
+        F.sum("win").alias("wins"), F.round(F.avg("score"), 3).alias("average_score"), *judged, F.sum("good").alias("good_edge_mentions"), F.sum("bad").alias("bad_edge_mentions"),
+        F.sum("rels").alias("relationships"), F.sum("reported").alias("reported"), F.sum(F.col("rels") - F.col("reported")).alias("asserted"),
+    )

@@ -309,3 +309,103 @@ def tag_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", (F.size("held") - F.size("kept")).alias("outdated"), F.size(F.filter("made", lambda t: ~F.array_contains("held", t))).alias("added"),
         F.size(F.array_distinct(F.concat("kept", "made"))).alias("merged"),
     )
+
+
+#: Pages that are held under one address, which the test tables lack.
+_SAME = "CASE WHEN id % 10 = 0 THEN 'https://example.org/' || (id % 70) ELSE regexp_replace(url, '[?#].*$', '') END"
+
+
+@query("dup_url_A8", f"WITH {ITEMS_SQL} SELECT url, count(*) AS n, min(id) AS first_id FROM (SELECT id, {_SAME} AS url FROM items) u WHERE url IS NOT NULL GROUP BY url HAVING count(*) > 1")
+def duplicate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = items(spark, sf_dir, "url").select("id", F.expr(_SAME).alias("url")).where(F.col("url").isNotNull())
+    return urls.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where(F.col("n") > 1)
+
+
+#: Issues of an item by kind; screenshots are asked of all but most of one source, addresses of all but notes.
+_KINDS = _ISSUES | {
+    "shot": "screenshot_url IS NULL AND url IS NOT NULL AND (source <> 'github' OR type = 'repository')", "url": "url IS NULL AND type NOT IN ('note', 'thought')", "metadata": "metadata IS NOT NULL AND NOT {json}",
+}
+_HAS = {"summaries": "coalesce(trim(summary), '') <> ''", "embeddings": "embedding IS NOT NULL"}
+
+
+@query(
+    "diagnose_health_G15",
+    f"""WITH {ITEMS_SQL}, c AS (SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS source, count(*) AS total, """
+    + ", ".join(f"count(*) FILTER (WHERE {c.format(size='len', json='json_valid(metadata)')}) AS {k}_issues" for k, c in _KINDS.items())
+    + ", count(*) FILTER (WHERE " + " OR ".join(f"({c.format(size='len', json='json_valid(metadata)')})" for c in _KINDS.values()) + ") AS ill, "
+    + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _HAS.items())
+    + """ FROM items GROUP BY GROUPING SETS ((source), ()))
+    SELECT * EXCLUDE (summaries, embeddings), floor(100.0::DOUBLE * (total - ill) / total + 0.5)::BIGINT AS healthy_percent, floor(100.0::DOUBLE * (summaries + embeddings) / (2 * total) + 0.5)::BIGINT AS filled_percent FROM c WHERE total > 0""",
+)
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source, and of all, how many items have which issues, and the percents without any and with what models make."""
+    found = items(spark, sf_dir, "summary", "url", "embedding").withColumn("is_json", T.is_json(F.col("metadata")))
+    tests = {k: F.expr(c.format(size="size", json="is_json").replace("TIMESTAMP '", "timestamp_ntz'").replace("INTERVAL 14 DAY", "INTERVAL 14 DAYS")) for k, c in _KINDS.items()}
+    counted = found.groupingSets([[F.col("source")], []], F.col("source")).agg(
+        F.grouping("source").alias("whole"), F.count(F.lit(1)).alias("total"), *[F.count_if(t).alias(f"{k}_issues") for k, t in tests.items()], F.count_if(reduce(or_, tests.values())).alias("ill"),
+        *[F.count_if(F.expr(c)).alias(k) for k, c in _HAS.items()],
+    ).where(F.col("total") > 0)
+    percent = lambda n, of: F.floor(100.0 * n / of + 0.5)
+    return counted.select(
+        F.when(F.col("whole") == 1, "all").otherwise(F.col("source")).alias("source"), "total", *[f"{k}_issues" for k in tests], "ill",
+        percent(F.col("total") - F.col("ill"), F.col("total")).alias("healthy_percent"), percent(F.col("summaries") + F.col("embeddings"), 2 * F.col("total")).alias("filled_percent"),
+    )
+
+
+#: Fields that an item has to have.
+REQUIRED = ("item_id", "source", "type", "url", "title", "content", "published_at", "created_at", "updated_at", "shared", "tags", "metadata")
+_TYPES = ", ".join(f"'{t}'" for ts in TYPES.values() for t in ts)
+#: Faults that the test tables lack, in words that Spark and DuckDB share.
+_PLANTED = {
+    "url": "CASE WHEN id % 17 = 0 THEN 'example.org/' || id ELSE url END", "location": "CASE WHEN id % 31 <> 0 THEN location END", "source": "CASE WHEN id % 89 = 0 THEN 'rss' ELSE source END",
+    "screenshot_url": "CASE WHEN id % 3 = 0 THEN 'https://img.example.org/screenshots/' || id WHEN id % 3 = 1 THEN 'http://img.example.org/screenshots/' || id ELSE screenshot_url END",
+    "metadata": "CASE WHEN id % 37 = 0 THEN '7' WHEN id % 59 <> 0 THEN metadata END",
+}
+_SHAPE = " OR ".join(f"coalesce(json_extract_string(r, '$.{p}'), '') = ''" for p in M.RELATIONSHIP_PARTS)
+
+
+def item_errors(valid_sources: tuple[str, ...] = tuple(TYPES), shown: tuple[str, ...] = ("pinboard",)) -> Column:
+    """What is wrong with an item, in this order: missing fields, metadata, source, type, address, screenshot, relationships.
+
+    Sources in ``shown`` have screenshots, whose addresses are checked. Relationships are a JSON array; each malformed one
+    is named by its place, from 0.
+    """
+    metadata = F.col("metadata")
+    part = lambda r, path: F.coalesce(F.get_json_object(r, f"$.{path}"), F.lit(""))
+    malformed = lambda r: reduce(or_, [part(r, p) == "" for p in M.RELATIONSHIP_PARTS])
+    entries = F.coalesce(F.from_json("relationships", "array<string>"), F.array().cast("array<string>"))
+    shapes = F.transform(entries, lambda r, i: F.when(malformed(r), F.concat(F.lit("Invalid relationship structure at index "), i.cast("string"))))
+    shot = F.col("source").isin(*shown) & (F.coalesce("screenshot_url", F.lit("")) != "")
+    single = [
+        *[F.when(F.col(c).isNull(), f"Missing required field: {c}") for c in REQUIRED],
+        F.when(~(T.is_json(metadata) & metadata.rlike(r"^\s*[{\[]")), "metadata must be type object"),
+        F.when(~F.coalesce(F.col("source").isin(*valid_sources), F.lit(False)), F.concat(F.lit("Invalid source: "), F.coalesce("source", F.lit("")))),
+        F.when(~F.coalesce(F.col("type").isin(*[t for ts in TYPES.values() for t in ts]), F.lit(False)), F.concat(F.lit("Invalid type: "), F.coalesce("type", F.lit("")))),
+        F.when(~F.coalesce(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+"), F.lit(False)), "Invalid URL format"),
+        F.when(shot & ~F.startswith("screenshot_url", F.lit("https://")), "Screenshot URL must be HTTPS"),
+        F.when(shot & ~F.contains(F.col("screenshot_url"), F.lit("/screenshots/")), "Invalid screenshot URL path format"),
+    ]
+    return F.array_compact(F.concat(F.array(*single), shapes))
+
+
+def item_warnings() -> Column:
+    placed = (F.coalesce("latitude", F.lit(0.0)) != 0) | (F.coalesce("longitude", F.lit(0.0)) != 0)
+    return F.array_compact(F.array(F.when((F.coalesce("location", F.lit("")) == "") & placed, "Location missing but coordinates present")))
+
+
+@query(
+    "item_errors_G19",
+    rf"""WITH {ITEMS_SQL}, i AS (SELECT * REPLACE ({", ".join(f"{e} AS {c}" for c, e in _PLANTED.items())}) FROM items),
+    v AS (SELECT id, list_filter(list_concat([{", ".join(f"CASE WHEN {c} IS NULL THEN 'Missing required field: {c}' END" for c in REQUIRED)},
+        CASE WHEN NOT (json_valid(metadata) AND regexp_matches(metadata, '^\s*[{{\[]')) THEN 'metadata must be type object' END,
+        CASE WHEN source NOT IN ({", ".join(f"'{s}'" for s in TYPES)}) THEN 'Invalid source: ' || source END, CASE WHEN type NOT IN ({_TYPES}) THEN 'Invalid type: ' || type END,
+        CASE WHEN NOT coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+'), FALSE) THEN 'Invalid URL format' END,
+        CASE WHEN source = 'pinboard' AND screenshot_url NOT LIKE 'https://%' THEN 'Screenshot URL must be HTTPS' END, CASE WHEN source = 'pinboard' AND NOT contains(screenshot_url, '/screenshots/') THEN 'Invalid screenshot URL path format' END],
+        list_transform(relationships::JSON::JSON[], lambda r, n: CASE WHEN {_SHAPE} THEN 'Invalid relationship structure at index ' || (n - 1) END)), lambda e: e IS NOT NULL) AS errors,
+        CASE WHEN location IS NULL AND (coalesce(latitude, 0) <> 0 OR coalesce(longitude, 0) <> 0) THEN ['Location missing but coordinates present'] ELSE [] END AS warnings FROM i)
+    SELECT id, array_to_string(errors, '|') AS errors, array_to_string(warnings, '|') AS warnings, len(errors) = 0 AS passed FROM v""",
+)
+def item_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = items(spark, sf_dir, "url").withColumns({c: F.expr(e) for c, e in _PLANTED.items()})
+    told = planted.select("id", item_errors().alias("errors"), item_warnings().alias("warnings"))
+    return told.select("id", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), (F.size("errors") == 0).alias("passed"))

@@ -143,3 +143,15 @@ def discovery_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     return R.by_tags(seeds(i), i, AS_OF).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"), M.strength(F.avg(F.col("overlap") / 10.0)).alias("strength"))
+
+
+@query(
+    "tag_draft_Q3",
+    f"""WITH {ITEMS_SQL}, pairs AS (SELECT s.id AS seed_id, i.id, i.published_at, len(list_intersect(i.concept_tags, s.concept_tags))::BIGINT AS overlap
+        FROM (SELECT id, concept_tags FROM items WHERE id % 50 = 0) s JOIN items i ON i.id <> s.id AND list_has_any(i.concept_tags, s.concept_tags) WHERE i.{WINDOW}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY overlap DESC, published_at DESC, id) AS rank FROM pairs) SELECT seed_id, id, overlap, rank::INTEGER AS rank FROM r WHERE rank <= 50""",
+)
+def tag_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 recent items that share most tags with a seed, tags as sets, one of them being enough."""
+    i = items(spark, sf_dir).select("id", "published_at", F.col("concept_tags").alias("tags"))
+    return R.by_tags(seeds(i), i, AS_OF, least=1).select("seed_id", "id", "overlap", "rank")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -88,3 +92,54 @@ def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [F.nullif(F.col(c), F.lit("")) for c in ("title", "summary", "location", "url")]
     return items(spark, sf_dir, "summary", "url").select("id", F.length(F.concat_ws("\n\n", *fields)).cast("long").alias("chars"))
+
+
+@query("prefix_P9", f"WITH {ITEMS_SQL} SELECT source, count(*) AS n, count(*) FILTER (WHERE metadata LIKE '{{%') AS braced FROM items WHERE item_id LIKE 'pinboard-%' OR location LIKE 'Place 1%' GROUP BY source")
+def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = items(spark, sf_dir).where(F.startswith("item_id", F.lit("pinboard-")) | F.coalesce(F.startswith("location", F.lit("Place 1")), F.lit(False)))
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.startswith("metadata", F.lit("{"))).alias("braced"))
+
+
+def truthy(df: DataFrame, c: str) -> Column:
+    """Whether a value counts as one: no null, no empty string, no false, no zero and no NaN; an array or struct always does."""
+    kind = df.schema[c].dataType.typeName()
+    column = F.col(c)
+    if kind in ("float", "double"):
+        return F.coalesce((column != 0) & ~F.isnan(column), F.lit(False))
+    there = column != "" if kind == "string" else column if kind == "boolean" else column != 0 if kind in ("byte", "short", "integer", "long", "decimal") else column.isNotNull()
+    return F.coalesce(there, F.lit(False))
+
+
+_TRUTHY = {
+    "title": "coalesce(title, '') <> ''", "summary": "coalesce(summary, '') <> ''", "shared": "coalesce(shared, FALSE)", "latitude": "latitude IS NOT NULL AND latitude <> 0 AND NOT isnan(latitude)",
+    "n": "coalesce(n, 0) <> 0", "tags": "tags IS NOT NULL", "created_at": "created_at IS NOT NULL",
+}
+_VALUES = {"n": "id % 9", "latitude": "CASE WHEN id % 23 = 0 THEN {nan} WHEN id % 23 = 1 THEN 0.0e0 ELSE latitude END"}
+
+
+@query(
+    "truthy_P16",
+    f"""WITH {ITEMS_SQL}, v AS (SELECT * REPLACE ({_VALUES["latitude"].format(nan="'NaN'::DOUBLE")} AS latitude), {_VALUES["n"]} AS n FROM items)
+    SELECT id, concat_ws('|', {", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _TRUTHY.items())}) AS there FROM v""",
+)
+def truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = items(spark, sf_dir, "summary").withColumns({c: F.expr(e.format(nan="double('NaN')")) for c, e in _VALUES.items()})
+    return v.select("id", F.concat_ws("|", *[F.when(truthy(v, c), c) for c in _TRUTHY]).alias("there"))
+
+
+@query(
+    "search_terms_or_short_id_P14",
+    rf"""WITH {ITEMS_SQL}, s AS (SELECT id, created_at, string_split_regex(lower(coalesce(title, '') || ' ' || coalesce(content, '')), '[^\pL\pN]+') AS words, 'x' || (id % 97) AS short_id FROM items)
+    SELECT DISTINCT id, created_at FROM s WHERE (list_contains(words, 'the') AND list_contains(words, 'x50')) OR (list_contains(words, 'tion') AND list_contains(words, 'the')) OR short_id = 'x50' ORDER BY created_at DESC, id LIMIT 20""",
+)
+def search_short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = items(spark, sf_dir).select("id", "created_at", F.concat_ws(" ", "title", "content").alias("text"), F.concat(F.lit("x"), (F.col("id") % 97).cast("string")).alias("short_id"))
+    found = s.where(all_terms(F.col("text"), "the x50!") | all_terms(F.col("text"), "tion, the") | all_terms(F.col("short_id"), "x50"))
+    return found.select("id", "created_at").distinct().orderBy(F.col("created_at").desc(), "id").limit(20)
+
+
+def all_terms(text: Column, asked: str) -> Column:
+    """Whether ``text`` has all words of ``asked``, in any case; signs in ``asked`` that no word has go. Without words nothing is found."""
+    words = re.sub(r"[^\w\s]", "", asked, flags=re.ASCII).lower().split()
+    have = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.coalesce(reduce(and_, [F.array_contains(have, w) for w in words]), F.lit(False)) if words else F.lit(False)

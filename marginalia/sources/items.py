@@ -155,29 +155,6 @@ def statuses(df: DataFrame) -> DataFrame:
     )
 
 
-def repositories(df: DataFrame) -> DataFrame:
-    """Items of landed repository records: id, html_url, name, title, description, body, topics, language, state, private, fork, type."""
-    filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    facets = F.array(filled("language"), filled("type"), filled("state"), F.when(F.col("private"), "private").otherwise("public"), F.when(F.col("fork"), "fork"))
-    return df.select(
-        F.concat(F.lit("github-"), "id").alias("item_id"), F.lit("github").alias("source"), "type", F.col("html_url").alias("url"),
-        F.coalesce(filled("title"), filled("name")).alias("title"), F.coalesce(filled("body"), filled("description"), F.lit("")).alias("content"),
-        F.array_distinct(F.array_compact(F.concat(F.coalesce("topics", F.array().cast("array<string>")), facets))).alias("tags"),
-    )
-
-
-def blocks(df: DataFrame) -> DataFrame:
-    """Items of landed blocks: id, class, base_class, title, generated_title, description, content, source_url, image_url."""
-    filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    text = F.when(F.col("class") == "Text", F.coalesce(filled("content"), filled("description"))).otherwise(F.coalesce(filled("description"), filled("content")))
-    return df.select(
-        F.concat(F.lit("arena-"), "id").alias("item_id"), F.lit("arena").alias("source"), F.lit("block").alias("type"),
-        F.coalesce(filled("source_url"), filled("image_url"), F.concat(F.lit("https://www.are.na/block/"), "id")).alias("url"),
-        F.coalesce(filled("title"), filled("generated_title"), F.lit("Untitled")).alias("title"), F.coalesce(text, F.lit("")).alias("content"),
-        F.array_distinct(F.array_compact(F.array("class", "base_class"))).alias("tags"),
-    )
-
-
 def merged_fetch(recent: DataFrame, cache: DataFrame, key: str = "hash") -> DataFrame:
     """Recent rows and those of the cache that they don't replace."""
     return recent.unionByName(cache.join(recent.select(key), key, "left_anti"))

@@ -121,12 +121,6 @@ def test_mappers(spark):
     s = spark.createDataFrame([("1", "u", "<p>Hi</p><p>there</p>", "2024-01-01T00:00:00Z", None, ["Art"], "public")], "id string, url string, content string, created_at string, edited_at string, tags array<string>, visibility string")
     row = I.statuses(s).first()
     assert (row["content"], row["tags"], row["updated_at"]) == ("Hi there", ["art", "public"], row["created_at"])
-    g = spark.createDataFrame([("9", "u", "n", "", "d", None, ["x"], "Go", "open", False, True, "repo")], "id string, html_url string, name string, title string, description string, body string, topics array<string>, language string, state string, private boolean, fork boolean, type string")
-    row = I.repositories(g).first()
-    assert (row["title"], row["content"], row["tags"]) == ("n", "d", ["x", "Go", "repo", "open", "public", "fork"])
-    a = spark.createDataFrame([("5", "Text", "Block", None, "gen", None, "body", None, None)], "id string, class string, base_class string, title string, generated_title string, description string, content string, source_url string, image_url string")
-    row = I.blocks(a).first()
-    assert (row["title"], row["content"], row["tags"]) == ("gen", "body", ["Text", "Block"])
     tries = spark.createDataFrame([("u", 1, "x" * 10), ("u", 2, "y" * 600), ("u", 3, "z" * 900), ("v", 1, "ab"), ("v", 2, "cd")], "url string, tier int, content string")
     assert {r["url"]: r["tier"] for r in I.best_extraction(tries).collect()} == {"u": 2, "v": 1}
     assert I.merged_fetch(b, b.withColumn("description", F.lit("old")).unionByName(b.withColumn("hash", F.lit("k")))).count() == 2
