@@ -74,12 +74,11 @@ def tag_overlaps(seeds: DataFrame, items: DataFrame, as_of: str, days: int = DAY
     has are left behind before anything is shuffled, and a tag of very many items is dealt over as many salts as its
     count asks for. Items' tags are made once, and travel to the pairs that met, not with each tag.
     """
-    held = stored(recent(items, as_of, days).select("id", "published_at", "tags"), name="tags")
+    repeats = F.size("tags") > F.size(F.array_distinct("tags"))  # written too: evaluated once an item, not once a tag
+    held = stored(recent(items, as_of, days).select("id", "published_at", "tags", repeats.alias("repeats")), name="tags")
     own = stored(seeds.select(F.col("id").alias("seed_id"), F.array_distinct("tags").alias("seed_tags")), name="seeds")
     each = own.select("seed_id", F.explode("seed_tags").alias("tag"))
-    repeats = F.size("tags") > F.size(F.array_distinct("tags"))
-    times = F.when(repeats, F.transform(F.array_distinct("tags"), lambda t: F.size(F.filter("tags", lambda x: x == t)))).otherwise(F.array_repeat(F.lit(1), F.size("tags")))
-    met = held.select("id", repeats.alias("repeats"), F.explode(F.arrays_zip(F.array_distinct("tags").alias("tag"), times.alias("times"))).alias("t")).select("id", "repeats", "t.tag", "t.times")
+    met = held.select("id", "repeats", F.explode("tags").alias("tag"))  # a repeated tag is a row each time
     met = met.join(small(each.select("tag").distinct()), "tag", "left_semi")
     counted = stored(met.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), name="counts")
     by_count = F.array_sort(F.collect_list(F.struct("n", "tag")))
@@ -92,11 +91,12 @@ def tag_overlaps(seeds: DataFrame, items: DataFrame, as_of: str, days: int = DAY
     hot = counted.where(F.col("n") > ROWS_A_SALT).select("tag", salts.alias("salts"))
     met = met.join(F.broadcast(hot), "tag", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     pairs = asked.join(met, ["tag", "salt"]).where((F.col("id") != F.col("seed_id")) & (F.col("rare") | F.col("repeats")))
-    pairs = pairs.groupBy("seed_id", "id").agg(F.sum("times").alias("shared"), F.max("repeats").alias("repeats"))
+    pairs = pairs.groupBy("seed_id", "id").agg(F.count(F.lit(1)).alias("shared"), F.max("repeats").alias("repeats"))
     # what pairs didn't meet by: the seed's most frequent tags, ``least`` - 1 of them
     common = F.transform(F.filter("all", lambda t, i: i >= F.size("all") - (least - 1)), lambda t: t["tag"])
-    scored = pairs.join(small(ordered.select("seed_id", common.alias("common"))), "seed_id").join(held, "id")
-    more = F.when(F.col("repeats"), 0).otherwise(F.size(F.array_intersect("common", "tags")))
+    scored = pairs.join(small(ordered.select("seed_id", common.alias("common"))), "seed_id").join(held.drop("repeats"), "id")
+    has = lambda i: F.coalesce(F.array_contains("tags", F.get("common", F.lit(i))), F.lit(False)).cast("int")
+    more = F.when(F.col("repeats"), 0).otherwise(sum((has(i) for i in range(least - 1)), F.lit(0)))
     return scored.select("seed_id", "id", "published_at", (F.col("shared") + more).cast("long").alias("overlap")).where(F.col("overlap") >= least)
 
 
