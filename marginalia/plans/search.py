@@ -143,3 +143,36 @@ def all_terms(text: Column, asked: str) -> Column:
     words = re.sub(r"[^\w\s]", "", asked, flags=re.ASCII).lower().split()
     have = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     return F.coalesce(reduce(and_, [F.array_contains(have, w) for w in words]), F.lit(False)) if words else F.lit(False)
+
+
+#: Members of an item's metadata that may hold its text or address, in the order in which they are joined.
+TEXT_MEMBERS, URL_MEMBERS = ("description", "content", "original_content", "text"), ("url", "original_url")
+#: Metadata with such members, which the test tables lack, in words that Spark and DuckDB share; and a description.
+_HELD = {
+    "description": "CASE WHEN id % 3 = 0 THEN title WHEN id % 3 = 1 THEN '' END", "content": "CASE WHEN id % 4 = 0 THEN content END", "original_content": "CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN content END",
+    "text": "CASE WHEN id % 7 = 0 THEN '\"q\" ' || item_id END", "url": "CASE WHEN id % 2 = 0 THEN url END", "original_url": "CASE WHEN id % 6 = 0 THEN 'https://example.org/' || id END",
+}
+_DESCRIBED = "CASE WHEN id % 8 = 0 THEN '' WHEN id % 8 = 1 THEN 'About ' || item_id END"
+_FIELDS = ["content", "description", "title", *[f"json_extract_string(held, '$.{m}')" for m in TEXT_MEMBERS], "url", *[f"json_extract_string(held, '$.{m}')" for m in URL_MEMBERS]]
+
+
+def content_to_process(metadata: Column) -> Column:
+    """All that an item says: content, description, title, texts of its metadata, url and addresses of its metadata; empty ones are left out.
+
+    ``metadata`` is JSON; one that is none, or a member that isn't there, says nothing.
+    """
+    parsed = T.parsed_json(metadata)
+    member = lambda m: F.try_variant_get(parsed, f"$.{m}", "string")
+    fields = [F.col("content"), F.col("description"), F.col("title"), *map(member, TEXT_MEMBERS), F.col("url"), *map(member, URL_MEMBERS)]
+    return F.concat_ws("\n\n", *[F.nullif(f, F.lit("")) for f in fields])
+
+
+@query(
+    "content_to_process_P22",
+    f"""WITH {ITEMS_SQL}, m AS (SELECT id, content, title, url, {_DESCRIBED} AS description, CASE WHEN id % 41 <> 0 THEN json_object({", ".join(f"'{k}', {e}" for k, e in _HELD.items())}) END AS held FROM items)
+    SELECT id, concat_ws(chr(10) || chr(10), {", ".join(f"nullif({f}, '')" for f in _FIELDS)}) AS told FROM m""",
+)
+def to_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.to_json(F.struct(*[F.expr(e).alias(k) for k, e in _HELD.items()]))
+    i = items(spark, sf_dir, "url").withColumns({"held": F.when(F.col("id") % 41 == 0, "{broken").otherwise(held), "description": F.expr(_DESCRIBED)})
+    return i.select("id", content_to_process(F.col("held")).alias("told"))
