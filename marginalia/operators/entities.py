@@ -1,8 +1,9 @@
 """Which entity of a knowledge base a name stands for: candidates by blocking, scores, tiers, and the details of the choice.
 
-Names and labels meet by their rarest words only: of two texts of which one holds the other's words, the one with fewer words has
-its rarest word in the other. Copies of a name are asked once, and a word of very many labels is dealt over salts. So every
-candidate that shares all its words, or has all of a name's, is scored, without comparing all with all.
+Names and labels meet as sets of words, each set once: a set lies within another of few words if it equals one of the other's
+subsets, and within one of many words if its rarest word is there. So every candidate that shares all its words, or has all of
+a name's, is found without comparing all with all. Names alike in what a score reads are scored once, against labels alike in
+it, of which the least id stands for the others: copies make no pairs of rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ JUNK = (
 #: Scores from which a candidate is taken unseen, from which it is worth asking, and the confidence of an answer that is taken; links that a little known entity lacks.
 SURE, WORTH_ASKING, LEAST_CONFIDENCE, KNOWN = 0.75, 0.1, 0.6, 5
 
-ROWS_A_SALT = 10_000
+#: Sets of a word that share a salt; words of a set whose subsets are made.
+ROWS_A_SALT, SUBSETS = 10_000, 6
 
 
 def junk(name: Column) -> Column:
@@ -45,8 +47,8 @@ def junk(name: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """The distinct words of a name: letters and digits, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    """The distinct words of a name, in order: letters and digits, in lower case."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
 
 
 def right_kind(kind: Column, instance_of: Column) -> Column:
@@ -59,49 +61,85 @@ def right_kind(kind: Column, instance_of: Column) -> Column:
 
 
 def score(name: Column, kind: Column, c: str = "c") -> Column:
-    """The score of candidate struct ``c`` for a name, within 0 and 1; copes with missing members."""
+    """The score of candidate struct ``c`` (label, aliases, instance_of, sitelinks, described) for a name, within 0 and 1; copes with missing members."""
     get = lambda x: F.col(f"{c}.{x}")
     fits = right_kind(kind, get("instance_of"))
     same = F.lower(F.trim(name))
     aliased = F.coalesce(F.exists(get("aliases"), lambda a: F.lower(F.trim(a)) == same), F.lit(False))
     points = candidate_points(name, get("label"), kind, F.coalesce(fits, F.lit(False)), get("sitelinks"), F.lower(F.trim(get("label"))) == same)
-    more = F.when(fits.isNull(), 0.1).otherwise(0.0) + F.when(aliased, 0.1).otherwise(0.0) + F.when(F.length(F.coalesce(get("description"), F.lit(""))) > 10, 0.05).otherwise(0.0)
+    more = F.when(fits.isNull(), 0.1).otherwise(0.0) + F.when(aliased, 0.1).otherwise(0.0) + F.when(get("described"), 0.05).otherwise(0.0)
     return M.clamped(points + more, 0.0, 1.0)
 
 
+def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner, outer: which sets of words lie within which. Both are written tables of distinct sets, as ``words`` makes them."""
+    few = F.size("outer") <= SUBSETS
+    each = F.expr("transform(sequence(1, shiftleft(1, size(outer)) - 1), m -> filter(outer, (w, i) -> (shiftright(m, i) & 1) = 1))")
+    by_subset = inner.join(outer.where(few).select("outer", F.explode(each).alias("inner")), "inner").select("inner", "outer")
+    many = outer.where(~few)
+    counts = stored(many.select(F.explode("outer").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), name="counts")
+    # a set's word that the fewest of the others have; one that none has comes before all
+    asked = inner.select("inner", F.explode("inner").alias("word")).join(small(counts), "word", "left").fillna(0, ["n"])
+    rarest = asked.groupBy("inner").agg(F.min(F.struct("n", "word")).alias("r")).select("inner", "r.*").where(F.col("n") > 0)
+    salts = F.ceil(F.col("n") / ROWS_A_SALT).cast("int")
+    rarest = rarest.select("inner", "word", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    held = many.select("outer", F.explode("outer").alias("word")).join(small(counts), "word")
+    held = held.select("outer", "word", F.pmod(F.xxhash64("outer"), salts).cast("int").alias("salt"))
+    by_word = rarest.join(held, ["word", "salt"]).where(F.size(F.array_except("inner", "outer")) == 0)
+    return by_subset.unionByName(by_word.select("inner", "outer"))
+
+
+def met(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """asked, held: the distinct sets of words of names (asked) and labels (held) of which one lies within the other; a written table."""
+    asked = stored(names.select("asked").where(F.size("asked") > 0).distinct(), name="names")
+    held = stored(texts.select("held").where(F.size("held") > 0).distinct(), name="labels")
+    narrow = within(asked.select(F.col("asked").alias("inner")), held.select(F.col("held").alias("outer"))).toDF("asked", "held")
+    wide = within(held.select(F.col("held").alias("inner")), asked.select(F.col("asked").alias("outer"))).toDF("held", "asked")
+    return stored(narrow.unionByName(wide.where(F.col("asked") != F.col("held"))), name="met")
+
+
+def texts_of(label: Column, aliases: Column) -> Column:
+    """The distinct sets of words of a known entity's label and aliases."""
+    names = F.array_compact(F.concat(F.array(label), F.coalesce(aliases, F.array().cast("array<string>"))))
+    return F.array_distinct(F.filter(F.transform(names, words), lambda s: F.size(s) > 0))
+
+
 def candidates(entities: DataFrame, known: DataFrame) -> DataFrame:
     """entity, name, kind, qid: known entities of which a label or alias holds all words of a name, or the other way round.
 
-    ``entities``: entity, name, kind. ``known``: qid, label, aliases.
+    ``entities``: entity, name, kind. ``known``: qid, label, aliases. A row a pair: ``candidate_counts`` counts without them.
     """
-    texts = stored(
-        known.select("qid", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))))).alias("text"))
-        .select("qid", words(F.col("text")).alias("held")).where(F.size("held") > 0).distinct(), name="labels",
-    )
-    names = stored(entities.select(words(F.col("name")).alias("asked")).where(F.size("asked") > 0).distinct(), name="names")
-    counts = stored(texts.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), name="counts")
-
-    def rarest(df: DataFrame, column: str, *keep: str) -> DataFrame:
-        """Each row's word that the fewest labels have (of several the first); words that none has come before all."""
-        each = df.select(*keep, column, F.explode(column).alias("word")).join(small(counts), "word", "left").fillna(0, ["n"])
-        return each.groupBy(*keep, column).agg(F.min(F.struct("n", "word")).alias("r")).select(*keep, column, F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-
-    salts = F.ceil(F.greatest(F.col("n"), F.lit(1)) / ROWS_A_SALT).cast("int")
-    every = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
-    dealt = lambda what: F.pmod(F.xxhash64(*what), salts).cast("int").alias("salt")
-    word_counts = counts.select("word", "n")
-    # a name's rarest word among the words of labels
-    own = rarest(names, "asked").where(F.col("n") > 0).select("asked", "word", every)
-    theirs = texts.select("qid", "held", F.explode("held").alias("word")).join(small(own.select("word").distinct()), "word", "left_semi").join(small(word_counts), "word")
-    first = own.join(theirs.select("qid", "held", "word", dealt(["qid", "held"])), ["word", "salt"])
-    # a label's rarest word among the words of names: labels alike in words are one
-    rare = rarest(texts.select("held").distinct(), "held").select("held", "word", every)
-    asked = names.select("asked", F.explode("asked").alias("word")).join(small(word_counts), "word")
-    second = asked.select("asked", "word", dealt(["asked"])).join(rare, ["word", "salt"]).select("asked", "held").distinct().join(texts, "held")
-    met = first.select("asked", "held", "qid").unionByName(second.select("asked", "held", "qid"))
-    inside = (F.size(F.array_except("asked", "held")) == 0) | (F.size(F.array_except("held", "asked")) == 0)
-    pairs = met.where(inside).select("asked", "qid").distinct()
-    return entities.select("entity", "name", "kind", words(F.col("name")).alias("asked")).join(pairs, "asked").drop("asked")
+    named = entities.select("entity", "name", "kind", words(F.col("name")).alias("asked"))
+    texts = stored(known.select("qid", F.explode(texts_of(F.col("label"), F.col("aliases"))).alias("held")).distinct(), name="texts")
+    pairs = met(named, texts).join(texts, "held").select("asked", "qid").distinct()
+    return named.join(pairs, "asked").drop("asked")
+
+
+def candidate_counts(entities: DataFrame, known: DataFrame) -> DataFrame:
+    """entity, n, first for each row of ``entities`` that has ``candidates``: how many, and the least qid. Copies are counted, not paired."""
+    named = entities.select("entity", words(F.col("name")).alias("asked"))
+    held = known.select("qid", F.explode(texts_of(F.col("label"), F.col("aliases"))).alias("held"))
+    # known entities with the same sets of words are found by the same names
+    alike = held.groupBy("qid").agg(F.sort_array(F.collect_set("held")).alias("sets")).groupBy("sets").agg(F.count(F.lit(1)).alias("n"), F.min("qid").alias("first"))
+    alike = stored(alike.select("*", F.monotonically_increasing_id().alias("nr")), name="alike")
+    texts = alike.select("nr", "n", "first", F.explode("sets").alias("held"))
+    pairs = met(named, texts).join(texts, "held").select("asked", "nr", "n", "first").distinct()
+    return named.join(pairs.groupBy("asked").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "asked").select("entity", "n", "first")
+
+
+def best_candidates(names: DataFrame, known: DataFrame) -> DataFrame:
+    """low, kind, b (score, sitelinks, qid): of each name (low: trimmed, in lower case; kind) the best candidate.
+
+    Known entities that are alike in all that a score reads are one, by the least qid of theirs.
+    """
+    text, lower = F.col("label"), F.lower(F.trim("label"))
+    described = F.length(F.coalesce("description", F.lit(""))) > 10
+    rows = known.where(F.col("qid").isNotNull()).select("qid", lower.alias("label"), "aliases", "instance_of", "sitelinks", described.alias("described"), texts_of(text, F.col("aliases")).alias("sets"))
+    alike = rows.groupBy("label", "aliases", "instance_of", "sitelinks", "described", "sets").agg(F.min("qid").alias("qid"))
+    texts = stored(alike.select("qid", F.struct("label", "aliases", "instance_of", "sitelinks", "described").alias("c"), F.explode("sets").alias("held")), name="texts")
+    asked = stored(names.select("low", "kind", words(F.col("low")).alias("asked")).distinct(), name="asked")
+    scored = asked.join(met(asked, texts), "asked").join(texts, "held").withColumn("score", F.round(score(F.col("low"), F.col("kind")), 9))
+    return scored.groupBy("low", "kind").agg(F.min(F.struct(-F.col("score"), -F.col("c.sitelinks"), "qid", "score", F.col("c.sitelinks").alias("sitelinks"))).alias("b"))
 
 
 def resolved(entities: DataFrame, known: DataFrame, answers: DataFrame) -> DataFrame:
@@ -113,13 +151,11 @@ def resolved(entities: DataFrame, known: DataFrame, answers: DataFrame) -> DataF
     """
     low = F.lower(F.trim("name"))
     skip = F.when(junk(F.col("name")), "skipped_junk").when(low.isin(*BLOCKED), "skipped_blocklist")
-    e = stored(entities.select("entity", "name", "kind", skip.alias("skip")), name="entities")
-    pairs = candidates(e.where("skip IS NULL"), known)
-    detail = known.select("qid", F.struct("qid", "label", "description", "aliases", "instance_of", "sitelinks").alias("c"))
-    scored = pairs.join(detail, "qid").withColumn("score", F.round(score(F.col("name"), F.col("kind")), 9))
-    best = scored.groupBy("entity").agg(F.min(F.struct(-F.col("score"), -F.col("c.sitelinks"), "qid", "score", "c")).alias("b"))
-    d = e.join(best, "entity", "left").join(answers.select("entity", F.col("qid").alias("answer"), F.col("confidence").alias("sure"), F.lit(True).alias("asked")), "entity", "left")
-    unseen = (F.col("b.score") >= SURE) & (F.col("kind") != "Person") & (F.coalesce("b.c.sitelinks", F.lit(0)) >= KNOWN)
+    # kind as a key of joins: null and empty are scored alike
+    e = stored(entities.select("entity", "name", "kind", low.alias("low"), F.coalesce("kind", F.lit("")).alias("of"), skip.alias("skip")), name="entities")
+    best = best_candidates(e.where("skip IS NULL").select("low", F.col("of").alias("kind")), known).withColumnRenamed("kind", "of")
+    d = e.join(best, ["low", "of"], "left").join(answers.select("entity", F.col("qid").alias("answer"), F.col("confidence").alias("sure"), F.lit(True).alias("asked")), "entity", "left")
+    unseen = (F.col("b.score") >= SURE) & (F.col("kind") != "Person") & (F.coalesce("b.sitelinks", F.lit(0)) >= KNOWN)
     heard = F.coalesce("asked", F.lit(False)) & (F.col("b.score") > WORTH_ASKING)
     accepted = heard & F.col("answer").isNotNull() & F.coalesce(F.col("sure") >= LEAST_CONFIDENCE, F.lit(False))
     method = (
@@ -129,7 +165,9 @@ def resolved(entities: DataFrame, known: DataFrame, answers: DataFrame) -> DataF
     d = d.withColumn("method", method)
     qid = F.when(F.col("method") == "heuristic", F.col("b.qid")).when(F.col("method") == "llm", F.col("answer"))
     confidence = F.when(F.col("method") == "heuristic", F.col("b.score")).when(F.col("method") == "llm", F.col("sure")).otherwise(0.0)
-    d = d.select("entity", qid.alias("qid"), confidence.alias("confidence"), "method", F.col("b.score").alias("best"))
+    d = d.select("entity", "low", qid.alias("qid"), confidence.alias("confidence"), "method", F.col("b.score").alias("best"))
     # an answer's details only if it is one of the candidates
-    described = scored.select("entity", "qid", F.col("c.label").alias("label"), F.col("c.description").alias("description"))
-    return d.join(described, ["entity", "qid"], "left").select("entity", "qid", "label", "description", "confidence", "method", "best")
+    detail = known.select(F.col("qid").alias("known"), "label", "description", texts_of(F.col("label"), F.col("aliases")).alias("sets"))
+    own = words(F.col("low"))
+    inside = F.exists("sets", lambda s: (F.size(F.array_except(own, s)) == 0) | (F.size(F.array_except(s, own)) == 0)) & (F.size(own) > 0)
+    return d.join(detail, (F.col("qid") == F.col("known")) & inside, "left").select("entity", "qid", "label", "description", "confidence", "method", "best")

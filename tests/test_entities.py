@@ -46,3 +46,25 @@ def test_tiers(spark):
 def test_query_takes_most_tiers(spark, sf_dir):
     methods = {r["method"] for r in P.resolve(spark, sf_dir).select("method").distinct().collect()}
     assert {"skipped_junk", "skipped_blocklist", "llm", "llm_low_confidence", "llm_rejected", "below_threshold"} <= methods
+
+
+def test_copies_of_a_name_make_no_pairs_of_rows(spark):
+    n = 3000
+    names = spark.range(n).selectExpr("id AS entity", "'Blue Lake' AS name", "'Tool' AS kind")
+    known = spark.range(n).selectExpr("concat('Q', id) AS qid", "'blue lake' AS label", "CAST(NULL AS string) AS description", "array('Lake', 'the blue lake that all of a long name holds') AS aliases", "array('Q7397') AS instance_of", "60L AS sitelinks")
+    counts = E.candidate_counts(names, known)
+    assert {(r["n"], r["first"]) for r in counts.collect()} == {(n, "Q0")} and counts.count() == n
+    answers = spark.createDataFrame([], "entity long, qid string, confidence double")
+    before = written(spark)
+    got = E.resolved(names, known, answers)
+    assert {(r["method"], r["qid"]) for r in got.select("method", "qid").distinct().collect()} == {("below_threshold", None)}
+    assert written(spark) - before < 50 * n  # n * n pairs before
+
+
+def written(spark):
+    """Bytes that shuffles of this session have written so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False).iterator()
+    total = 0
+    while found.hasNext():
+        total += found.next().totalShuffleWrite()
+    return total
