@@ -123,3 +123,20 @@ def test_groups_need_few_cells_and_hot_ones_are_cut(spark, tmp_path):
     ties = {(r["seed_id"], r["id"]): r["similarity"] for r in exact.collect()}
     assert (0, 904) in ties and abs(ties[0, 904] - 1) < 1e-9
     assert ivf.similar(seeds, ivf.build(df.limit(0)), I.after()).count() == 0
+
+
+def test_pairs_of_frequent_tags_are_counted_without_being_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_TAGS", 50)
+    rng = random.Random(4)
+    data = [(i, ["hot", "warm", *rng.choices("abcdef", k=rng.randint(0, 5))], rng.choice(["2024-01-20", "2024-01-21"])) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, tags array<string>, d string").withColumn("published_at", F.col("d").cast("timestamp_ntz"))
+    pairs = {}
+    for s, own, _ in data[::10]:
+        for i, tags, d in data:
+            if i != s:
+                pairs.setdefault(s, []).append((-sum(t in own for t in tags), -int(d[-2:]), i, "|".join(sorted(set(own) & set(tags)))))
+    seeds = df.where("id % 10 = 0")
+    best = {(r["seed_id"], r["rank"]): (r["id"], r["overlap"]) for r in R.by_tags(seeds, df, AS_OF, 3).collect()}
+    assert best == {(s, k + 1): (p[2], -p[0]) for s, found in pairs.items() for k, p in enumerate(sorted(found)[:3])}
+    assert {tuple(r) for r in R.overlap_sums(seeds, df, AS_OF).collect()} == {(s, len(found), -sum(p[0] for p in found)) for s, found in pairs.items()}
+    assert {tuple(r) for r in R.shared_tags(seeds, df, AS_OF).collect()} == {(s, p[2], p[3]) for s, found in pairs.items() for p in found}
