@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import running_totals
@@ -23,23 +24,37 @@ from ..operators.folds import running_totals
 NEVER, DAY = -(2**62), 86_400_000_000
 
 
-def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The stretches of rows with equal ``keys`` of a sorted partition, each whole."""
+def runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """The stretches of rows with equal ``keys`` of a sorted partition, each whole: their keys and ``columns``."""
     now, held = None, []
+    whole = lambda: [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*held)]
     for frame in frames:
         if not len(frame):
             continue
-        columns = [frame[k].to_numpy() for k in keys]
-        starts = np.flatnonzero(np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in columns]))
+        own, rest = [frame[k].to_numpy() for k in keys], [frame[c].to_numpy() for c in columns]
+        starts = np.flatnonzero(np.logical_or.reduce([np.append(True, c[1:] != c[:-1]) for c in own]))
         for a, b in zip(starts, np.append(starts[1:], len(frame))):
-            key = tuple(c[a] for c in columns)
+            key = tuple(c[a] for c in own)
             if key != now and held:
-                yield now, pd.concat(held) if len(held) > 1 else held[0]
+                yield now, whole()
                 held = []
             now = key
-            held.append(frame.iloc[a:b])
+            held.append([c[a:b] for c in rest])
     if held:
-        yield now, pd.concat(held) if len(held) > 1 else held[0]
+        yield now, whole()
+
+
+def in_frames(rows: Iterator[dict[str, list]], columns: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Lists of columns put together into frames of ``size`` rows or more, but for the last: a frame for each would cost more than its rows."""
+    held: dict[str, list] = {c: [] for c in columns}
+    for row in rows:
+        for c in columns:
+            held[c].extend(row[c])
+        if len(held[columns[0]]) >= size:
+            yield pd.DataFrame(held)
+            held = {c: [] for c in columns}
+    if held[columns[0]]:
+        yield pd.DataFrame(held)
 
 
 def walked(times: np.ndarray, least: int, gap: int) -> list[int]:
@@ -73,6 +88,11 @@ def chosen(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond:
     The first event of a key is chosen, or the first that comes so long after ``since`` (key, start: microseconds). Null
     keys and times take no part; repeated rows are events at the same time, of which one at most is chosen. ``tie`` is a long.
     """
+    return timed(df, key, time, tie, minutes, beyond, since).select(F.col("k").alias(key), F.col("tie").alias(tie))
+
+
+def timed(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond: bool = False, since: DataFrame | None = None) -> DataFrame:
+    """k, t (microseconds), tie of what ``chosen`` chooses."""
     gap = int(minutes * 60_000_000) + beyond
     size = max(DAY, gap)
     kind = df.select(key).schema[0].dataType.simpleString()
@@ -82,8 +102,8 @@ def chosen(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond:
     order = ["k", "block", "t", "tie"]
 
     def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = [(k, block, block_map(f["t"].to_numpy(), block * size, gap)) for (k, block), f in runs(frames, ["k", "block"])]
-        yield pd.DataFrame(made, columns=["k", "block", "steps"])
+        made = ({"k": [k], "block": [block], "steps": [block_map(t, block * size, gap)]} for (k, block), (t,) in runs(frames, ["k", "block"], ["t"]))
+        yield from in_frames(made, ["k", "block", "steps"], 1000)
 
     dealt = rows.repartition("k", "block").sortWithinPartitions(*order)
     made = dealt.select("k", "block", "t").mapInPandas(maps, f"k {kind}, block long, steps array<struct<upto:long,last:long>>")
@@ -98,32 +118,39 @@ def chosen(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond:
         return state(F.coalesce(hit["last"], s["last"]), F.concat(s["entries"], F.array(F.struct(b["block"].alias("block"), s["last"].alias("entry")))))
 
     entries = F.aggregate("blocks", state(start.cast("long"), F.array().cast("array<struct<block:long,entry:long>>")), step)["entries"]
-    begun = blocks.select("k", F.inline(entries)).select("k", "block", F.col("entry").alias("t"), F.lit(None).cast("long").alias("tie"), F.lit(0).alias("side"))
+    begun = blocks.select("k", F.inline(entries)).select("k", "block", F.col("entry").alias("t"), F.lit(0).cast("long").alias("tie"), F.lit(0).alias("side"))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (k, _), f in runs(frames, ["k", "block"]):
-            t, ties = f["t"].to_numpy(), f["tie"]
-            found = walked(t[1:], int(t[0]) + gap, gap)
-            if found:
-                yield pd.DataFrame({"k": [k] * len(found), "tie": ties.iloc[1:].iloc[found].astype("int64").to_numpy()})
+        def found() -> Iterator[dict[str, list]]:
+            for (k, _), (t, ties) in runs(frames, ["k", "block"], ["t", "tie"]):
+                at = walked(t[1:], int(t[0]) + gap, gap)
+                yield {"k": [k] * len(at), "t": t[1:][at].tolist(), "tie": ties[1:][at].tolist()}
+
+        yield from in_frames(found(), ["k", "t", "tie"])
 
     led = rows.withColumn("side", F.lit(1)).unionByName(begun).repartition("k", "block").sortWithinPartitions("k", "block", "side", "t", "tie")
-    return led.select("k", "block", "t", "tie").mapInPandas(walk, f"k {kind}, tie long").select(F.col("k").alias(key), F.col("tie").alias(tie))
+    return led.select("k", "block", "t", "tie").mapInPandas(walk, f"k {kind}, t long, tie long")
 
 
 def error_windows(df: DataFrame, key: str, time: str, tie: str, ok: str, minutes: float = 5) -> DataFrame:
     """key, tie, attempts, failures after each event: since the start of the window in which it falls.
 
     A window begins with a key's first event, and anew with the first success that comes more than ``minutes`` after it
-    began; that success counts for neither. ``tie`` tells events apart.
+    began; that success counts for neither. Repeated rows are events one after the other. ``tie`` is a long.
     """
-    since = df.groupBy(key).agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))).alias("start"))
-    resets = chosen(df.where(F.col(ok)), key, time, tie, minutes, beyond=True, since=since).withColumn("reset", F.lit(1).cast("long"))
-    told = df.select(key, time, tie, (~F.col(ok)).cast("long").alias("failed")).join(resets, [key, tie], "left").withColumn("reset", F.coalesce("reset", F.lit(0).cast("long")))
-    hour, order = F.date_trunc("hour", F.col(time)), [time, tie]
-    windows = running_totals(told.withColumn("tried", 1 - F.col("reset")), hour, order, "reset", "window", [key])
-    tried = running_totals(windows, hour, order, "tried", "attempts", [key, "window"])
-    return running_totals(tried, hour, order, "failed", "failures", [key, "window"]).select(key, tie, "attempts", "failures")
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    since = df.groupBy(key).agg(F.min(micros).alias("start"))
+    resets = timed(df.where(F.col(ok)), key, time, tie, minutes, beyond=True, since=since)
+    told = df.select(F.col(key).alias("k"), micros.alias("t"), F.col(tie).cast("long").alias("tie"), (~F.col(ok)).cast("long").alias("failed"), F.date_trunc("hour", F.col(time)).alias("hour"))
+    # a place of its own for every row of an hour, repeats too: all totals follow the same order
+    told = told.withColumn("place", F.row_number().over(W.partitionBy("k", "hour").orderBy("t", "tie", "failed")))
+    first = F.coalesce(F.lag(F.struct("t", "tie")).over(W.partitionBy("k", "hour").orderBy("place")) != F.struct("t", "tie"), F.lit(True))
+    told = told.withColumn("first", first & (F.col("failed") == 0)).join(resets.withColumn("found", F.lit(True)), ["k", "t", "tie"], "left")
+    told = told.withColumn("reset", (F.col("first") & F.coalesce("found", F.lit(False))).cast("long")).drop("first", "found")
+    hour, order = F.col("hour"), ["place"]
+    windows = running_totals(told.withColumn("tried", 1 - F.col("reset")), hour, order, "reset", "window", ["k"])
+    tried = running_totals(windows, hour, order, "tried", "attempts", ["k", "window"])
+    return running_totals(tried, hour, order, "failed", "failures", ["k", "window"]).select(F.col("k").alias(key), F.col("tie").alias(tie), "attempts", "failures")
 
 
 class InOrder(StatefulProcessor):

@@ -53,6 +53,11 @@ def test_blocks_compose(spark, seed, minutes):
     assert C.chosen(df.limit(0), "user_id", "ts", "event_id", minutes).count() == 0
 
 
+def test_windows_of_repeated_rows_and_ids(spark):
+    rows = [r for r in made(7, 60, 1) for _ in range(3)] + [(key, t + timedelta(hours=30), tie, ok) for key, t, tie, ok in made(7, 60, 1)]
+    assert sorted(map(tuple, C.error_windows(table(spark, rows), "user_id", "ts", "event_id", "ok").collect())) == counted(rows)
+
+
 def test_equal_times_and_repeats(spark):
     rows = [(1, T0, 5, True), (1, T0, 4, True), (1, T0 + timedelta(minutes=30), 6, True), (1, T0 + timedelta(minutes=30), 6, True), (1, T0 + timedelta(hours=24), 7, True)]
     assert sorted(map(tuple, C.chosen(table(spark, rows), "user_id", "ts", "event_id", 30).collect())) == [(1, 4), (1, 6), (1, 7)]
