@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -84,16 +85,22 @@ STOP_TAGS, TITLE_TAGS = ("of", "and", "the", "a", "an", "in", "on", "at", "to",
 KEYWORDS = ("javascript", "python", "design", "api", "github", "data", "tool")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is made once, and not again for each element of an array that ``f`` goes through."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def clean_tags(reply: Column) -> Column:
     """Tags of a reply of comma or line separated ones: single lower-case words, without what is no tag."""
     parts = F.transform(F.split(F.regexp_replace(reply, r"[\n\r]", ","), ","), lambda t: F.trim(t))
     fine = lambda t: (F.length(t) > 0) & (F.length(t) < 30) & ~t.contains(" ") & ~F.lower(t).isin(*META_TAGS)
     short = lambda t: (F.length(t) > 2) | t.startswith("!") | F.lower(t).isin(*SHORT_TAGS)
     # the first part of a spelling decides whether it was written in lower case
-    spellings = F.transform(parts, F.lower)
-    first = lambda t: F.get(parts, (F.array_position(spellings, F.lower(t)) - 1).cast("int"))
-    kept = F.filter(parts, lambda t: fine(t) & short(t) & ((F.length(t) <= 2) | ~first(t).rlike("[A-Z]")))
-    return F.transform(kept, F.lower)
+    spelled = lambda p: F.array_sort(F.transform(p, lambda t, i: F.struct(F.lower(t).alias("s"), i.alias("i"), t.rlike("[A-Z]").alias("capital"))))
+    begins = lambda b: lambda x, i: x["capital"] & F.coalesce(F.get(b, i - 1)["s"] != x["s"], F.lit(True))
+    capitals = lambda p: bound(spelled(p), lambda b: F.transform(F.filter(b, begins(b)), lambda x: x["s"]))
+    kept = lambda p, c: F.filter(p, lambda t: fine(t) & short(t) & ((F.length(t) <= 2) | ~F.array_contains(c, F.lower(t))))
+    return bound(parts, lambda p: bound(capitals(p), lambda c: F.transform(kept(p, c), F.lower)))
 
 
 def bad_tags(tags: Column) -> Column:

@@ -182,3 +182,11 @@ def test_clean_tags_take_the_first_spelling(spark):
 
     reply = "Data, data, tools\ntools,AI,ai,x,two words,!urgent,bookmark"
     assert spark.createDataFrame([(reply,)], "t string").select(R.clean_tags(F.col("t")).alias("t")).first()["t"] == ["tools", "tools", "ai", "ai", "!urgent"]
+
+
+def test_clean_tags_of_a_long_reply(spark):
+    from marginalia.functions import rules as R
+
+    reply = "Tool0," + ",".join(f"tool{i % 3000}" for i in range(20_000))  # minutes, when each part split the reply again
+    got = spark.createDataFrame([(reply,), (None,)], "t string").select(R.clean_tags(F.col("t")).alias("t")).collect()
+    assert got[0]["t"] == [f"tool{i % 3000}" for i in range(20_000) if i % 3000] and got[1]["t"] is None
