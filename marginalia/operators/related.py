@@ -29,6 +29,9 @@ ROWS_A_SALT, BLOCK_BYTES, STRIP = 100_000, 32 << 20, 256
 #: Tags of a block of seeds; counts that a task holds at a time, and pairs that wait until a seed's best are settled.
 BLOCK_TAGS, CELLS = 1 << 20, 1 << 22
 
+#: Seeds of a block whose found items' tags are counted in one task.
+BLOCK_SEEDS = 256
+
 #: Folders of the index of tags; rows that may be broadcast, which are counted first.
 PARTS, BROADCAST_ROWS = 64, 50_000
 
@@ -255,6 +258,60 @@ def by_tags(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, days: i
     return top(best, k, F.col("overlap").desc(), F.col("published_at").desc(), F.col("id"))
 
 
+def told_tags(k: int):
+    """The ``k`` tags that most of a seed's rows have, of each block; a block's rows hold an item's tags once, for all its seeds."""
+
+    def best(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        tags, asked = whole["tags"].combine_chunks(), whole["seeds"].combine_chunks()
+        codes = tags.flatten().dictionary_encode()
+        names = codes.dictionary.cast(pa.string())
+        order = pc.sort_indices(names).to_numpy()
+        place = np.argsort(order)[codes.indices.to_numpy()] if len(order) else np.zeros(0, "int64")
+        ends = np.append(0, np.cumsum(pc.list_value_length(tags).to_numpy(zero_copy_only=False)))
+        of = np.repeat(np.arange(len(whole)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+        ids, seed = np.unique(asked.flatten().to_numpy(), return_inverse=True)
+        of = of[np.argsort(seed, kind="stable")]
+        seeds, code, n, rank = [], [], [], []
+        for i, rows in enumerate(np.split(of, np.cumsum(np.bincount(seed))[:-1])):
+            each, counts = np.unique(np.concatenate([place[ends[r] : ends[r + 1]] for r in rows]), return_counts=True)
+            first = np.lexsort((each, -counts))[:k]
+            seeds.append(np.full(len(first), ids[i])), code.append(each[first]), n.append(counts[first]), rank.append(np.arange(1, len(first) + 1, dtype="int32"))
+        texts = names.take(pa.array(order[np.concatenate(code)]))
+        return pa.RecordBatch.from_arrays([np.concatenate(seeds), texts, np.concatenate(n), np.concatenate(rank)], ["seed_id", "tag", "n", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            key = batch["block"].to_numpy()
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+            for a, b in zip(cuts, [*cuts[1:], len(key)]):
+                if key[a] != now and held:
+                    yield best(held)
+                    held = []
+                now = key[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield best(held)
+
+    return run
+
+
+def common_tags(found: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
+    """seed_id, tag, n, rank: the ``k`` tags that most of the items found for a seed have (``found``: seed_id, id); null tags are none.
+
+    Seeds go by blocks of some ``BLOCK_SEEDS``. An item travels once to each block that found it, whatever the number of its
+    seeds there, and tags are counted in the block's task: no row of a seed and a tag is shuffled.
+    """
+    found = stored(found.select("seed_id", "id"), name="found")
+    blocks = max(1, math.ceil(found.select("seed_id").distinct().count() / BLOCK_SEEDS))
+    asked = found.withColumn("block", F.pmod(F.xxhash64("seed_id"), F.lit(blocks)).cast("int")).groupBy("block", "id").agg(F.collect_list("seed_id").alias("seeds"))
+    held = items.where(F.size("tags") > 0).select("id", F.array_compact("tags").alias("tags"))
+    held = held.join(small(found.select("id").distinct()), "id", "left_semi")
+    dealt = asked.join(held, "id").select("block", "seeds", "tags").repartitionById(blocks, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(told_tags(k), "seed_id long, tag string, n long, rank int")
+
+
 def unit(vectors: pd.Series) -> np.ndarray:
     """Rows of length one; a vector without length, or with a null or non-finite component, becomes zeros."""
     out = np.zeros((len(vectors), max([1, *(len(v) for v in vectors)])))

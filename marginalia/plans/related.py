@@ -120,10 +120,7 @@ def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    found = R.by_tags(seeds(i), i, AS_OF).select("seed_id", "id").join(i.select("id", "tags"), "id")
-    # whole arrays travel to their seed, and are tags only there
-    each = found.select("seed_id", "tags").repartition("seed_id").select("seed_id", F.explode("tags").alias("tag"))
-    return R.top(each.groupBy("seed_id", "tag").agg(F.count(F.lit(1)).alias("n")), 3, F.col("n").desc(), F.col("tag"))
+    return R.common_tags(R.by_tags(seeds(i), i, AS_OF), i)
 
 
 @query(

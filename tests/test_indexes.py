@@ -1,6 +1,7 @@
 """Written indexes: equal to scans, of every row, and read in the asked folders alone."""
 
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -140,3 +141,14 @@ def test_pairs_of_frequent_tags_are_counted_without_being_rows(spark, monkeypatc
     assert best == {(s, k + 1): (p[2], -p[0]) for s, found in pairs.items() for k, p in enumerate(sorted(found)[:3])}
     assert {tuple(r) for r in R.overlap_sums(seeds, df, AS_OF).collect()} == {(s, len(found), -sum(p[0] for p in found)) for s, found in pairs.items()}
     assert {tuple(r) for r in R.shared_tags(seeds, df, AS_OF).collect()} == {(s, p[2], p[3]) for s, found in pairs.items() for p in found}
+
+
+def test_tags_of_found_items_are_counted_by_blocks_of_seeds(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_SEEDS", 3)
+    rng = random.Random(6)
+    tags = {i: rng.choices(["b", "a", "é", "d", None], k=rng.randint(0, 4)) for i in range(30)} | {30: None, 31: []}
+    found = [(s, i) for s in range(20) for i in rng.sample(sorted(tags), 5)] + [(20, 31), (21, 99)]
+    counts = {s: Counter(t for x, i in found if x == s for t in tags.get(i) or [] if t) for s, _ in found}
+    want = {(s, t, n, r + 1) for s, c in counts.items() for r, (t, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:2])}
+    got = R.common_tags(spark.createDataFrame(found, "seed_id long, id long"), spark.createDataFrame(list(tags.items()), "id long, tags array<string>"), 2)
+    assert {tuple(r) for r in got.collect()} == want and want
