@@ -152,3 +152,26 @@ def test_tags_of_found_items_are_counted_by_blocks_of_seeds(spark, monkeypatch):
     want = {(s, t, n, r + 1) for s, c in counts.items() for r, (t, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:2])}
     got = R.common_tags(spark.createDataFrame(found, "seed_id long, id long"), spark.createDataFrame(list(tags.items()), "id long, tags array<string>"), 2)
     assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_searches_by_small_lots_and_blocks_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(T, "LOT_ROWS", 40)
+    monkeypatch.setattr(T, "BROADCAST_ROWS", 9)
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choices("abcdef", [30, 20, 9, 4, 2, 1], k=rng.randint(0, 9))), rng.choice(["2024-01-20", "2024-01-21", None])) for i in [*range(90), None]]
+    data += [data[5], data[5], data[-1]]  # repeated rows are one item
+    df = spark.createDataFrame(data, "id long, text string, d string").withColumn("created_at", F.col("d").cast("timestamp_ntz"))
+    asked = spark.createDataFrame([(q, rng.choice(["a b", "a c", "b e", "f zz", "c", ""])) for q in range(30)], "query_id long, text string")
+    made = T.build(df)
+    once = df.dropDuplicates()
+    assert rows(T.matching(made, asked, 4)) == rows(T.matching_by_scan(once, asked, 4)) and T.matching(made, asked, 4).count()
+    held = {i: (Counter(t.split()), len(t.split())) for i, t, _ in data}
+    plain = T.best(T.build(once), asked, 4)
+    mean, n = sum(size for _, size in held.values()) / len(held), len(held)
+    having = Counter(t for c, _ in held.values() for t in c)
+    want = set()
+    for q, text in asked.collect():
+        own = {t for t in text.split() if having[t]}
+        weigh = {i: sum(np.log(1 + (n - having[t] + 0.5) / (having[t] + 0.5)) * c[t] * (T.K1 + 1) / (c[t] + T.K1 * (1 - T.B + T.B * size / mean)) for t in own if t in c) for i, (c, size) in held.items() if own & set(c)}
+        want |= {(q, i, r + 1) for r, i in enumerate(sorted(weigh, key=lambda i: (-round(weigh[i], 9), i is not None, i or 0))[:4])}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in plain.collect()} == want
