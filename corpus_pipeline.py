@@ -26,6 +26,9 @@ from marginalia.llm.packing import pack
 from marginalia.llm.quality_classifier import THRESHOLD, scorer, train
 from marginalia.llm.secrets import redacted, scan
 
+#: Entries of each of a worker's tables of token ids, fewer than where packing runs alone: workers come with the memory of other stages.
+ENTRIES = 100_000
+
 #: Rows of whole texts that a Python worker takes at a time; workers go from stage to stage and keep their tables.
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -84,7 +87,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     come. A null or empty text is a piece of the end token alone.
     """
     with bounded(spark):
-        return pack(docs, with_ids=True, with_epoch=True, in_sequence=True, id_bytes=True)
+        return pack(docs, with_ids=True, with_epoch=True, in_sequence=True, id_bytes=True, entries=ENTRIES)
 
 
 STAGES = [

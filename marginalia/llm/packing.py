@@ -27,10 +27,10 @@ SIZE, END = 4096, 1
 CHUNK, BATCH = 1024, 400
 
 
-def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False, entries: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): each document's tokens and the id ``end``, cut every ``size``.
 
-    ids are bytes, little-endian numbers of 2 bytes each if all of a piece fit, else of 4.
+    ids are bytes, little-endian numbers of 2 bytes each if all of a piece fit, else of 4. ``entries``: of a worker's tables.
     """
     path = tokenizer or default_path()
     tail = end.to_bytes(4, "little")
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end:
         return ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else x
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_tokeniser(path).ids
+        encode = word_tokeniser(path, entries).ids
         for frame in frames:
             for at in range(0, len(frame), BATCH):
                 part, rows = frame.iloc[at : at + BATCH], []
@@ -112,7 +112,7 @@ def widened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pack(
-    docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False, with_epoch: bool = False, in_sequence: bool = False, id_bytes: bool = False
+    docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, with_ids: bool = False, with_epoch: bool = False, in_sequence: bool = False, id_bytes: bool = False, entries: int | None = None
 ) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and epoch, and ids).
 
@@ -121,10 +121,11 @@ def pack(
     one shorter than ``size``. epoch: 0, 1, ... for the uses of a document, rows with one id and one text; which piece of
     which use comes first is open. ids: array<int>, or with ``id_bytes`` the bytes of ``pieces``; places are planned without, and join them at the end.
     ``in_sequence``: the pieces of a sequence stand one after the other in one partition. Other columns of ``docs`` are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. ``entries``: how many chunks each of a worker's two tables keeps, which is a matter
+    of memory and time alone.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, size, tokenizer, end, with_ids).withColumn("nr", F.monotonically_increasing_id()), "pieces")
+    cut = written(pieces(docs, size, tokenizer, end, with_ids, entries).withColumn("nr", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "planned long, first long, n long, sequence long, offset long"
     slots = spark.createDataFrame(plan(counts, size), schema).withColumn(

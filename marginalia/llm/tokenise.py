@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of each of a worker's two tables, misses (in tables) after which they start anew, and the longest chunk, in
+#: Entries of each of a worker's two tables unless the caller names another number, misses (in tables) after which they start anew, and the longest chunk, in
 #: characters, that is kept.
 CACHE, RENEWAL, LONGEST = 500_000, 20, 64
 
@@ -33,7 +33,7 @@ class WordTokeniser:
     or with the sign of a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -42,7 +42,7 @@ class WordTokeniser:
         self.find = regex.compile(_PIECE).findall
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.missed = 0
+        self.missed, self.entries = 0, entries
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -80,7 +80,7 @@ class WordTokeniser:
         many times its own size, as when the language of the texts changes.
         """
         self.missed += len(new)
-        if self.missed > RENEWAL * CACHE:
+        if self.missed > RENEWAL * (self.entries or CACHE):
             self.chunks, self.pieces, self.missed = {}, {}, len(new)
         parts, own = list(map(self._parts, new)), self.pieces
         unseen = list({p for x in parts for p in x if p not in own})
@@ -88,8 +88,8 @@ class WordTokeniser:
         get = lambda p: own[p] if p in own else found[p]
         out = {w: get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for w, x in zip(new, parts)}
         for table, more in ((own, found), (self.chunks, out)):
-            if len(table) < CACHE:
-                table.update((w, b) for w, b in more.items() if len(w) <= LONGEST)
+            if (room := (self.entries or CACHE) - len(table)) > 0:
+                table.update([(w, b) for w, b in more.items() if len(w) <= LONGEST][:room])
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -103,5 +103,5 @@ class WordTokeniser:
 
 
 @lru_cache(maxsize=2)
-def word_tokeniser(path: str) -> WordTokeniser:
-    return WordTokeniser(path)
+def word_tokeniser(path: str, entries: int | None = None) -> WordTokeniser:
+    return WordTokeniser(path, entries)

@@ -96,3 +96,10 @@ def test_edges(spark):
     assert P.pack(df.limit(0)).count() == 0
     ids = {r["doc_id"]: r["ids"] for r in P.pack(df.where("doc_id = 5"), with_ids=True).collect()}
     assert ids[5][-1] == P.END and len(ids[5]) == 3
+
+
+def test_fewer_entries_give_the_same_ids():
+    texts = [f"word{i} other{i % 7} Ünïcode {i}!" for i in range(300)]
+    few, many = WordTokeniser(default_path(), 10), WordTokeniser(default_path())
+    assert [few.ids(texts[i : i + 20]) for i in range(0, 300, 20)] == [many.ids(texts[i : i + 20]) for i in range(0, 300, 20)]
+    assert max(len(few.chunks), len(few.pieces)) <= 10 < len(many.chunks)
