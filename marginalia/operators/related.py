@@ -209,12 +209,13 @@ def tag_tiles(seeds: DataFrame, items: DataFrame, as_of: str, days: int, what: s
     own = seeds.where(F.col("id").isNotNull() & (F.size("tags") > 0)).select("id", F.array_compact(F.array_distinct("tags")).alias("tags"))
     own = stored(own, name="seeds")
     blocks = max(1, math.ceil((own.agg(F.sum(F.size("tags"))).first()[0] or 0) / BLOCK_TAGS))
-    met = recent(items, as_of, days).where(F.col("id").isNotNull()).select("id", F.array_compact("tags").alias("tags"), micros.alias("published"))
+    tags = F.array_compact(F.coalesce("tags", F.array().cast("array<string>")))  # no filter by them: it would make them twice
+    met = recent(items, as_of, days).where(F.col("id").isNotNull()).select("id", tags.alias("tags"), micros.alias("published"))
     lots = max(math.ceil(2 * items.sparkSession.sparkContext.defaultParallelism / blocks), math.ceil(met.select("id").count() / ROWS_A_SALT))
     block, lot = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(lots)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = own.select(block.alias("block"), every(lots).alias("lot"), F.lit(0).alias("side"), "id", "tags", F.lit(0).cast("long").alias("published"))
-    met = met.where(F.size("tags") > 0).select(every(blocks).alias("block"), lot.alias("lot"), F.lit(1).alias("side"), "id", "tags", "published")
+    met = met.select(every(blocks).alias("block"), lot.alias("lot"), F.lit(1).alias("side"), "id", "tags", "published")
     tiles = asked.unionByName(met).withColumn("tile", F.col("block").cast("long") * lots + F.col("lot")).drop("block", "lot")
     dealt = tiles.repartitionById(blocks * lots, F.col("tile").cast("int")).sortWithinPartitions("tile", "side", F.col("published").desc(), "id")
     return dealt.mapInArrow(met_tags(what, k, least), schema)
@@ -385,11 +386,17 @@ def by_embedding(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, da
     return top(pairs, k, F.round("similarity", 9).desc(), F.col("published_at").desc(), F.col("id"))
 
 
-def hybrid(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, **how) -> DataFrame:
-    """The best by tags, twice as many as asked for, by 0.4 * overlap / 10 + 0.6 * cosine."""
+def hybrid(seeds: DataFrame, items: DataFrame, as_of: str, k: int = 50, vectors: DataFrame | None = None, **how) -> DataFrame:
+    """The best by tags, twice as many as asked for, by 0.4 * overlap / 10 + 0.6 * cosine.
+
+    ``vectors``: id, embedding of each row of ``items``, seeds among them, where ``seeds`` and ``items`` have no embeddings: a join that brings
+    embeddings to items would carry their texts along, and do so each time that they are read.
+    """
     found = stored(by_tags(seeds, items, as_of, 2 * k, **how).drop("rank"), name="found")  # a few rows a seed
-    vectors = items.select("id", "embedding").join(small(found.select("id").distinct()), "id", "left_semi")
-    found = found.join(seeds.select(F.col("id").alias("seed_id"), F.col("embedding").alias("seed")), "seed_id").join(vectors, "id")
+    own = (seeds if vectors is None else vectors).select(F.col("id").alias("seed_id"), F.col("embedding").alias("seed"))
+    own = own.join(small(found.select("seed_id").distinct()), "seed_id", "left_semi")
+    others = (items if vectors is None else vectors).select("id", "embedding").join(small(found.select("id").distinct()), "id", "left_semi")
+    found = found.join(own, "seed_id").join(others, "id")
     scored = found.withColumn("similarity", M.cosine(F.col("seed"), F.col("embedding")))
     scored = scored.withColumn("score", F.col("overlap") / 10.0 * 0.4 + F.col("similarity") * 0.6).drop("seed", "embedding")
     return top(scored, k, F.round("score", 9).desc(), F.col("published_at").desc(), F.col("id"))

@@ -65,8 +65,8 @@ def by_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT seed_id, id, overlap, round(similarity, 6) AS similarity, round(score, 6) AS score, place::INTEGER AS rank FROM placed WHERE place <= 20""",
 )
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = items(spark, sf_dir, "embedding")
-    return R.hybrid(seeds(i), i, AS_OF, 20).select("seed_id", "id", "overlap", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
+    i = items(spark, sf_dir)
+    return R.hybrid(seeds(i), i, AS_OF, 20, items(spark, sf_dir, "embedding").select("id", "embedding")).select("seed_id", "id", "overlap", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), "rank")
 
 
 NEAR = f"""near AS (

@@ -175,3 +175,15 @@ def test_searches_by_small_lots_and_blocks_find_the_same(spark, monkeypatch):
         weigh = {i: sum(np.log(1 + (n - having[t] + 0.5) / (having[t] + 0.5)) * c[t] * (T.K1 + 1) / (c[t] + T.K1 * (1 - T.B + T.B * size / mean)) for t in own if t in c) for i, (c, size) in held.items() if own & set(c)}
         want |= {(q, i, r + 1) for r, i in enumerate(sorted(weigh, key=lambda i: (-round(weigh[i], 9), i is not None, i or 0))[:4])}
     assert {(r["query_id"], r["id"], r["rank"]) for r in plain.collect()} == want
+
+
+def test_no_join_brings_texts_beside_embeddings(spark, sf_dir, monkeypatch):
+    """Vectors apart give what vectors in the items give, null ones and repeated rows included, and the query takes them apart."""
+    rows = [(i, "2024-01-20", ["a", "b"] + ["c"] * (i % 3) if i != 9 else None, None if i % 7 == 0 else [float(i % 5), 1.0]) for i in [*range(20), 5]]
+    df = spark.createDataFrame(rows, "id long, d string, tags array<string>, embedding array<float>").withColumn("published_at", F.col("d").cast("timestamp_ntz"))
+    found = lambda items, **how: sorted(map(tuple, R.hybrid(items.where("id < 6"), items, AS_OF, 4, **how).collect()), key=repr)
+    assert found(df) == found(df.drop("embedding"), vectors=df.select("id", "embedding")) != []
+    seen, own = [], R.hybrid
+    monkeypatch.setattr(R, "hybrid", lambda *args: seen.append(args) or own(*args))
+    P.Q["related_hybrid_G9c"](spark, sf_dir)
+    assert "Join" not in seen[0][1]._jdf.queryExecution().optimizedPlan().toString()
