@@ -2,7 +2,8 @@
 
 Relationships come with the document's ``url``, ``title``, ``content`` and ``summary``, and ``subject``, ``subject_type``,
 ``predicate``, ``object``, ``object_type``, ``claim_mode`` and ``evidence``. Each rule is an expression of columns, so a
-table of relationships is judged in one pass, without a shuffle.
+table of relationships is judged in one pass, without a shuffle. What only the document tells (``known``) can be made before its
+relationships meet it, once for all of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rules import bound
 
 #: Words for what people do, which are no organisations.
 OCCUPATIONS = (
@@ -62,51 +64,65 @@ THIN = 2500
 NO_USERS = r"(?i)^(data centers?|datacenters?|officers?|users?|systems?)$"
 
 
+#: Quotes of all kinds that names may have.
+QUOTES = "[\"'`’“”]+"
+
+
+def has(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text in lower case holds any of ``words``; false for null."""
+    return F.coalesce(reduce(or_, [F.contains(low, F.lit(w)) for w in words]), F.lit(False))
+
+
 def holds(c: Column, words: tuple[str, ...]) -> Column:
     """Whether a text holds any of ``words``, whatever its case; false for null."""
-    return F.coalesce(reduce(or_, [F.contains(F.lower(c), F.lit(w)) for w in words]), F.lit(False))
+    return has(F.lower(c), words)
 
 
 def occupation(name: Column) -> Column:
-    n = F.lower(T.entity_name(name))
-    plain = (n != "") & (F.length(n) <= 80) & ~n.rlike(r"^(the|a|an)\s+") & ~n.rlike(r"[,:;()\[\]{}0-9]") & (F.size(F.split(n, r"\s+")) <= 6)
-    return plain & reduce(or_, [(n == t) | n.endswith(f" {t}") for t in OCCUPATIONS])
+    plain = lambda n: (n != "") & (F.length(n) <= 80) & ~n.rlike(r"^(the|a|an)\s+") & ~n.rlike(r"[,:;()\[\]{}0-9]") & (F.size(F.split(n, r"\s+")) <= 6)
+    return bound(F.lower(T.entity_name(name)), lambda n: plain(n) & reduce(or_, [(n == t) | n.endswith(f" {t}") for t in OCCUPATIONS]))
 
 
 def generic_media(name: Column) -> Column:
-    n = T.entity_name(name)
-    low = F.lower(n)
-    begins = reduce(or_, [(low == t) | low.startswith(f"{t} ") for t in MEDIA])
-    return (n != "") & (begins | n.rlike(MEDIA_WITH_ARTICLE) | (n.rlike(MEDIA_NOUN) & n.rlike(MEDIA_VERB)))
+    begins = lambda n: bound(F.lower(n), lambda low: reduce(or_, [(low == t) | low.startswith(f"{t} ") for t in MEDIA]))
+    return bound(T.entity_name(name), lambda n: (n != "") & (begins(n) | n.rlike(MEDIA_WITH_ARTICLE) | (n.rlike(MEDIA_NOUN) & n.rlike(MEDIA_VERB))))
 
 
 def github(url: Column) -> Column:
     return T.host(url) == "github.com"
 
 
-def video_like(url: Column, title: Column, content: Column) -> Column:
-    return holds(url, ("youtube.com/", "youtu.be/")) | holds(title, ("youtube",)) | holds(content, (" - youtube", "youtube.com/watch"))
+def video_like(url: Column, title: Column, content: Column, low: Column | None = None) -> Column:
+    """``low``, here and below: the content in lower case, where it is at hand."""
+    low = F.lower(content) if low is None else low
+    return holds(url, ("youtube.com/", "youtu.be/")) | holds(title, ("youtube",)) | has(low, (" - youtube", "youtube.com/watch"))
 
 
-def thin_shell(content: Column) -> Column:
-    return F.coalesce((F.length(content) < THIN) & (content != ""), F.lit(False)) & holds(content, SHELLS)
+def thin_shell(content: Column, low: Column | None = None) -> Column:
+    return F.coalesce((F.length(content) < THIN) & (content != ""), F.lit(False)) & has(F.lower(content) if low is None else low, SHELLS)
 
 
-def article_like(url: Column, title: Column, content: Column) -> Column:
-    text = F.coalesce(content, F.lit(""))
+def article_like(url: Column, title: Column, content: Column, low: Column | None = None) -> Column:
+    text, low = F.coalesce(content, F.lit("")), F.lower(content) if low is None else low
     long = (F.length(text) >= 1200) | ((F.length(text) >= 700) & (F.regexp_count(text, F.lit(SENTENCE_END)) >= 6))
-    found = long | holds(title, (*ARTICLE_TITLES, *ARTICLE_WORDS)) | holds(T.host(url), ARTICLE_HOSTS) | holds(text, (*ARTICLE_WORDS, *ARTICLE_TEXTS))
-    return found & ~video_like(url, title, content) & ~github(url)
+    found = long | holds(title, (*ARTICLE_TITLES, *ARTICLE_WORDS)) | holds(T.host(url), ARTICLE_HOSTS) | has(low, (*ARTICLE_WORDS, *ARTICLE_TEXTS))
+    return found & ~video_like(url, title, content, low) & ~github(url)
+
+
+def name_form(c: Column) -> Column:
+    """What a name, or a text, is compared by; what ``entity_name`` puts right is no letter or digit, so it makes no difference here."""
+    return T.match_form(F.coalesce(c, F.lit("")))
 
 
 def evidence_form(c: Column) -> Column:
-    return T.match_form(F.regexp_replace(T.entity_name(c), "[\"'`]+", ""))
+    """The same of a quotation, whose quotes don't part words."""
+    return T.match_form(F.regexp_replace(F.coalesce(c, F.lit("")), QUOTES, ""))
 
 
 def anchored(name: Column, *texts: Column) -> Column:
     """Whether a name occurs in any of ``texts`` as words, letters and digits alone compared; an empty name occurs nowhere."""
-    needle = T.match_form(T.entity_name(name))
-    return (needle != "") & reduce(or_, [F.contains(T.match_form(T.entity_name(t)), needle) for t in texts])
+    needle = name_form(name)
+    return (needle != "") & reduce(or_, [F.contains(name_form(t), needle) for t in texts])
 
 
 def evidence_anchored(evidence: Column, *texts: Column) -> Column:
@@ -115,12 +131,39 @@ def evidence_anchored(evidence: Column, *texts: Column) -> Column:
     return F.coalesce((F.length(needle) >= 16) & reduce(or_, [F.contains(evidence_form(t), needle) for t in texts]), F.lit(False))
 
 
-def _documents(df: DataFrame) -> DataFrame:
-    url, title, content = F.col("url"), F.col("title"), F.col("content")
-    return df.withColumns({
-        "github": github(url), "article": article_like(url, title, content), "thin": video_like(url, title, content) & thin_shell(content),
-        "backing": F.coalesce(F.nullif("evidence", F.lit("")), "content", F.lit("")), "more": F.when(github(url), F.coalesce("summary", F.lit(""))).otherwise(""),
-    })
+def kinds(docs: DataFrame) -> DataFrame:
+    """``docs`` with github, article, thin (a page around a video without its text) and low, the content in lower case."""
+    url, title, content, low = F.col("url"), F.col("title"), F.col("content"), F.col("low")
+    d = docs.withColumn("low", F.lower(content))
+    return d.withColumns({"github": github(url), "article": article_like(url, title, content, low), "thin": video_like(url, title, content, low) & thin_shell(content, low)})
+
+
+#: What ``known`` adds: kinds of a document, and the forms in which names and quotations are looked for in it.
+TEXTS, QUOTED = ("title", "url", "content", "more"), ("title", "content", "more")
+FACTS = ("low", "github", "article", "thin", *[f"form_{t}" for t in TEXTS], *[f"quote_{t}" for t in QUOTED])
+
+
+def known(docs: DataFrame) -> DataFrame:
+    """``docs`` with FACTS, which the rules below make of each relationship's document unless they are there."""
+    d = kinds(docs).withColumn("more", F.when(F.col("github"), F.coalesce("summary", F.lit(""))).otherwise(""))
+    read = {t: F.col("low" if t == "content" else t) for t in TEXTS}
+    d = d.withColumns({f"form_{t}": name_form(read[t]) for t in TEXTS})
+    # without quotes in a text its two forms are one
+    d = d.withColumns({f"quote_{t}": F.when(read[t].rlike(QUOTES), evidence_form(read[t])).otherwise(F.col(f"form_{t}")) for t in QUOTED})
+    return d.select(*docs.columns, *FACTS)
+
+
+def _known(df: DataFrame) -> DataFrame:
+    return df if set(FACTS) <= set(df.columns) else known(df)
+
+
+def _given() -> Column:
+    return F.coalesce(F.col("evidence") != "", F.lit(False))
+
+
+def _backed(words: tuple[str, ...]) -> Column:
+    """Whether the evidence, or without any the text, holds one of ``words``."""
+    return F.when(_given(), holds(F.col("evidence"), words)).otherwise(has(F.col("low"), words))
 
 
 def rewritten(df: DataFrame) -> DataFrame:
@@ -129,7 +172,7 @@ def rewritten(df: DataFrame) -> DataFrame:
     Of several reasons the first counts: generic actor, occupation, media, and on code hosts no person, install, host,
     package. There somebody who built a tool didn't found it: FOUNDED becomes DEVELOPS where the text says so.
     """
-    d = _documents(df)
+    d = _known(df)
     people = lambda t, n: F.col(t).isin("Person", "Organization") & T.generic_actor(F.col(n))
     formal = F.col("predicate").isin(*FORMAL)
     nobody = lambda t, n: (F.col(t) == "Person") & ~T.human_name(F.col(n))
@@ -139,11 +182,11 @@ def rewritten(df: DataFrame) -> DataFrame:
         .when(formal & (F.col("object_type") == "Organization") & occupation(F.col("object")), "occupation")
         .when((F.col("predicate") == "CREATED") & F.col("article") & (F.col("object_type") == "Artwork") & generic_media(F.col("object")) & holds(F.col("evidence"), MEDIA_MAKING), "media")
         .when(F.col("github") & (nobody("subject_type", "subject") | nobody("object_type", "object")), "no person")
-        .when(F.col("github") & F.col("predicate").isin("INTEGRATES_WITH", "HOSTED_ON") & holds(F.col("backing"), INSTALLED), "install")
+        .when(F.col("github") & F.col("predicate").isin("INTEGRATES_WITH", "HOSTED_ON") & _backed(INSTALLED), "install")
         .when(F.col("github") & (F.col("predicate") == "HOSTED_ON") & (F.col("object_type") == "Organization") & (T.match_form(F.col("object")) == "github"), "host")
         .when(F.col("github") & (F.lower("object").endswith("/tap") | F.col("object").rlike(r"(?i)\bhomebrew\b")), "package")
     )
-    built = F.col("github") & (F.col("predicate") == "FOUNDED") & (F.col("subject_type") == "Person") & tool & ~holds(F.col("backing"), FOUNDED) & holds(F.col("backing"), DEVELOPED)
+    built = F.col("github") & (F.col("predicate") == "FOUNDED") & (F.col("subject_type") == "Person") & tool & ~_backed(FOUNDED) & _backed(DEVELOPED)
     out = d.withColumns({"drop": drop, "predicate": F.when(built, "DEVELOPS").otherwise(F.col("predicate"))})
     return out.select(*df.columns, "drop")
 
@@ -153,20 +196,21 @@ def low_value(df: DataFrame, need_evidence: bool | Column = False) -> DataFrame:
 
     A reported claim whose ends occur in the document is kept whatever the later rules say.
     """
-    d = _documents(df)
-    texts = [F.coalesce(c, F.lit("")) for c in ("title", "url", "content", "more")]
-    quoted = evidence_anchored(F.col("evidence"), texts[0], texts[2], texts[3])
-    signal = F.lit(True)
+    needles = {f"needle_{c}": name_form(F.col(c)) for c in ("subject", "object")} | {"needle_quote": evidence_form(F.col("evidence"))}
+    d = _known(df).withColumns(needles)
+    occurs = lambda needle, *texts: reduce(or_, [F.contains(t, F.col(needle)) for t in texts])
+    anchored_ = lambda c: (F.col(f"needle_{c}") != "") & occurs(f"needle_{c}", *[F.col(f"form_{t}") for t in TEXTS])
+    quoted = (F.length("needle_quote") >= 16) & occurs("needle_quote", *[F.col(f"quote_{t}") for t in QUOTED])
+    signal, given = F.lit(True), _given()
     for predicate, words in FORMAL.items():
-        signal = F.when(F.col("predicate") == predicate, holds(F.col("content"), words)).otherwise(signal)
-    given = F.coalesce(F.col("evidence") != "", F.lit(False))
+        signal = F.when(F.col("predicate") == predicate, has(F.col("low"), words)).otherwise(signal)
     reason = (
-        F.when(~anchored(F.col("subject"), *texts), "subject not in document").when(~anchored(F.col("object"), *texts), "object not in document")
+        F.when(~anchored_("subject"), "subject not in document").when(~anchored_("object"), "object not in document")
         .when(F.col("thin"), "thin video page").when(F.coalesce(F.col("claim_mode") == "reported", F.lit(False)), None)
-        .when(~signal, "no formal signal").when((F.col("predicate") == "DEVELOPS") & ~holds(F.col("backing"), DEVELOPED), "no sign of development")
+        .when(~signal, "no formal signal").when((F.col("predicate") == "DEVELOPS") & ~_backed(DEVELOPED), "no sign of development")
         .when(given & (F.col("article") | F.col("github")) & ~quoted, "evidence not in document")
-        .when((F.col("predicate") == "FOUNDED") & ~holds(F.col("backing"), FOUNDED), "no sign of founding")
-        .when((F.col("predicate") == "OWNS") & ~holds(F.col("backing"), OWNED), "no sign of ownership")
+        .when((F.col("predicate") == "FOUNDED") & ~_backed(FOUNDED), "no sign of founding")
+        .when((F.col("predicate") == "OWNS") & ~_backed(OWNED), "no sign of ownership")
         .when((need_evidence if isinstance(need_evidence, Column) else F.lit(need_evidence)) & ~(given & quoted), "no evidence")
         .when(F.col("subject_type").isin("Tool", "Model") & (F.col("predicate") == "USES") & F.col("subject").rlike(NO_USERS), "no user")
     )

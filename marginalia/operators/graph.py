@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +63,8 @@ def type_pairs() -> list[tuple[str, str, str]]:
 def canonical_type(c: Column) -> Column:
     """The ontology's type that a name stands for, or null."""
     low = F.lower(F.regexp_replace(F.trim(c), r"[\s_-]+", " "))
-    out = None
-    for alias, kind in TYPE_ALIASES.items():
-        out = F.when(low == alias, kind) if out is None else out.when(low == alias, kind)
-    return out.when(F.trim(c).isin(*ENTITY_TYPES), F.trim(c))
+    aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(aliases, low), F.when(F.trim(c).isin(*ENTITY_TYPES), F.trim(c)))
 
 
 def exploded(items: DataFrame, *keep: str) -> DataFrame:
@@ -74,9 +75,13 @@ def exploded(items: DataFrame, *keep: str) -> DataFrame:
     """
     keep = keep or ("id", "updated_at", "published_at")
     raw = items.select(*keep, F.posexplode(F.from_json("relationships", "array<string>")).alias("n", "raw"))
-    get = lambda path: F.get_json_object("raw", path)
-    nested = get("$.source.name").isNotNull() & get("$.target.name").isNotNull() & get("$.type").isNotNull()
-    flat = get("$.source").isNotNull() & get("$.target").isNotNull() & get("$.relationship").isNotNull()
+    # each path is read once: the steps are columns, and not one expression
+    paths = ("source.name", "target.name", "type", "source", "target", "relationship", "source.type", "sourceType", "target.type", "targetType", "confidence", "claim_mode", "evidence")
+    raw = raw.select(*keep, "n", *[F.get_json_object("raw", f"$.{path}").alias(path) for path in paths])
+    get = lambda path: F.col("`" + path.removeprefix("$.") + "`")
+    whole = lambda *of: reduce(and_, [get(path).isNotNull() for path in of])
+    raw = raw.withColumns({"is_nested": whole("source.name", "target.name", "type"), "is_flat": whole("source", "target", "relationship")})
+    nested, flat = F.col("is_nested"), F.col("is_flat")
     either = lambda a, b: F.trim(F.when(nested, get(a)).when(flat, get(b)))
     return raw.select(
         *keep, "n", either("$.source.name", "$.source").alias("subject"), either("$.source.type", "$.sourceType").alias("subject_type"),
@@ -96,8 +101,9 @@ def in_ontology(spark: SparkSession, r: DataFrame, *keep: str) -> DataFrame:
     tokens = F.broadcast(spark.createDataFrame(predicate_tokens(), "token string, predicate string, reverse boolean"))
     pairs = F.broadcast(spark.createDataFrame(type_pairs(), "predicate string, s string, o string").withColumn("allowed", F.lit(True)))
     r = r.withColumn("token", T.predicate_token(F.col("label"))).join(tokens, "token", "left")
-    names = {k: T.entity_name(F.col(k)) for k in ("subject", "object")}
-    types = {k: canonical_type(F.col(f"{k}_type")) for k in ("subject", "object")}
+    ends = ("subject", "object")
+    r = r.withColumns({f"{k}_name": T.entity_name(F.col(k)) for k in ends} | {f"{k}_kind": canonical_type(F.col(f"{k}_type")) for k in ends})
+    names, types = ({k: F.col(f"{k}_{what}") for k in ends} for what in ("name", "kind"))
     back = F.coalesce("reverse", F.lit(False))
     turned = r.select(
         *keep, "predicate", "claim_mode", "evidence", F.when(F.col("confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence"))).alias("confidence"),

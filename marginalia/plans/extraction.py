@@ -31,12 +31,12 @@ _SOURCE = "CASE WHEN doc_id % 4 = 3 THEN 'arena' ELSE 'github' END"
 
 def replies(docs: DataFrame) -> DataFrame:
     """id, stage, reply of documents (doc_id, text)."""
-    words = {f"w{i}": f"coalesce(get(split(text, ' '), {i}), '')" for i in range(6)} | {"string": "string"}
+    words = {f"w{i}": f"w{i}" for i in range(6)} | {"string": "string"}
     named = {"subject": "source", "object": "target", "predicate": "relationship", "subject_type": "sourceType", "object_type": "targetType"}
-    out = None
-    for stage, (where, fields) in REPLIES.items():
-        one = docs.where(where).selectExpr("doc_id AS id", f"'{stage}' AS stage", "struct(" + ", ".join(f"{fields[c].format(**words)} AS {named.get(c, c)}" for c in _FIELDS) + ") AS c")
-        out = one if out is None else out.unionByName(one)
+    # a document is read once for all stages
+    made = [f"CASE WHEN {where} THEN struct('{stage}' AS stage, struct(" + ", ".join(f"{fields[c].format(**words)} AS {named.get(c, c)}" for c in _FIELDS) + ") AS c) END" for stage, (where, fields) in REPLIES.items()]
+    split = docs.selectExpr("doc_id", "substring(text, 1, 60) AS text", *[f"coalesce(get(split(text, ' ', 7), {i}), '') AS w{i}" for i in range(6)])
+    out = split.selectExpr("doc_id AS id", f"inline(array_compact(array({', '.join(made)})))")
     return out.select("id", "stage", F.to_json(F.array("c")).alias("reply"))
 
 

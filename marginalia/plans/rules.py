@@ -31,7 +31,7 @@ _CASES = {
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = {f"w{i}": f"coalesce(get(split(text, ' '), {i}), '')" for i in range(6)}
+    words = {f"w{i}": f"coalesce(get(split(text, ' ', 7), {i}), '')" for i in range(6)}
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "text AS content", *[f"{e.format(**words)} AS {c}" for c, e in _CASES.items()])
 
 

@@ -3,7 +3,10 @@
 import json
 
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+from marginalia.operators import document_rules as R
 from marginalia.operators import extraction as X
 from marginalia.plans import extraction as P
 
@@ -65,3 +68,20 @@ def test_counters_are_observed_without_a_second_pass(spark, sf_dir):
     rows = P.settled(spark, sf_dir, seen).collect()
     assert seen.get == {c: sum(r[c] for r in rows) for c in X.COUNTERS} and seen.get["final"] > 0
     assert run(spark, [], []).count() == 0
+
+
+def test_a_text_is_read_once_for_all_its_candidates(spark, sf_dir):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = P.documents(spark, sf_dir)
+    made = P.replies(docs.select("doc_id", docs["content"].alias("text")))
+    assert plan(made).count("Relation") == 1
+    judged = plan(X.judged(spark, docs.withColumnRenamed("doc_id", "id"), made))
+    assert judged.count("lower(content#") + judged.count("lower(text#") == 1
+
+
+def test_forms_are_those_of_names_put_right(spark):
+    texts = ["", " “Don’t”  go`s  on ", "'İstanbul' K﻿Σ", "a ' b", None, "``", "O'Neil's \"x\"y", "\t12\n3 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    named = T.entity_name(F.col("t"))
+    rows = df.select(R.name_form(F.col("t")), T.match_form(named), R.evidence_form(F.col("t")), T.match_form(F.regexp_replace(named, "[\"'`]+", ""))).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows) and rows[1][2] == "dont gos on"
