@@ -121,8 +121,8 @@ def pack(
     one shorter than ``size``. epoch: 0, 1, ... for the uses of a document, rows with one id and one text; which piece of
     which use comes first is open. ids: array<int>, or with ``id_bytes`` the bytes of ``pieces``; places are planned without, and join them at the end.
     ``in_sequence``: the pieces of a sequence stand one after the other in one partition. Other columns of ``docs`` are
-    ignored; an empty table gives no rows. ``entries``: how many chunks each of a worker's two tables keeps, which is a matter
-    of memory and time alone.
+    ignored; an empty table gives no rows. ``entries``: how many chunks a worker's two tables keep together, which is a
+    matter of memory and time alone.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, size, tokenizer, end, with_ids, entries).withColumn("nr", F.monotonically_increasing_id()), "pieces")
