@@ -16,7 +16,7 @@ import pyarrow as pa
 CACHE, RENEWAL, LONGEST = 1_000_000, 20, 64
 
 #: Chunks that are encoded as one text; characters of texts that are cut at a time.
-LOT, AT_ONCE = 400, 2_000_000
+LOT, AT_ONCE = 400, 400_000
 
 # Plain characters fall into words, single digits and runs of signs whatever their case; each stands for itself.
 _PLAIN = [c for c in map(chr, range(256)) if "\x21" <= c <= "\x7e" or c >= "\xa1"]
