@@ -75,11 +75,11 @@ def exploded(items: DataFrame, *keep: str) -> DataFrame:
     """
     keep = keep or ("id", "updated_at", "published_at")
     raw = items.select(*keep, F.posexplode(F.from_json("relationships", "array<string>")).alias("n", "raw"))
-    # each path is read once: the steps are columns, and not one expression
+    # each path is read once: the steps are columns, and not one expression; their names, $. first, are none of ``keep``
     paths = ("source.name", "target.name", "type", "source", "target", "relationship", "source.type", "sourceType", "target.type", "targetType", "confidence", "claim_mode", "evidence")
-    raw = raw.select(*keep, "n", *[F.get_json_object("raw", f"$.{path}").alias(path) for path in paths])
-    get = lambda path: F.col("`" + path.removeprefix("$.") + "`")
-    whole = lambda *of: reduce(and_, [get(path).isNotNull() for path in of])
+    raw = raw.select(*keep, "n", *[F.get_json_object("raw", f"$.{path}").alias(f"$.{path}") for path in paths])
+    get = lambda path: F.col(f"`{path}`")
+    whole = lambda *of: reduce(and_, [get(f"$.{path}").isNotNull() for path in of])
     raw = raw.withColumns({"is_nested": whole("source.name", "target.name", "type"), "is_flat": whole("source", "target", "relationship")})
     nested, flat = F.col("is_nested"), F.col("is_flat")
     either = lambda a, b: F.trim(F.when(nested, get(a)).when(flat, get(b)))

@@ -92,6 +92,15 @@ def test_projection_invariants(spark, sf_dir):
     assert G.unresolved(dangling, G.entities(i), G.claims(i)).count() == 3
 
 
+def test_relationships_keep_columns_named_as_their_fields(spark):
+    raw = """[{"source": {"name": "A", "type": "Person"}, "type": "LEADS", "target": {"name": "B", "type": "Project"}}, {"source": "C", "target": "D", "relationship": "owns"}]"""
+    df = spark.createDataFrame([(1, "github", "repo", raw), (2, "arena", "block", raw)], "id long, source string, type string, relationships string")
+    rows = G.exploded(df, "id", "source", "type").select("id", "source", "type", "subject", "subject_type", "label", "object").collect()
+    told = [("A", "Person", "LEADS", "B"), ("C", None, "owns", "D")]
+    assert sorted(map(tuple, rows), key=repr) == [(*kept, *t) for kept in ((1, "github", "repo"), (2, "arena", "block")) for t in told]
+    assert {r["node"]: r["sources"] for r in G.node_sources(df).collect()}["Person::a"] == ["arena", "github"]
+
+
 def test_upsert_is_idempotent_and_takes_new_columns(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, x string, v int")
     new = spark.createDataFrame([(2, "c", 2, True), (3, "d", 2, False)], "id int, x string, v int, y boolean")
