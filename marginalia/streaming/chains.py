@@ -85,8 +85,8 @@ def block_map(times: np.ndarray, begins: int, gap: int) -> list[dict[str, int]]:
 def chosen(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond: bool = False, since: DataFrame | None = None) -> DataFrame:
     """key, tie: of each key's events, by ``time`` and ``tie``, those that come ``minutes`` or more (``beyond``: more) after the last one chosen.
 
-    The first event of a key is chosen, or the first that comes so long after ``since`` (key, start: microseconds). Null
-    keys and times take no part; repeated rows are events at the same time, of which one at most is chosen. ``tie`` is a long.
+    The first event of a key is chosen, or the first that comes so long after ``since`` (key, start: microseconds, no later than
+    any event of the key). Null keys and times take no part; repeated rows are events at the same time, of which one at most is chosen. ``tie`` is a long.
     """
     return timed(df, key, time, tie, minutes, beyond, since).select(F.col("k").alias(key), F.col("tie").alias(tie))
 
@@ -97,7 +97,10 @@ def timed(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond:
     size = max(DAY, gap)
     kind = df.select(key).schema[0].dataType.simpleString()
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("k"), micros.alias("t"), F.col(tie).cast("long").alias("tie"))
+    rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("k"), micros.alias("t"), F.col(tie).cast("long").alias("tie"), F.lit(2).alias("side"))
+    if since is not None:  # an event that none comes before: the first chosen, whichever block it lies in
+        starts = since.select(F.col(key).alias("k"), F.col("start").cast("long").alias("t"), F.lit(0).cast("long").alias("tie"), F.lit(1).alias("side"))
+        rows = rows.unionByName(starts.where(F.col("k").isNotNull() & F.col("t").isNotNull()))
     rows = rows.withColumn("block", F.expr(f"floor(t / {size})").cast("long"))
     order = ["k", "block", "t", "tie"]
 
@@ -108,28 +111,25 @@ def timed(df: DataFrame, key: str, time: str, tie: str, minutes: float, beyond:
     dealt = rows.repartition("k", "block").sortWithinPartitions(*order)
     made = dealt.select("k", "block", "t").mapInPandas(maps, f"k {kind}, block long, steps array<struct<upto:long,last:long>>")
     blocks = made.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "steps"))).alias("blocks"))
-    start = F.lit(NEVER)
-    if since is not None:
-        blocks, start = blocks.join(since.select(F.col(key).alias("k"), "start"), "k", "left"), F.coalesce("start", F.lit(NEVER))
     state = lambda last, entries: F.struct(last.alias("last"), entries.alias("entries"))
 
     def step(s: Column, b: Column) -> Column:
         hit = F.get(F.filter(b["steps"], lambda x: x["upto"] >= s["last"] + gap), 0)
         return state(F.coalesce(hit["last"], s["last"]), F.concat(s["entries"], F.array(F.struct(b["block"].alias("block"), s["last"].alias("entry")))))
 
-    entries = F.aggregate("blocks", state(start.cast("long"), F.array().cast("array<struct<block:long,entry:long>>")), step)["entries"]
+    entries = F.aggregate("blocks", state(F.lit(NEVER).cast("long"), F.array().cast("array<struct<block:long,entry:long>>")), step)["entries"]
     begun = blocks.select("k", F.inline(entries)).select("k", "block", F.col("entry").alias("t"), F.lit(0).cast("long").alias("tie"), F.lit(0).alias("side"))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[dict[str, list]]:
-            for (k, _), (t, ties) in runs(frames, ["k", "block"], ["t", "tie"]):
-                at = walked(t[1:], int(t[0]) + gap, gap)
-                yield {"k": [k] * len(at), "t": t[1:][at].tolist(), "tie": ties[1:][at].tolist()}
+            for (k, _), (t, ties, sides) in runs(frames, ["k", "block"], ["t", "tie", "side"]):
+                at = [i + 1 for i in walked(t[1:], int(t[0]) + gap, gap) if sides[i + 1] == 2]
+                yield {"k": [k] * len(at), "t": t[at].tolist(), "tie": ties[at].tolist()}
 
         yield from in_frames(found(), ["k", "t", "tie"])
 
-    led = rows.withColumn("side", F.lit(1)).unionByName(begun).repartition("k", "block").sortWithinPartitions("k", "block", "side", "t", "tie")
-    return led.select("k", "block", "t", "tie").mapInPandas(walk, f"k {kind}, t long, tie long")
+    led = rows.unionByName(begun).repartition("k", "block").sortWithinPartitions("k", "block", "side", "t", "tie")
+    return led.select("k", "block", "t", "tie", "side").mapInPandas(walk, f"k {kind}, t long, tie long")
 
 
 def error_windows(df: DataFrame, key: str, time: str, tie: str, ok: str, minutes: float = 5) -> DataFrame:

@@ -68,6 +68,16 @@ def test_windows_reset_on_a_success_alone(spark):
     assert sorted(map(tuple, C.error_windows(table(spark, rows), "user_id", "ts", "event_id", "ok").collect())) == counted(rows)
 
 
+def test_windows_over_the_midnight_after_the_first_event(spark):
+    """What the first day of a key chose holds on the next one, whether its first event is an error or not."""
+    first = [(key, T0 + timedelta(hours=10), 10 * key, key == 2) for key in (1, 2)]
+    rest = [(key, T0 + timedelta(hours=hours), 10 * key + i, True) for key in (1, 2) for i, hours in enumerate((10.05, 23.95, 24.01, 24.02), 1)]
+    rng = random.Random(11)
+    dense = [(key, T0 + timedelta(seconds=rng.randrange(2 * 86400)), i, rng.random() < 0.7) for i, key in enumerate(rng.choices(range(3, 23), k=6000))]
+    for rows in (first + rest, dense):
+        assert sorted(map(tuple, C.error_windows(table(spark, rows), "user_id", "ts", "event_id", "ok").collect())) == counted(rows)
+
+
 def test_a_hot_key_is_many_tasks(spark):
     rows = [(1, T0 + timedelta(minutes=7 * i), i, True) for i in range(3000)]
     df = table(spark, rows)
