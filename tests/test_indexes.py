@@ -5,6 +5,8 @@ from collections import Counter
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,22 @@ def test_pairs_of_frequent_tags_are_counted_without_being_rows(spark, monkeypatc
     assert {tuple(r) for r in R.shared_tags(seeds, df, AS_OF).collect()} == {(s, p[2], p[3]) for s, found in pairs.items() for p in found}
 
 
+def test_a_tile_orders_its_tags_once_for_all_lots(monkeypatch):
+    sorts, sort = [], pc.sort_indices
+    monkeypatch.setattr(R.pc, "sort_indices", lambda *args, **how: sorts.append(1) or sort(*args, **how))
+    monkeypatch.setattr(R, "CELLS", 40)
+    monkeypatch.setattr(R, "COUNTS", 40, raising=False)
+    rng = random.Random(9)
+    own = {s: sorted({*rng.choices(["b", "a", "é", "c c", "d"], k=4)}, key=lambda t: rng.random()) for s in range(7)}
+    other = {i: rng.choices(["b", "a", "é", "x", "c c"], k=rng.randint(0, 6)) for i in range(100)}
+    batch = lambda rows: pa.RecordBatch.from_pydict({"id": list(rows), "tags": list(rows.values())}, pa.schema([("id", pa.int64()), ("tags", pa.list_(pa.string()))]))
+    tile = R.Tile([batch(own)], None, 2)
+    lots = list(tile.shared(batch(other)))
+    got = [tuple(r.values()) for lot in lots for r in lot.to_pylist()]
+    assert len(lots) > 5 and len(sorts) == 1
+    assert sorted(got) == [(s, i, "|".join(sorted({*tags} & {*own[s]}))) for s in own for i, tags in other.items() if s != i and sum(t in own[s] for t in tags) >= 2]
+
+
 def test_tags_of_found_items_are_counted_by_blocks_of_seeds(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_SEEDS", 3)
     rng = random.Random(6)
